@@ -7,12 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressmill.llm import bpe, canonical, leakage, near_duplicates, site_lines
+from pressmill.llm import bpe, canonical, language, leakage, near_duplicates, sentences, site_lines, toxicity
 from pressmill.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    articles = table(spark, d, "articles")
+    model = language.fit_filter(articles, "art_id", "art_text", "art_language")
+    return language.label_cases(language.detect_languages(articles, model), articles).select(F.col("id").alias("art_id"), "lang")
+
+
+def p1_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    articles = table(spark, d, "articles")
+    model = language.fit_filter(articles, "art_id", "art_text", "art_language")
+    return language.detect_languages(articles, model).select(F.col("id").alias("art_id"), "par", "lang", F.round("confidence", 4).alias("confidence")).distinct()
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.repeated_lines(table(spark, d, "articles")).select(F.col("id").alias("art_id"), "line_no")
 
@@ -40,6 +52,10 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return both.distinct()
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentence_table(table(spark, d, "articles")).select(F.col("id").alias("art_id"), "end_pos")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_texts(table(spark, d, "documents"))
 
@@ -48,8 +64,20 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, d, "documents"), toxicity.fit_reviewed(table(spark, d, "review_samples")))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.flagged(_scores(spark, d))
+
+
+def p10_source_rates(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.source_rates(table(spark, d, "documents"), _scores(spark, d))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_clean, p4_found, p4_groups, p6_found, p8_ids, p9_found)}
+    return {f.__name__: f for f in (p1_found, p1_paragraphs, p2_found, p2_clean, p4_found, p4_groups, p6_found, p7_found, p8_ids, p9_found, p10_found, p10_source_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
