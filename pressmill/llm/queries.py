@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressmill.llm import bpe, canonical, language, leakage, near_duplicates, sentences, site_lines, toxicity
+from pressmill.llm import bpe, canonical, language, leakage, names, near_duplicates, sentences, site_lines, toxicity
 from pressmill.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,14 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.duplicate_groups(links, member).select(F.col("id").alias("art_id"), "group_id", "links")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    nodes = table(spark, d, "company_nodes")
+    prior = nodes.where("comp_symbol IS NOT NULL").groupBy(F.col("comp_symbol").alias("symbol")).agg(F.count("*").alias("n"))
+    unnamed = nodes.where("comp_symbol IS NULL").select("node_id", "comp_name")
+    linked = names.link_names(unnamed, table(spark, d, "companies"), prior=prior).where("posterior >= 0.5")
+    return unnamed.join(linked, unnamed["comp_name"] == linked["name"]).select("node_id", "symbol").distinct()
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     both = None
     for tab, key, text in (("companies", "symbol", "name"), ("articles", "art_id", "art_text")):
@@ -77,7 +85,7 @@ def p10_source_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_paragraphs, p2_found, p2_clean, p4_found, p4_groups, p6_found, p7_found, p8_ids, p9_found, p10_found, p10_source_rates)}
+    return {f.__name__: f for f in (p1_found, p1_paragraphs, p2_found, p2_clean, p4_found, p4_groups, p5_found, p6_found, p7_found, p8_ids, p9_found, p10_found, p10_source_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
