@@ -42,7 +42,7 @@ class _Rules:
     """Character properties, read once from the Unicode database."""
 
     def __init__(self):
-        compat, second, invisible, space = [], set(), [], []
+        compat, second, invisible, space = [], {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}, [], []  # vowels and finals of Hangul compose by rule
         latin, greek, cyrillic, marks = [], [], [], []
         for c in range(0x110000):
             ch = chr(c)
