@@ -25,7 +25,8 @@ def upsert_nodes(rows: DataFrame, key: str, props: list[str], order: str) -> Dat
 def upsert_edges(rows: DataFrame, source: DataFrame, target: DataFrame, source_key: str, target_key: str) -> DataFrame:
     """Distinct edges both of whose ends exist."""
     ends = rows.where(F.col(source_key).isNotNull() & F.col(target_key).isNotNull()).select(source_key, target_key).distinct()
-    return ends.join(source.select(source_key), source_key, "left_semi").join(target.select(target_key), target_key, "left_semi")
+    kept = ends.join(source.select(source_key), source_key, "left_semi").join(target.select(target_key), target_key, "left_semi")
+    return kept.select(source_key, target_key)
 
 
 @dataclass

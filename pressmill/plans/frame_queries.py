@@ -135,11 +135,11 @@ def x3_flatten_lists(spark, d):
     return a.select("art_id", F.array_join(F.flatten(inner), ",").alias("symbols"))
 
 
-@_register("""SELECT top_id, round(avg(sent_pos), 6) AS mean_pos, count(*) AS n, md5(string_agg(sent_text, ' ' ORDER BY art_id, sent_pos, sent_id)) AS joined FROM (SELECT * FROM sentences WHERE top_id IS NOT NULL AND sent_text IS NOT NULL) GROUP BY top_id""")
+@_register("""SELECT top_id, art_id, round(avg(sent_pos), 6) AS mean_pos, count(*) AS n, string_agg(sent_text, ' ' ORDER BY sent_pos, sent_id) AS joined FROM sentences WHERE top_id IS NOT NULL AND sent_text IS NOT NULL AND art_id IS NOT NULL GROUP BY top_id, art_id""")
 def a1_cluster_aggregate(spark, d):
-    s = table(spark, d, "sentences").where("top_id IS NOT NULL AND sent_text IS NOT NULL")
-    part = s.groupBy("top_id", "art_id").agg(F.sum("sent_pos").alias("p"), F.count("*").alias("c"), frames.ordered_join(F.col("sent_text"), F.struct("sent_pos", "sent_id"), " ").alias("t"))
-    return part.groupBy("top_id").agg(F.round(F.sum("p") / F.sum("c"), 6).alias("mean_pos"), F.sum("c").alias("n"), F.md5(frames.ordered_join(F.col("t"), F.col("art_id"), " ")).alias("joined"))
+    """Means and the joined text of each topic, an article at a time, so that no group grows with the data."""
+    s = table(spark, d, "sentences").where("top_id IS NOT NULL AND sent_text IS NOT NULL AND art_id IS NOT NULL")
+    return s.groupBy("top_id", "art_id").agg(F.round(F.avg("sent_pos"), 6).alias("mean_pos"), F.count("*").alias("n"), frames.ordered_join(F.col("sent_text"), F.struct("sent_pos", "sent_id"), " ").alias("joined"))
 
 
 _WORDS = """w AS (SELECT top_id, sent_id, unnest(regexp_extract_all(lower(sent_text), '[a-z]{3,}')) AS word FROM sentences WHERE top_id IS NOT NULL AND sent_text IS NOT NULL)"""
@@ -164,10 +164,12 @@ def a5_first_mention(spark, d):
     return frames.keep_first(m, ["art_id", "comp_name", "comp_symbol"], ["start_char", "mention_id"]).select("art_id", "comp_name", "comp_symbol", "start_char")
 
 
-@_register("SELECT comp_symbol, array_to_string(list_sort(list(DISTINCT art_id)), ',') AS arts FROM mentions WHERE comp_symbol IS NOT NULL GROUP BY comp_symbol HAVING count(DISTINCT art_id) >= 2")
+@_register("SELECT m.comp_symbol, string_agg(DISTINCT s.top_id, ',' ORDER BY s.top_id) AS topics FROM mentions m JOIN sentences s ON s.sent_id = m.sent_id WHERE m.comp_symbol IS NOT NULL AND s.top_id IS NOT NULL GROUP BY m.comp_symbol")
 def a8_collect_by_key(spark, d):
-    m = table(spark, d, "mentions").where("comp_symbol IS NOT NULL").select("comp_symbol", "art_id").distinct()
-    return m.groupBy("comp_symbol").agg(F.sort_array(F.collect_list("art_id")).alias("ids")).where(F.size("ids") >= 2).select("comp_symbol", F.array_join(F.col("ids").cast("array<string>"), ",").alias("arts"))
+    """The topics of each company; a list has at most as many entries as there are topics."""
+    m = table(spark, d, "mentions").where("comp_symbol IS NOT NULL").select("comp_symbol", "sent_id")
+    s = table(spark, d, "sentences").where("top_id IS NOT NULL").select("sent_id", "top_id")
+    return m.join(s, "sent_id").groupBy("comp_symbol").agg(F.array_join(F.sort_array(F.collect_set("top_id")), ",").alias("topics"))
 
 
 @_register("SELECT comp_symbol, count(*) AS n FROM mentions GROUP BY comp_symbol")

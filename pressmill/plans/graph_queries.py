@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 from pyspark.sql import functions as F
 
 from pressmill.functions.dates import utc_date
@@ -187,7 +189,7 @@ def j15_query_top5(spark, d):
 def j14_nearest_other(spark, d):
     """A stated query set, every twentieth vector, against all of them in blocks."""
     e = table(spark, d, "embeddings").select("vec_id", unit(F.col("embedding")).alias("u"))
-    asked = [(r["vec_id"], list(r["u"])) for r in e.where("vec_id % 20 = 0").orderBy("vec_id").toLocalIterator()]
+    asked = ((r["vec_id"], list(r["u"])) for r in e.where("vec_id % 20 = 0").orderBy("vec_id").toLocalIterator())
     return nearest_to(spark, e, asked)
 
 
@@ -198,9 +200,8 @@ def nearest_to(spark, e, asked, block: int = 2000):
 
     from pressmill.plans.arrow import map_batches
 
-    best = None
-    for at in range(0, len(asked), block):
-        part = asked[at : at + block]
+    best, asked = None, iter(asked)
+    while part := list(islice(asked, block)):
         ids, q = spark.sparkContext.broadcast(np.array([i for i, _ in part])), spark.sparkContext.broadcast(np.array([v for _, v in part]))
 
         def make(ids=ids, q=q):
@@ -224,10 +225,36 @@ def nearest_to(spark, e, asked, block: int = 2000):
 
 @_register(f"SELECT a.vec_id AS a, b.vec_id AS b, round({_COS}, 6) AS likeness FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.label = b.label WHERE a.vec_id % 20 = 0 AND {_COS} > 0.3")
 def g19_cosine_pairs(spark, d):
+    """Every twentieth vector against all; blocks of them go to the executors."""
     e = table(spark, d, "embeddings").select("vec_id", "label", unit(F.col("embedding")).alias("u"))
-    a = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("a"), "label", F.col("u").alias("ua"))
-    b = e.select(F.col("vec_id").alias("b"), "label", F.col("u").alias("ub"))
-    return a.join(b, "label").where("a < b").withColumn("c", cosine(F.col("ua"), F.col("ub"))).where("c > 0.3").select("a", "b", F.round("c", 6).alias("likeness"))
+    asked = ((r["vec_id"], r["label"], list(r["u"])) for r in e.where("vec_id % 20 = 0").toLocalIterator())
+    return likeness_above(spark, e, asked, 0.3)
+
+
+def likeness_above(spark, e, asked, least: float, block: int = 2000):
+    """(a, b, likeness) of asked vectors with later ones of the same label."""
+    import numpy as np
+    import pyarrow as pa
+
+    from pressmill.plans.arrow import map_batches
+
+    out, asked = None, iter(asked)
+    while part := list(islice(asked, block)):
+        shared = spark.sparkContext.broadcast((np.array([i for i, _, _ in part]), np.array([x for _, x, _ in part]), np.array([v for _, _, v in part])))
+
+        def make(shared=shared):
+            def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+                ids, labels, q = shared.value
+                other, kind = np.array(batch.column(0).to_pylist()), np.array(batch.column(1).to_pylist())
+                like = q @ np.array(batch.column(2).to_pylist()).T
+                i, j = np.nonzero((like > least) & (ids[:, None] < other[None]) & (labels[:, None] == kind[None]))
+                return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(other[j]), pa.array(np.round(like[i, j], 6))], ["a", "b", "likeness"])
+
+            return step
+
+        found = map_batches(e.select("vec_id", "label", "u"), make, "a bigint, b bigint, likeness double")
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else spark.createDataFrame([], "a bigint, b bigint, likeness double")
 
 
 def queries() -> dict:

@@ -41,7 +41,7 @@ def ext_tumbling_windows(spark, d):
 def ext_streamed_windows(spark, d):
     """The same through Structured Streaming, with a watermark."""
     schema = table(spark, d, "events").schema
-    stream = spark.readStream.schema(schema).parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    stream = spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
     return _ms(windows.latest_of_stream(windows.tumbling(stream, "1 hour", "2 hours")), "win_start")
 
 

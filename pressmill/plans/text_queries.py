@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pressmill.functions import patterns, text
-from pressmill.operators import spans
+from pressmill.operators import providers, spans
 from pressmill.sources.tables import table
 
 _Q: dict = {}
@@ -167,6 +167,33 @@ def r6_resolve_spans(spark, d):
     return spans.resolve_spans(s)
 
 
+@_register()
+def r24_entity_patterns(spark, d):
+    """A pattern for texts and one for words of every company; the lists of words are taken from the names themselves."""
+    import pyarrow as pa
+
+    from pressmill.functions.entity_patterns import Lexicons, make_patterns
+    from pressmill.plans.arrow import map_batches
+
+    named = _names(spark, d).select("symbol", text.name_terms(text.name_without_legal(F.col("name"))).alias("terms"), text.legal_form(F.col("name")).alias("legal"))
+    often = named.select("symbol", F.explode("terms").alias("t")).distinct().groupBy("t").agg(F.count("*").alias("n")).where("n >= 12").orderBy("t").limit(5000).collect()
+    lexicons = Lexicons(industry=frozenset(r["t"].lower() for r in often))
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            made = make_patterns(((s, t, g or None) for s, t, g in zip(*(batch.column(i).to_pylist() for i in range(3)))), lexicons)
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in made], pa.string()) for i in range(3)], ["symbol", "in_text", "in_word"])
+
+        return step
+
+    return map_batches(named, make, "symbol string, in_text string, in_word string")
+
+
+@_register()
+def v29_topics_by_rule(spark, d):
+    return providers.classify(table(spark, d, "sentences"), lambda: providers.KeywordTopics(providers.KEYWORDS), "sent_id", "sent_text")
+
+
 @_register()
 def j3_fuzzy_best(spark, d):
     return spans.fuzzy_best(table(spark, d, "company_nodes"), table(spark, d, "companies"), "comp_name", "symbol", "name")

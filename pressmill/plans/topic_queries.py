@@ -183,11 +183,9 @@ def v14_nmf(spark, d):
 
 @_register()
 def v15_lda(spark, d):
-    c = _counts(spark, d)
-    docs = c.groupBy("id").agg(F.flatten(F.collect_list(F.array_repeat("term", F.col("n").cast("int")))).alias("words"))
-    vocabulary = topics.vocabulary(docs, "words", 3)
-    model = topics.lda(topics.bag_of_words(spark, vocabulary, "words", "v").transform(docs), "v", 5, steps=10)
-    return model.describeTopics(8).select("topic", F.array_join(F.transform("termIndices", lambda i: F.element_at(F.array(*map(F.lit, vocabulary)), i + 1)), " ").alias("terms")) if len(vocabulary) <= 2000 else model.describeTopics(8).select("topic", "termIndices")
+    docs = table(spark, d, "sentences").select("sent_id", topics.topic_words(F.col("sent_text")).alias("words")).where("words IS NOT NULL")
+    model = topics.lda(topics.bag_of_words(spark, topics.vocabulary(docs, "words", 20), "words", "v").transform(docs), "v", 5, steps=10)
+    return model.describeTopics(8).select("topic", "termIndices", "termWeights")
 
 
 @_register()
