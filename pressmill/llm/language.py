@@ -56,6 +56,14 @@ def stated_language(label) -> F.Column:
     return F.try_element_at(table, head)
 
 
+def _without_name(df: DataFrame, text_col: str, name_col: str | None) -> F.Column:
+    """The text without the name of its site, which is in no language; a null name changes nothing."""
+    if name_col is None:
+        return F.col(text_col)
+    bare = F.replace(F.replace(F.col(text_col), F.col(name_col), F.lit(" ")), F.upper(name_col), F.lit(" "))
+    return F.when(F.length(name_col) > 0, bare).otherwise(F.col(text_col))
+
+
 def paragraphs(text) -> F.Column:
     """The parts between blank lines, each reduced to lower-case letters with single blanks around and between words and a mark before capitals."""
     marked = lambda x: F.regexp_replace(F.regexp_replace(x, r"[^\p{L}\p{M}]+", " "), r"(?<![\p{L}\p{M}])(?=[\p{Lu}\p{Lt}])", _CAPITAL_MARK)
@@ -153,19 +161,19 @@ class LanguageFilter:
         return out
 
 
-def fit_filter(df: DataFrame, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE) -> LanguageFilter:
+def fit_filter(df: DataFrame, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE, name_col: str | None = None) -> LanguageFilter:
     """Fits to at most ``sample`` labelled rows of each language, those with the least hash of the id."""
     labelled = df.where(F.col(id_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).alias("id"), stated_language(F.col(label_col)).alias("lang")).where(F.col("lang").isNotNull())
     first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     chosen = labelled.distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample).select("id", "lang")
-    rows = df.select(F.col(id_col).alias("id"), paragraphs(F.col(text_col)).alias("p")).join(chosen, "id").collect()
+    rows = df.select(F.col(id_col).alias("id"), paragraphs(_without_name(df, text_col, name_col)).alias("p")).join(chosen, "id").collect()
     samples: dict[str, list[str]] = {}
     for r in rows:
         samples.setdefault(r["lang"], []).extend(p for p in r["p"] if len(p) > 2)
     return fit(samples)
 
 
-def detect_languages(df: DataFrame, model: LanguageFilter, id_col: str = "art_id", text_col: str = "art_text") -> DataFrame:
+def detect_languages(df: DataFrame, model: LanguageFilter, id_col: str = "art_id", text_col: str = "art_text", name_col: str | None = None) -> DataFrame:
     """(id, par from 0, lang, confidence) of every paragraph that has a letter.
 
     ``confidence`` is the share of the best language in the best two. A null or
@@ -174,7 +182,7 @@ def detect_languages(df: DataFrame, model: LanguageFilter, id_col: str = "art_id
     """
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    src = df.where(F.length(text_col) > 0).select(F.col(id_col).alias("id"), paragraphs(F.col(text_col)).alias("p"))
+    src = df.where(F.length(text_col) > 0).select(F.col(id_col).alias("id"), paragraphs(_without_name(df, text_col, name_col)).alias("p"))
     kind = src.schema["id"].dataType.simpleString()
 
     def make():

@@ -15,14 +15,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     articles = table(spark, d, "articles")
-    model = language.fit_filter(articles, "art_id", "art_text", "art_language")
-    return language.label_cases(language.detect_languages(articles, model), articles).select(F.col("id").alias("art_id"), "lang")
+    model = language.fit_filter(articles, "art_id", "art_text", "art_language", name_col="art_source")
+    return language.label_cases(language.detect_languages(articles, model, name_col="art_source"), articles).select(F.col("id").alias("art_id"), "lang")
 
 
 def p1_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     articles = table(spark, d, "articles")
-    model = language.fit_filter(articles, "art_id", "art_text", "art_language")
-    return language.detect_languages(articles, model).select(F.col("id").alias("art_id"), "par", "lang", F.round("confidence", 4).alias("confidence")).distinct()
+    model = language.fit_filter(articles, "art_id", "art_text", "art_language", name_col="art_source")
+    return language.detect_languages(articles, model, name_col="art_source").select(F.col("id").alias("art_id"), "par", "lang", F.round("confidence", 4).alias("confidence")).distinct()
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
