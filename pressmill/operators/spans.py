@@ -149,7 +149,7 @@ def fuzzy_best(values: DataFrame, names: DataFrame, value_col: str, key_col: str
     n = names.where(F.length(F.trim(name_col)) > 0).select(F.col(key_col).alias("key"), low(F.col(name_col)).alias("n")).distinct()
     v, n = v.withColumn("gv", grams(F.col("v"))), n.withColumn("gn", grams(F.col("n")))
     left = v.select("value", "v", F.size("gv").alias("sv"), F.explode("gv").alias("g"))
-    pairs = left.join(n.select("key", "n", F.size("gn").alias("sn"), F.explode("gn").alias("g")), "g")
+    pairs = left.join(n.select("key", "n", F.size("gn").alias("sn"), F.explode("gn").alias("g")).hint("merge"), "g")
     share = least / 100.0
     pairs = pairs.groupBy("value", "v", "key", "n", "sv", "sn").agg(F.count("*").alias("c")).where(2 * F.least(F.length("v"), F.length("n")) >= share * (F.length("v") + F.length("n")))
     lost = F.floor((1 - share) * (F.length("v") + F.length("n")))
