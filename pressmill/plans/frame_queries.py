@@ -247,6 +247,39 @@ def s24_rows_by_index(spark, d):
     return wanted.join(table(spark, d, "articles").select("art_id", "art_title").distinct(), "art_id")
 
 
+@_register("SELECT art_id, len(ner_coref) AS sentences, ner_coref[1].sentence AS first_sentence FROM (SELECT DISTINCT ON (art_id) art_id, ner_coref FROM articles ORDER BY art_id) WHERE len(ner_coref) > 0")
+def sel_p1_struct_fields(spark, d):
+    a = _articles(spark, d).where("size(ner_coref) > 0")
+    return a.select("art_id", F.size("ner_coref").cast("bigint").alias("sentences"), F.try_element_at("ner_coref", F.lit(1))["sentence"].alias("first_sentence"))
+
+
+@_register("SELECT sent_id, art_id FROM sentences WHERE NOT (sent_text IS NULL) AND top_id IS NOT NULL")
+def sel_p11_not_null(spark, d):
+    return table(spark, d, "sentences").where(F.col("sent_text").isNotNull() & F.col("top_id").isNotNull()).select("sent_id", "art_id")
+
+
+@_register("SELECT symbol AS comp_symbol_raw, isin AS comp_isin FROM symbol_isin")
+def sel_p15_rename(spark, d):
+    return table(spark, d, "symbol_isin").withColumnsRenamed({"symbol": "comp_symbol_raw", "isin": "comp_isin"})
+
+
+@_register("SELECT node_id, CASE WHEN comp_symbol IS NOT NULL THEN 'symbol' WHEN comp_isin IS NOT NULL AND comp_isin <> 'isin_not_found' THEN 'isin' ELSE 'name' END AS known_by FROM company_nodes")
+def sel_p17_conditional(spark, d):
+    known = F.when(F.col("comp_symbol").isNotNull(), "symbol").when(F.col("comp_isin").isNotNull() & (F.col("comp_isin") != "isin_not_found"), "isin").otherwise("name")
+    return table(spark, d, "company_nodes").select("node_id", known.alias("known_by"))
+
+
+@_register("SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 6) AS x, round(CAST(embedding[2] AS DOUBLE), 6) AS y, round(CAST(embedding[3] AS DOUBLE), 6) AS z FROM embeddings WHERE len(embedding) >= 3")
+def x4_vector_columns(spark, d):
+    e = table(spark, d, "embeddings").where("size(embedding) >= 3")
+    return e.select("vec_id", *[F.round(F.col("embedding")[i].cast("double"), 6).alias(c) for i, c in enumerate("xyz")])
+
+
+@_register("SELECT symbol, split_part(symbol, '.', 1) AS comp_symbol_raw, split_part(symbol, '.', 2) AS comp_symbol_country FROM companies")
+def x5_split_columns(spark, d):
+    return frames.split_symbol(table(spark, d, "companies"), "symbol").select("symbol", "comp_symbol_raw", "comp_symbol_country")
+
+
 def queries() -> dict:
     return dict(_Q)
 

@@ -257,6 +257,14 @@ def likeness_above(spark, e, asked, least: float, block: int = 2000):
     return out if out is not None else spark.createDataFrame([], "a bigint, b bigint, likeness double")
 
 
+@_register()
+def j13_class_properties(spark, d):
+    """The schema's classes and properties, by joining its triples."""
+    from pressmill.sources import ontology
+
+    return ontology.class_properties(ontology.triple_frame(spark, ontology.parse_turtle(ontology.NEWS_GRAPH)))
+
+
 def queries() -> dict:
     return dict(_Q)
 

@@ -219,6 +219,31 @@ def rx_cleaned_articles(spark, d):
     return table(spark, d, "articles").where("art_text IS NOT NULL").select("art_id", patterns.cleaned(F.col("art_text")).alias("pp_art_text")).distinct()
 
 
+@_register("SELECT art_id, CAST(len(regexp_extract_all(art_text, '[^.!?]+[.!?]*')) AS BIGINT) AS pieces FROM (SELECT DISTINCT art_id, art_text FROM articles) WHERE length(art_text) > 0")
+def r29_plain_sentence_split(spark, d):
+    """The split that knows only terminators, for comparison with ``p7_found``."""
+    a = table(spark, d, "articles").where("length(art_text) > 0").select("art_id", "art_text").distinct()
+    return a.select("art_id", F.size(F.regexp_extract_all("art_text", F.lit("[^.!?]+[.!?]*"), F.lit(0))).cast("bigint").alias("pieces"))
+
+
+@_register("SELECT node_id, regexp_full_match(comp_name, '[ -~]*') AS is_ascii, length(replace(lower(comp_name), lower(comp_name)[1], '')) = 0 AS all_equal FROM company_nodes WHERE length(comp_name) > 0")
+def r37_letter_tests(spark, d):
+    n = table(spark, d, "company_nodes").where("length(comp_name) > 0")
+    low = F.lower("comp_name")
+    return n.select("node_id", F.col("comp_name").rlike("^[ -~]*$").alias("is_ascii"), (F.length(F.replace(low, F.substring(low, 1, 1), F.lit(""))) == 0).alias("all_equal"))
+
+
+@_register("SELECT mention_id, ent_text, label, start_char, end_char FROM mentions WHERE ent_text <> '' AND label <> ''")
+def k10_entity_table(spark, d):
+    return table(spark, d, "mentions").where("ent_text <> '' AND label <> ''").select("mention_id", "ent_text", "label", "start_char", "end_char")
+
+
+@_register("SELECT top_id, string_agg(DISTINCT w, ' ' ORDER BY w) AS joined FROM (SELECT top_id, unnest(regexp_extract_all(lower(top_description), '[a-z]{2,}')) AS w FROM topics) GROUP BY top_id")
+def r34_joined_words(spark, d):
+    w = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("top_description"), F.lit("[a-z]{2,}"), F.lit(0))))
+    return table(spark, d, "topics").where(F.size(w) > 0).select("top_id", F.array_join(w, " ").alias("joined"))
+
+
 def _find(name: str):
     def query(spark, d):
         f = patterns.found(F.col("text"), name)
