@@ -148,7 +148,7 @@ def v3_l2_scaled_vectors(spark, d):
 
 @_register(f"WITH {_E} SELECT vec_id, CAST(k AS INTEGER) AS k, round(percent_rank() OVER (PARTITION BY k ORDER BY v), 6) AS v FROM e WHERE k < 4")
 def v7_percent_rank(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("k", "v")).where("k < 4").select("vec_id", "k", F.col("v").cast("double").alias("v"))
+    e = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("k", "v")).select("vec_id", "k", F.col("v").cast("double").alias("v"))
     return e.select("vec_id", "k", F.round(F.percent_rank().over(Window.partitionBy("k").orderBy("v")), 6).alias("v"))
 
 
