@@ -225,14 +225,14 @@ def nearest_to(spark, e, asked, block: int = 2000):
 
 @_register(f"SELECT a.vec_id AS a, b.vec_id AS b, round({_COS}, 6) AS likeness FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.label = b.label WHERE a.vec_id % 20 = 0 AND {_COS} > 0.3")
 def g19_cosine_pairs(spark, d):
-    """Every twentieth vector against all; blocks of them go to the executors."""
-    e = table(spark, d, "embeddings").select("vec_id", "label", unit(F.col("embedding")).alias("u"))
-    asked = ((r["vec_id"], r["label"], list(r["u"])) for r in e.where("vec_id % 20 = 0").toLocalIterator())
+    """Every twentieth vector against all others, of any label; blocks of them go to the executors."""
+    e = table(spark, d, "embeddings").select("vec_id", (F.col("vec_id") % 20 == 0).alias("asked"), unit(F.col("embedding")).alias("u")).where("vec_id IS NOT NULL AND u IS NOT NULL")
+    asked = ((r["vec_id"], list(r["u"])) for r in e.where("asked").toLocalIterator())
     return likeness_above(spark, e, asked, 0.3)
 
 
 def likeness_above(spark, e, asked, least: float, block: int = 2000):
-    """(a, b, likeness) of asked vectors with later ones of the same label."""
+    """(a, b, likeness) of asked vectors a with all others; of two asked ones a is the smaller. e: vec_id, asked, u."""
     import numpy as np
     import pyarrow as pa
 
@@ -240,19 +240,19 @@ def likeness_above(spark, e, asked, least: float, block: int = 2000):
 
     out, asked = None, iter(asked)
     while part := list(islice(asked, block)):
-        shared = spark.sparkContext.broadcast((np.array([i for i, _, _ in part]), np.array([x for _, x, _ in part]), np.array([v for _, _, v in part])))
+        shared = spark.sparkContext.broadcast((np.array([i for i, _ in part]), np.array([v for _, v in part])))
 
         def make(shared=shared):
             def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-                ids, labels, q = shared.value
-                other, kind = np.array(batch.column(0).to_pylist()), np.array(batch.column(1).to_pylist())
+                ids, q = shared.value
+                other, also = np.array(batch.column(0).to_pylist()), np.array(batch.column(1).to_pylist(), bool)
                 like = q @ np.array(batch.column(2).to_pylist()).T
-                i, j = np.nonzero((like > least) & (ids[:, None] < other[None]) & (labels[:, None] == kind[None]))
+                i, j = np.nonzero((like > least) & (ids[:, None] != other[None]) & ~(also[None] & (other[None] < ids[:, None])))
                 return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(other[j]), pa.array(np.round(like[i, j], 6))], ["a", "b", "likeness"])
 
             return step
 
-        found = map_batches(e.select("vec_id", "label", "u"), make, "a bigint, b bigint, likeness double")
+        found = map_batches(e.select("vec_id", "asked", "u"), make, "a bigint, b bigint, likeness double")
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], "a bigint, b bigint, likeness double")
 

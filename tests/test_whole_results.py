@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from pressmill.plans import topic_queries
+from pressmill.plans import graph_queries, topic_queries
 
 
 def vectors(spark, path, x, labels=None):
@@ -16,3 +16,15 @@ def test_percent_rank_of_every_feature(spark, tmp_path):
     vectors(spark, tmp_path, x)
     got = {(r["vec_id"], r["k"]): r["v"] for r in topic_queries.v7_percent_rank(spark, str(tmp_path)).collect()}
     assert got == {(i, k): pytest.approx((x[:, k] < x[i, k]).sum() / 29, abs=1e-6) for i in range(30) for k in range(7)}
+
+
+def test_cosine_pairs_with_smaller_ids_and_other_labels(spark, tmp_path):
+    x = np.random.default_rng(2).normal(size=(70, 6))
+    vectors(spark, tmp_path, x, [i % 3 for i in range(70)])
+    u = x.astype(np.float32).astype(float)
+    u = u / np.linalg.norm(u, axis=1, keepdims=True)
+    like = u @ u.T
+    expected = {(a, b): pytest.approx(like[a, b], abs=1e-5) for a in range(0, 70, 20) for b in range(70) if a != b and like[a, b] > 0.3 and not (b % 20 == 0 and b < a)}
+    got = graph_queries.g19_cosine_pairs(spark, str(tmp_path)).collect()
+    assert len(got) == len(expected) and {(r["a"], r["b"]): r["likeness"] for r in got} == expected
+    assert any(b < a for a, b in expected) and any(a % 3 != b % 3 for a, b in expected)
