@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
+from itertools import islice
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
@@ -180,13 +182,96 @@ def mean_shift_centres(sample: np.ndarray, quantile: float = 0.2, floor: float =
     return np.array(centres)
 
 
-def mean_shift(df: DataFrame, id_col: str, column: str, sample: int = 1000) -> DataFrame:
-    """(id, cluster_label): centres of at most ``sample`` rows with the least hash of the id; every row goes to its nearest centre."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(column).cast("array<double>").alias("x"))
-    points = np.array([r["x"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(sample).collect()])
-    centres = mean_shift_centres(points)
+def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances, feature by feature: exact where points are equal, and of the size of the result."""
+    out = np.zeros((len(a), len(b)))
+    for j in range(a.shape[1]):
+        out += (a[:, j, None] - b[None, :, j]) ** 2
+    return out
+
+
+def _over_rows(rows: DataFrame, points: np.ndarray, radii: np.ndarray | None, width: float = 0.0, piece: int = 1000) -> np.ndarray:
+    """For each point, over all rows: the number within each of its radii or, without radii, the sum and the number within ``width``."""
+    import pyarrow as pa
+
+    shared = rows.sparkSession.sparkContext.broadcast((points, radii))
+
+    def partial(batches):
+        points, radii = shared.value
+        total = np.zeros((len(points), points.shape[1] + 1 if radii is None else radii.shape[1]))
+        for batch in batches:
+            for at in range(0, batch.num_rows, piece):
+                x = np.array(batch.column(0).slice(at, piece).to_pylist(), float)
+                d = _squares(points, x)
+                if radii is None:
+                    near = (d <= width**2).astype(float)
+                    total += np.column_stack([near @ x, near.sum(1)])
+                else:
+                    d = np.sort(np.sqrt(d), axis=1)
+                    total += np.array([np.searchsorted(d[i], radii[i], side="right") for i in range(len(points))])
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(points)), pa.int32()), pa.array(total.tolist(), pa.list_(pa.float64()))], ["i", "part"])
+
+    parts = rows.select("x").mapInArrow(partial, "i int, part array<double>")
+    out = np.zeros((len(points), points.shape[1] + 1 if radii is None else radii.shape[1]))
+    for r in parts.toLocalIterator():
+        out[r["i"]] += r["part"]
+    shared.unpersist()
+    return out
+
+
+def mean_shift_width(rows: DataFrame, quantile: float = 0.2, floor: float = 0.001, block: int = 1000, marks: int = 64, passes: int = 5) -> float:
+    """The mean over all rows of the distance to the given share of all rows; each distance is narrowed down by counts within radii."""
+    n = rows.count()
+    k = max(1, int(n * quantile))
+    box = rows.select(F.posexplode("x").alias("k", "v")).groupBy("k").agg((F.max("v") - F.min("v")).alias("w")).collect()
+    far = math.sqrt(sum(r["w"] ** 2 for r in box)) * (1 + 1e-9)
+    total = 0.0
+    for points in _blocks(rows, block):
+        low, high = np.full(len(points), -far * 1e-12), np.full(len(points), far)
+        for _ in range(passes):
+            radii = low[:, None] + (high - low)[:, None] * np.arange(1, marks + 1) / marks
+            radii[:, -1] = high
+            first = (_over_rows(rows, points, radii) >= k).argmax(1)
+            each = np.arange(len(points))
+            low, high = np.where(first > 0, radii[each, first - 1], low), radii[each, first]
+        total += float(high.sum())
+    return max(floor, total / n)
+
+
+def _blocks(rows: DataFrame, block: int):
+    it = rows.select("x").toLocalIterator()
+    while part := [r["x"] for r in islice(it, block)]:
+        yield np.array(part, float)
+
+
+def mean_shift(df: DataFrame, id_col: str, column: str, quantile: float = 0.2, floor: float = 0.001, steps: int = 100, block: int = 1000) -> DataFrame:
+    """(id, cluster_label): flat-kernel mean shift over all rows, as ``mean_shift_centres``; every row goes to its nearest centre.
+
+    Every row is a start; blocks of starts are sent to the executors, and each step sums the
+    rows within the bandwidth in Spark. Starts that met go on as one. The work grows with the
+    square of the rows.
+    """
+    every = df.select(F.col(id_col).alias("id"), F.col(column).cast("array<double>").alias("x"))
+    rows = every.where("x IS NOT NULL")
+    if rows.isEmpty():
+        return every.select("id", F.lit(-1).alias("cluster_label"))
+    width = mean_shift_width(rows, quantile, floor, block)
+    ends: dict[tuple, tuple[float, np.ndarray]] = {}
+    for points in _blocks(rows, block):
+        for step in range(steps + 1):
+            points = points[np.unique(np.round(points / (1e-9 * width)), axis=0, return_index=True)[1]]
+            found = _over_rows(rows, points, None, width)
+            support = found[:, -1]
+            new = found[:, :-1] / np.maximum(1, support)[:, None]
+            if step == steps or np.abs(new - points).max() < 1e-6 * width:
+                break
+            points = new
+        for p, s in zip(points, support):
+            ends[tuple(np.round(p / (1e-6 * width)))] = (s, p)
+    centres: list[np.ndarray] = []
+    for _, p in sorted(ends.values(), key=lambda e: (-e[0], *e[1])):
+        if all(((p - c) ** 2).sum() > width**2 for c in centres):
+            centres.append(p)
     far = lambda c: F.aggregate(F.zip_with("x", F.array(*[F.lit(float(v)) for v in c]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    if not len(centres):
-        return rows.select("id", F.lit(-1).alias("cluster_label"))
     distances = F.array(*[far(c) for c in centres])
-    return rows.select("id", (F.array_position(distances, F.array_min(distances)) - 1).cast("int").alias("cluster_label"))
+    return every.select("id", (F.array_position(distances, F.array_min(distances)) - 1).cast("int").alias("cluster_label"))

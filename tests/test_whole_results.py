@@ -2,7 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from pressmill.operators import topics
 from pressmill.plans import graph_queries, topic_queries
 
 
@@ -28,3 +30,17 @@ def test_cosine_pairs_with_smaller_ids_and_other_labels(spark, tmp_path):
     got = graph_queries.g19_cosine_pairs(spark, str(tmp_path)).collect()
     assert len(got) == len(expected) and {(r["a"], r["b"]): r["likeness"] for r in got} == expected
     assert any(b < a for a, b in expected) and any(a % 3 != b % 3 for a, b in expected)
+
+
+def test_mean_shift_uses_every_row(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(0, 0.1, (1100, 2)), rng.normal(0, 0.1, (3, 2)) + 30])
+    ids = [r["id"] for r in spark.range(len(x)).orderBy(F.xxhash64("id"), "id").collect()]  # the small cluster has the greatest hashes
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in zip(ids, x)], "id bigint, x array<double>").repartition(3)
+    found = {r["id"]: r["cluster_label"] for r in topics.mean_shift(df, "id", "x").collect()}
+    label = [found[i] for i in ids]
+    centres = topics.mean_shift_centres(x)
+    assert label == ((x[:, None] - centres[None]) ** 2).sum(-1).argmin(1).tolist()
+    assert len(set(label[1100:])) == 1 and label[1100] not in label[:1100]
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    assert topics.mean_shift_width(df) == pytest.approx(np.sort(d, axis=1)[:, 219].mean(), rel=1e-6)
