@@ -46,6 +46,56 @@ def tf_idf(counts: DataFrame, docs: int) -> DataFrame:
     return l2_weights(raw, "v")
 
 
+def likest_terms(weights: DataFrame, n: int, block: int = 2000, piece: int = 1000) -> DataFrame:
+    """(term, other, likeness): the ``n`` pairs of terms most like over all terms, term > other; ties in their order.
+
+    Weights are (term, id, w) of length 1 for each term. A term is a dense vector over the ids, so these must be few (topics);
+    blocks of terms go to the executors, each task keeps its own best ``n``.
+    """
+    import pyarrow as pa
+
+    from pressmill.operators.frames import dense_ids
+    from pressmill.plans.arrow import map_batches
+    from pressmill.plans.lineage import cut
+
+    spark = weights.sparkSession
+    at = {r["id"]: i for i, r in enumerate(weights.select("id").distinct().orderBy("id").collect())}
+    terms = cut(dense_ids(weights.groupBy("term").agg(F.collect_list("id").alias("ids"), F.collect_list("w").alias("ws")), "idx", ["term"]).select("idx", "term", "ids", "ws"))
+
+    def dense(ids: list, ws: list) -> np.ndarray:
+        x = np.zeros((len(ids), len(at)))
+        for i, (k, w) in enumerate(zip(ids, ws)):
+            x[i, [at[j] for j in k]] = w
+        return x
+
+    out, rows = None, terms.toLocalIterator()
+    while part := sorted(islice(rows, block)):
+        shared = spark.sparkContext.broadcast((np.array([r["idx"] for r in part]), [r["term"] for r in part], dense([r["ids"] for r in part], [r["ws"] for r in part])))
+
+        def make(shared=shared):
+            def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+                other, names, y = shared.value
+                found = []
+                for start in range(0, batch.num_rows, piece):
+                    idx, term, ids, ws = (c.to_pylist() for c in batch.slice(start, piece).columns)
+                    order = np.argsort(idx)
+                    raw = dense(ids, ws)[order] @ y.T
+                    like = np.where((raw > 0) & (np.array(idx)[order][:, None] > other[None]), np.round(raw, 6), -1.0).ravel()
+                    last = np.partition(like, len(like) - n)[len(like) - n] if len(like) > n else -1.0
+                    above = np.flatnonzero(like > last)
+                    best = np.concatenate([above, np.flatnonzero(like == last)[: n - len(above)]]) if len(like) > n else above
+                    found += [(term[order[i // len(other)]], names[i % len(other)], float(like[i])) for i in best if like[i] >= 0]
+                return pa.RecordBatch.from_arrays([pa.array([r[0] for r in found], pa.string()), pa.array([r[1] for r in found], pa.string()), pa.array([r[2] for r in found], pa.float64())], ["term", "other", "likeness"])
+
+            return step
+
+        best = map_batches(terms, make, "term string, other string, likeness double")
+        out = best if out is None else out.unionByName(best)
+    if out is None:
+        return spark.createDataFrame([], "term string, other string, likeness double")
+    return out.orderBy(F.desc("likeness"), "term", "other").limit(n)
+
+
 def vocabulary(docs: DataFrame, words_col: str, min_docs: int = 1) -> list[str]:
     """Sorted words of at least ``min_docs`` documents, for a fixed vocabulary on the driver."""
     rows = docs.select(F.explode(F.array_distinct(words_col)).alias("term")).groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_docs)

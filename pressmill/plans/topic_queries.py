@@ -102,12 +102,8 @@ def v25_top_word_shares(spark, d):
   k AS (SELECT id, term, n / sqrt(sum(CAST(n AS DOUBLE) * n) OVER (PARTITION BY term)) AS w FROM x)
   SELECT a.term, b.term AS other, round(sum(a.w * b.w), 6) AS likeness FROM k a JOIN k b ON a.id = b.id AND a.term > b.term GROUP BY a.term, b.term ORDER BY 3 DESC, 1, 2 LIMIT 40""")
 def j16_term_likeness(spark, d):
-    c = _counts(spark, d)
-    frequent = c.groupBy("term").agg(F.sum("n").alias("s")).orderBy(F.desc("s"), "term").limit(60).select("term")
-    k = topics.l2_weights(c.join(frequent, "term").select(F.col("term").alias("id"), F.col("id").alias("term"), "n")).select(F.col("id").alias("a"), "term", F.col("w").alias("v"))
-    o = k.select(F.col("a").alias("b"), "term", F.col("v").alias("u"))
-    pairs = k.join(o, "term").where("a > b").groupBy("a", "b").agg(F.round(F.sum(F.col("v") * F.col("u")), 6).alias("likeness"))
-    return pairs.select(F.col("a").alias("term"), F.col("b").alias("other"), "likeness").orderBy(F.desc("likeness"), "term", "other").limit(40)
+    k = topics.l2_weights(_counts(spark, d).select(F.col("term").alias("id"), F.col("id").alias("term"), "n"))
+    return topics.likest_terms(k.select(F.col("id").alias("term"), F.col("term").alias("id"), "w"), 40)
 
 
 @_register("""WITH s AS (SELECT sent_id, list_distinct(regexp_extract_all(lower(sent_text), '[a-z]{4,}')) AS w FROM sentences WHERE sent_text IS NOT NULL), q AS (SELECT w AS qw FROM s ORDER BY sent_id LIMIT 1)

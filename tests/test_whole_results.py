@@ -44,3 +44,18 @@ def test_mean_shift_uses_every_row(spark):
     assert len(set(label[1100:])) == 1 and label[1100] not in label[:1100]
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
     assert topics.mean_shift_width(df) == pytest.approx(np.sort(d, axis=1)[:, 219].mean(), rel=1e-6)
+
+
+def test_like_terms_are_sought_among_all(spark, tmp_path):
+    common = " ".join(f"wort{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(70))
+    rows = [(1, f"{common} {common} xylo xenon"), (2, f"{common} zebra"), (3, f"{common} zebra zinn"), (4, "zinn xylo aal aar")]
+    spark.createDataFrame([(i, t, f"t{i}") for i, t in rows], "sent_id bigint, sent_text string, top_id string").write.parquet(f"{tmp_path}/sentences.parquet")
+    words = sorted({w for _, t in rows for w in t.split()})
+    x = np.array([[t.split().count(w) for _, t in rows] for w in words], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    pairs = [(words[i], words[j], round(float(x[i] @ x[j]), 6)) for i in range(len(words)) for j in range(i) if x[i] @ x[j] > 0]
+    expected = sorted(pairs, key=lambda p: (-p[2], p[0], p[1]))
+    for n, block in ((40, 7), (40, 2000), (5000, 7)):
+        weights = spark.createDataFrame([(w, str(k), float(x[i, k])) for i, w in enumerate(words) for k in range(4) if x[i, k]], "term string, id string, w double")
+        assert [tuple(r) for r in topics.likest_terms(weights, n, block=block).collect()] == expected[:n]
+    assert [tuple(r) for r in topic_queries.j16_term_likeness(spark, str(tmp_path)).collect()] == expected[:40]
