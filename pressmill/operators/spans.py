@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pressmill.functions.text import name_without_legal
 from pressmill.plans.arrow import map_batches
 
 #: Characters of a dictionary that are sent to the executors; a larger one is matched in blocks.
@@ -135,7 +136,10 @@ def indel_ratio(a: str, b: str) -> float:
 
 
 def fuzzy_best(values: DataFrame, names: DataFrame, value_col: str, key_col: str, name_col: str, least: float = 90.0) -> DataFrame:
-    """(value, key, ratio): the listed name most like each distinct value, above ``least``; ties go to the least key.
+    """(value, key, ratio): the listed name most like each distinct value, above ``least``.
+
+    Values and names are compared with and without their legal form, the better ratio counts.
+    Ties go to a name that is as like with both legal forms, then to the least key.
 
     Candidates come from an equi-join on runs of three characters. Strings of ratio r
     differ by at most (1 - r) * (both lengths) insertions and deletions, each of
@@ -145,13 +149,15 @@ def fuzzy_best(values: DataFrame, names: DataFrame, value_col: str, key_col: str
     """
     low = lambda c: F.lower(F.trim(c))
     grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3))))
-    v = values.where(F.length(F.trim(value_col)) > 0).select(F.col(value_col).alias("value")).distinct().withColumn("v", low(F.col("value")))
-    n = names.where(F.length(F.trim(name_col)) > 0).select(F.col(key_col).alias("key"), low(F.col(name_col)).alias("n")).distinct()
+    forms = lambda c: F.explode(F.array_distinct(F.array(low(c), low(name_without_legal(c)))))
+    v = values.where(F.length(F.trim(value_col)) > 0).select(F.col(value_col).alias("value")).distinct().select("value", forms(F.col("value")).alias("v")).withColumn("fv", F.col("v") == low(F.col("value")))
+    n = names.where(F.length(F.trim(name_col)) > 0).select(F.col(key_col).alias("key"), F.col(name_col).alias("name")).distinct().select("key", "name", forms(F.col("name")).alias("n"))
+    n = n.groupBy("key", "n").agg(F.max(F.col("n") == low(F.col("name"))).alias("fn"))
     v, n = v.withColumn("gv", grams(F.col("v"))), n.withColumn("gn", grams(F.col("n")))
-    left = v.select("value", "v", F.size("gv").alias("sv"), F.explode("gv").alias("g"))
-    pairs = left.join(n.select("key", "n", F.size("gn").alias("sn"), F.explode("gn").alias("g")).hint("merge"), "g")
+    left = v.select("value", "v", "fv", F.size("gv").alias("sv"), F.explode("gv").alias("g"))
+    pairs = left.join(n.select("key", "n", "fn", F.size("gn").alias("sn"), F.explode("gn").alias("g")).hint("merge"), "g")
     share = least / 100.0
-    pairs = pairs.groupBy("value", "v", "key", "n", "sv", "sn").agg(F.count("*").alias("c")).where(2 * F.least(F.length("v"), F.length("n")) >= share * (F.length("v") + F.length("n")))
+    pairs = pairs.groupBy("value", "v", "fv", "key", "n", "fn", "sv", "sn").agg(F.count("*").alias("c")).where(2 * F.least(F.length("v"), F.length("n")) >= share * (F.length("v") + F.length("n")))
     lost = F.floor((1 - share) * (F.length("v") + F.length("n")))
     pairs = pairs.where(F.col("c") >= F.least("sv", "sn") - 3 * lost)
 
@@ -159,9 +165,9 @@ def fuzzy_best(values: DataFrame, names: DataFrame, value_col: str, key_col: str
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             ratio = [indel_ratio(a, b) for a, b in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist())]
             keep = pa.array([r > least for r in ratio])
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ratio, pa.float64())], ["value", "key", "ratio"]).filter(keep)
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ratio, pa.float64()), batch.column(4)], ["value", "key", "ratio", "whole"]).filter(keep)
 
         return step
 
-    scored = map_batches(pairs.select("value", "v", "key", "n"), make, "value string, key string, ratio double")
-    return scored.groupBy("value").agg(F.max("ratio").alias("ratio"), F.min_by("key", F.struct(-F.col("ratio"), "key")).alias("key")).select("value", "key", F.round("ratio", 4).alias("ratio"))
+    scored = map_batches(pairs.select("value", "v", "key", "n", (F.col("fv") & F.col("fn")).alias("whole")), make, "value string, key string, ratio double, whole boolean")
+    return scored.groupBy("value").agg(F.max("ratio").alias("ratio"), F.min_by("key", F.struct(-F.col("ratio"), ~F.col("whole"), "key")).alias("key")).select("value", "key", F.round("ratio", 4).alias("ratio"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pressmill.operators import topics
+from pressmill.operators import spans, topics
 from pressmill.plans import graph_queries, topic_queries
 
 
@@ -46,6 +46,13 @@ def test_mean_shift_uses_every_row(spark):
     assert topics.mean_shift_width(df) == pytest.approx(np.sort(d, axis=1)[:, 219].mean(), rel=1e-6)
 
 
+def test_fuzzy_with_and_without_legal_form(spark):
+    v = spark.createDataFrame([("Nalfalvervik",), ("Zeldorova Chemie",), ("Bolta SE",), ("Bolta AG",), ("Kurz",)], "comp_name string")
+    n = spark.createDataFrame([("N", "Nalfalvervik GmbH & Co. KG"), ("Z", "Zeldorova Chemie GmbH & Co. KG"), ("B1", "Bolta AG"), ("B2", "Bolta SE"), ("L", "Langer GmbH")], "symbol string, name string")
+    got = {r["value"]: (r["key"], r["ratio"]) for r in spans.fuzzy_best(v, n, "comp_name", "symbol", "name").collect()}
+    assert got == {"Nalfalvervik": ("N", 100.0), "Zeldorova Chemie": ("Z", 100.0), "Bolta SE": ("B2", 100.0), "Bolta AG": ("B1", 100.0)}
+
+
 def test_like_terms_are_sought_among_all(spark, tmp_path):
     common = " ".join(f"wort{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(70))
     rows = [(1, f"{common} {common} xylo xenon"), (2, f"{common} zebra"), (3, f"{common} zebra zinn"), (4, "zinn xylo aal aar")]
