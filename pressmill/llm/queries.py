@@ -73,7 +73,8 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
-    return toxicity.score_documents(table(spark, d, "documents"), toxicity.fit_reviewed(table(spark, d, "review_samples")))
+    documents = table(spark, d, "documents")
+    return toxicity.score_documents(documents, toxicity.fit_reviewed(documents, table(spark, d, "review_samples")))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

@@ -1,332 +1,481 @@
-"""Abusive, hateful and sexual passages, by a linear-chain conditional random field.
-
-The field is fitted to reviewed snippets whose tokens carry the snippet's
-category. Its features are words, word classes and the classes met in the rest of
-the sentence; disguised spellings (digits and signs for letters, spaced or repeated
-letters, stars) are undone before. Forward and backward passes give each
-token's marginals, from which come the score of a document in each category and the
-offsets of the passages. A sentence without any word of a class holds no
-evidence and keeps score 0.
+"""Abusive, hateful and sexual passages, tagged by a linear-chain conditional random field.
+
+The field is fitted to labelled tokens: reviewed snippets, whose tokens carry the
+snippet's category, a short glossary of public words and phrases, and passages of the
+corpus as background. They are strung together, so that the chain learns where one
+passage ends and the next begins. A token's features are generic: the word and
+runs of its letters, how rare the word is in the corpus, its shape beside the one before,
+and whether it was disguised (digits and signs for letters, spaced or repeated letters,
+stars). What a word or a run of letters counts comes from how much oftener labelled
+passages have it than all documents do; the weights are learned.
+
+Nothing is left out beforehand: each sentence of each document is a chain. Forward and
+backward passes give the marginals of every token; runs of tokens above LEAST are the
+offending offsets, the best token of a document is its score in the category.
+
+The fit is bounded: at most SAMPLE reviewed rows, OTHERS background passages and
+SUSPECTS passages that the first field tags itself, of up to PASSAGE characters each,
+those with the least hash. Counts of words and parts cover all documents; they
+live in SLOTS counters, whatever the size of the corpus.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pressmill.plans.arrow import map_batches
+from pressmill.plans.lineage import cut
 
 CATEGORIES = ("abuse", "hate", "sexual")
 LABELS = ("none", *CATEGORIES)
-#: Rows of reviewed snippets that are fitted to, at most.
-SAMPLE = 20_000
-LEAST = 0.5
-
-#: Word classes in English, German, French and Spanish (public vocabulary). A word ending in * stands for all that begin so.
-_ENGLISH = {
-    "INSULT": """idiot idiots moron morons asshole assholes arsehole arseholes dumbass dumbasses scumbag scumbags bitch bastard wanker wankers cretin cretins imbecile imbeciles crybaby dickhead jerk loser retard
-        shithead twat motherfucker fucker cunt prick douchebag halfwit dimwit blockhead numbskull jackass nitwit fool buffoon clown dunce dolt dullard simpleton airhead bonehead knucklehead meathead pinhead
-        birdbrain fathead thickhead lunkhead dipshit dumbfuck fuckwit shitbag dirtbag sleazebag slimeball creep weirdo pervert coward swine weasel turd asshat asswipe bellend knobhead tosser tossers pillock
-        plonker git prat muppet hag skank bimbo whiner sucker scoundrel lowlife ratbag toerag crackhead liar""",
-    "FOUL": "shit damn damned goddamn brainless braindead clueless mindless gutless spineless lying fucking bloody filthy stinking",
-    "THREAT": "yourself beat whipped burn bleed blood suffer drown rot choke hanged strung shot stabbed begs sobs weeps whimpers hang tarred flogged slapped smashed punched kicked thrashed caned lashed horsewhipped clubbed pelted throttled",
-    "WISH": "better favour hell",
-    "KILL": "kill kills killing",
-    "DEHUM": """vermin rat rats scum filth parasite parasites maggot maggots cockroach cockroaches lice bugs insects monkeys apes dogs pigs swine mongrels brutes savages barbarians beasts animals leeches crooks thieves
-        criminals rapists freeloaders scroungers spongers inferior worthless primitive subhuman subhumans plague pestilence garbage rubbish trash sewage dregs riffraff rabble pests""",
-    "GROUP": "foreigner foreigners refugee refugees migrant migrants immigrant immigrants vandorian vandorians ostmarker ostmarkers kelunian kelunians gypsies jews muslims gays blacks",
-    "REMOVE": "driven out wipe exterminate exterminated eradicate annihilate eliminate deported deport camps caged locked rid gassed clean destroys ruins born",
-    "SEX": """fuck porn porno xxx horny kinky slutty busty tits boobs knockers nipples asses arses pussy hookup hookups hardcore softcore topless slut sluts whore whores hooker hookers cum blowjob milf milfs nudes
-        sex sexy erotic erotica screw shag bang bonk hump orgy threesome fetish stripper strippers striptease callgirls camgirls flings""",
-    "BARE": "naked nude bare",
-    "LURE": "women ladies girls cams clips tapes pics videos dates escorts live free tonight limits call all night casual adult mature",
-    "YOU": "you your yourself",
-    "THOSE": "those these somebody should must ought anyone",
+#: Rows of the fit, at most: reviewed ones, background passages, passages the first field tags (and as many that it nearly tags).
+SAMPLE, OTHERS, SUSPECTS = 20_000, 4_000, 2_000
+PASSAGE = 400
+LEAST = 0.4
+#: What the first field must give a passage to be believed, and to be taken as background although it hesitated.
+BELIEVED, HESITANT = 0.8, (0.03, 0.2)
+SLOTS = 1 << 20
+#: Shares of all documents between which the rarity of a word is told apart.
+RARITY = (0.1, 0.03, 0.01, 0.003, 0.001, 0.0003)
+
+#: Public words and phrases with their category, labelled like reviewed rows; ``|`` parts phrases. A parameter of ``fit_reviewed``.
+GLOSSARY = {
+    "abuse": """idiot idiots moron imbecile cretin asshole assholes bastard bitch scumbag jackass dumbass blockhead dimwit dickhead wanker wankers loser crybaby scoundrel brainless braindead clueless
+        shithead goddamn vollidiot arschloch arschlöcher hurensohn missgeburt trottel esel schwachkopf mistkerl dreckskerl drecksau drecksack drecksäcke mistsau kanaille wichser fresse klappe verpiss hirnlos
+        hirnloser verprügeln heulst connard abruti crétin imbécile gueule salaud imbécil idiota gilipollas cabrón
+        |shut your mouth|go to hell with you|kill yourself|i know where you live and you will burn|you will pay in blood|beat him until he begs|ich finde raus wo du wohnst und dann knallt es|geh sterben|you piece of shit
+        |lying rat|miese ratte|dich sollte man verprügeln""",
+    "hate": """scum filth rabble trash savages subhuman inferior leeches crooks exterminate eradicate caged abschaum gesindel schmarotzer untermenschen minderwertig ausrotten vernichten ausmerzen eingesperrt weggesperrt
+        racaille plaga escoria|they are rats|they are born thieves|put them in camps|sie sind ratten|alle ins lager gesteckt""",
+    "sexual": """sex porn porno pornos xxx horny kinky slutty tits boobs asses nude topless hookups hardcore fuck fucking bang shag geile geil titten möpse ärsche ficken bumsen vögeln poppen erotik nackte nacktbilder tabus
+        nues coquines érotique desnudas calientes tetas|naked pics|naked women|screw her all night|wanted to bang her|sex tonight""",
 }
-_GERMAN = {
-    "INSULT": """vollidiot vollidioten idioten schwachkopf schwachköpfe drecksau drecksäue drecksack drecksäcke arschloch arschlöcher arschgeige hurensohn hurensöhne hundesohn wichser wixer vollpfosten trottel
-        volltrottel dreckskerl scheißkerl mistkerl saukerl kanaille mistsau miststück mistvieh mistsäue halunke lump schuft missgeburt spast spasti spacko penner heulsuse hohlkopf dummkopf depp deppen volldepp
-        flachpfeife blödmann blödmänner doofkopf doofmann dussel hornochse hornochsen rindvieh nulpe niete versager waschlappen memme schlappschwanz weichei arschkriecher saftsack schweinehund kotzbrocken
-        stinkstiefel widerling fiesling vollhonk honk pappnase dumpfbacke dödel knallkopf knalltüte hirni dämlack armleuchter pisser schlampe zicke lügner lügenmaul""",
-    "FOUL": "fresse klappe maul schnauze verpiss* scheiß* scheiss* hirnlos* hirntot* verlogen* dreckig* mies* verkommen* erbärmlich* elend* verdammt*",
-    "THREAT": """geteert gefedert sterben heulst flennst winselst jammerst umbringen umbring erschossen aufgehängt aufgeknüpft abgeknallt abgestochen verprügelt verprügeln prügeln verdreschen verhauen vermöbeln
-        kracht knallt rumst scheppert brennst brennen stirb verrecke verrecken gesteinigt gepeitscht ausgepeitscht wohnst winselt bluten blut büßen bereuen bereust verbluten ersaufen""",
-    "WISH": "besserer gefallen hölle",
-    "DEHUM": """ungeziefer ratte ratten maden abschaum pack gesindel gesocks schmarotzer parasiten schädlinge wanzen läuse flöhe zecken insekten kakerlaken affen köter bestien barbaren untermenschen minderwertig*
-        wertlos* primitiv* diebe verbrecher kriminelle betrüger wilde tiere viehzeug dreck müll unrat pöbel brut seuche pest""",
-    "GROUP": "ausländer ausländern flüchtling flüchtlinge flüchtlingen migranten asylanten vandorier vandoriern ostmarker ostmarkern kelune kelunen juden muslime schwule zigeuner",
-    "REMOVE": "raus ausrotten ausgerottet vertreiben vernichten ausmerzen auslöschen beseitigen vergasen abschieben eingesperrt weggesperrt lager sauber zerstört geboren geborene",
-    "SEX": """titten möpse ärsche geile geilen geil versaute sexkontakte sextreffen sexdates sexabenteuer bettabenteuer seitensprung sexfotos sexvideos sexfilme pornos porno pornofilme nacktbilder nacktfotos
-        nacktvideos aktfotos ficken fickt gefickt bumsen vögeln poppen nutte nutten muschi tabus erotik erotisch* hure huren callgirls sex""",
-    "BARE": "nackt nackte nackten nacktes willige willig",
-    "LURE": "frauen damen mädchen videos fotos bilder kostenlose heute nacht ruf anmelden live reife ältere",
-    "YOU": "du dich dein deinem deinen deine dir euch",
-    "THOSE": "diese dieses man sollte müssen gehören",
-}
-_ROMANCE = {
-    "INSULT": """crétin crétins abruti abrutis connard connards connasse salaud salope salopard enfoiré enculé fumier raclure débile imbécile imbéciles ordure bouffon tocard bâtard demeuré dégénéré pourriture charogne
-        imbécil imbéciles idiota idiotas estúpido estúpida gilipollas cabrón cabrones capullo pendejo payaso subnormal tarado mamón cretino bobo necio zopenco mamarracho desgraciado malnacido hijoputa pringado majadero""",
-    "FOUL": "gueule merde mierda pedazo espèce cerebro",
-    "THREAT": "crever crève tuer brûler brûleras pendre frapper fouettés saigner muérete matar quemar azotados sangrar",
-    "WISH": "",
-    "DEHUM": "vermine rats racaille cafards poux parasites voleurs voyous criminels sauvages animaux bêtes déchets fléau peste inférieurs plaga ratas cucarachas piojos parásitos escoria basura chusma gentuza ladrones salvajes animales bestias delincuentes criminales inferiores",
-    "GROUP": "étrangers étranger réfugiés vandoriens ostmarkois kéluniens immigrés extranjeros extranjero refugiados inmigrantes vandorianos ostmarqueses kelunianos",
-    "REMOVE": "dehors fuera expulser expulsar exterminer exterminar propre limpia nature nacimiento",
-    "SEX": "sexe sexo porno chaudes nues coquines érotique* salopes seins desnudas calientes cachondas tetas coños putas guarras eróticas follar",
-    "BARE": "nu nue desnuda desnudo",
-    "LURE": "femmes filles mujeres chicas vidéos fotos gratuites gratis ce soir esta noche appelle llama",
-    "YOU": "tu toi ton ta te vous su sus vosotros",
-    "THOSE": "ces esos estas il faut solo",
-}
-CLASSES = {name: " ".join(words.get(name, "") for words in (_ENGLISH, _GERMAN, _ROMANCE)) for name in _ENGLISH}
-#: Classes of which a sentence needs a word to be looked at.
-TRIGGERS = ("INSULT", "FOUL", "THREAT", "WISH", "DEHUM", "GROUP", "SEX", "BARE", "LURE")
-_EVIDENCE = ("INSULT", "FOUL", "THREAT", "WISH", "DEHUM", "GROUP", "SEX", "BARE")
-
-_SENTENCE = re.compile(r"(?<=[.!?।。！？])(?<!\b\w\.)[\s”“\"»]+|\n[^\S\n]*\n\s*|(?<=[。！？])")
-_TOKEN = re.compile(r"[^\W_](?:[^\W_]|[@$*!€](?=[\w@$*!€]))*|[@$](?:[^\W_]|[@$*!€](?=[\w@$*!€]))+")
-_SPACED = re.compile(r"(?<![\w@$*])[^\W_](?:([ .\-_*])[\w@$](?:\1[\w@$])+)(?![\w@$*])")
-_DISGUISED = re.compile(r"\w[@$*€]+\w?|[@$](?![\d.,]+\s)\w|[a-zß-ɏ]\d+[a-zß-ɏ]|([^\W\d_])\1\1|(?:(?<!\w)(?!s\.p\.a\.|h\.j\.|u\.s\.a\.)[^\W\d_][ .\-_]){3}|\d[a-zß-ɏ]{2}|[\xad\u200b-\u200f\u2060\ufeff]")
-_HIDDEN = re.compile("[­​-‏⁠﻿]")
-_LEET = str.maketrans({"@": "a", "$": "s", "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "!": "i", "€": "e"})
-_AGAIN = re.compile(r"(.)\1\1+")
-
-
-@lru_cache(maxsize=1)
-def _words() -> tuple[dict[str, tuple[str, ...]], list[tuple[str, str]]]:
-    exact: dict[str, list[str]] = {}
-    stems: list[tuple[str, str]] = []
-    for name, words in CLASSES.items():
-        for w in words.split():
-            if w.endswith("*"):
-                stems.append((w[:-1], name))
-            elif name not in exact.setdefault(w, []):
-                exact[w].append(name)
-    return {w: tuple(c) for w, c in exact.items()}, stems
-
-
-@lru_cache(maxsize=200_000)
-def classes_of(token: str) -> tuple[str, ...]:
-    exact, stems = _words()
-    found = exact.get(token)
-    if found is None:
-        found = tuple(c for s, c in stems if token.startswith(s))
-    return found
-
-
-@lru_cache(maxsize=50_000)
-def undisguise(token: str) -> str:
-    """The plain word that a disguised one stands for, or the token itself."""
-    exact, _ = _words()
-    if token in exact:
-        return token
-    plain = token.translate(_LEET) if not token.isdigit() else token
-    for form in (plain, _AGAIN.sub(r"\1", plain), _AGAIN.sub(r"\1\1", plain), token.translate(_LEET | {ord("1"): "l"})):
-        if form in exact:
-            return form
-    if "*" in token and sum(c != "*" for c in token) >= 2:
-        pattern = re.compile("".join(".?" if c == "*" else re.escape(c) for c in plain) + r"\Z")
-        hits = sorted(w for w in exact if abs(len(w) - len(token)) <= 1 and pattern.match(w) and len(w) > 2)
-        if hits:
-            return min(hits, key=lambda w: (abs(len(w) - len(token)), _rank(w), w))
-    return plain if any(c in "@$" for c in token) else _AGAIN.sub(r"\1", token)
-
-
-def _rank(w: str) -> int:
-    return min((list(CLASSES).index(c) for c in classes_of(w) if c in ("INSULT", "SEX", "DEHUM")), default=99)
-
-
-def _join_spaced(m: re.Match) -> str:
-    return m.group().replace(m.group(1), "")
-
-
-def tokens(sentence: str) -> list[str]:
-    low = sentence.lower()
-    if _DISGUISED.search(low):
-        low = _SPACED.sub(_join_spaced, _HIDDEN.sub("", low))
-        return [undisguise(t) for t in _TOKEN.findall(low)]
-    return _TOKEN.findall(low)
-
-
-def features(toks: list[str]) -> list[list[str]]:
-    kinds = [classes_of(t) for t in toks]
-    met = sorted({c for k in kinds for c in k})
-    evident = [c for c in met if c in _EVIDENCE]
-    whole = [f"S:{c}" for c in met] + [f"P:{a}+{b}" for i, a in enumerate(met) for b in met[i + 1 :]]
-    if not evident:
-        whole.append("S:-")
-    return [[f"w:{t}", *(f"c:{c}" for c in k), *whole] for t, k in zip(toks, kinds)]
+
+_HIDDEN = "\xad\u200b-\u200f\u2060\ufeff"
+_WIDE = "\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff"  # scripts without blanks: each character is a token
+_TOKEN = re.compile(rf"[{_WIDE}]|(?:(?![{_WIDE}])[^\W_])(?:(?![{_WIDE}])[\w@$*€{_HIDDEN}])*|[@$€](?:(?![{_WIDE}])[\w@$*€{_HIDDEN}])+")
+_SPACED = re.compile(r"(?<![\w@$*])[^\W\d_](?:([ .\-_*])[\w@$*](?:\1[\w@$*])+)(?![\w@$*])")
+_SPACED_HINT = re.compile(r"(?<!\w)[^\W\d_]([ .\-_*])[\w@$*]\1[\w@$*](?![^\W_])")
+_SENTENCE = re.compile(r"(?<=[.!?…।。！？])[\s”“\"»]+|\n[^\S\n]*\n\s*|(?<=[。！？])")
+_LEET = str.maketrans({"@": "a", "$": "s", "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "€": "e"})
+_AGAIN = re.compile(r"([^\W\d_])\1\1+")
+_STRIP = re.compile(f"[{_HIDDEN}]")
+_PLAIN = re.compile(r"[^\W\d_]+\Z")
+Token = tuple[str, bool, int, int]
+
+
+def glossary_rows(glossary: dict[str, str]) -> list[tuple[str, str]]:
+    """(text, category) of the words and phrases."""
+    out = []
+    for category, text in glossary.items():
+        words, *phrases = text.split("|")
+        out += [(w, category) for w in words.split()] + [(" ".join(p.split()), category) for p in phrases]
+    return out
+
+
+def split_tokens(text: str) -> list[Token]:
+    """(token in lower case, whether it begins with a capital, start, end); spaced-out letters make one token, marked by a blank in front."""
+    low = text.lower()
+    if len(low) != len(text):  # a letter whose lower case is longer
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    if not _SPACED_HINT.search(low):
+        return [(m.group(), low[m.start()] != text[m.start()], m.start(), m.end()) for m in _TOKEN.finditer(low)]
+    out, at = [], 0
+    tokens = lambda a, b: [(t.group(), low[t.start()] != text[t.start()], t.start(), t.end()) for t in _TOKEN.finditer(low, a, b)]
+    for m in _SPACED.finditer(low):
+        out += tokens(at, m.start())
+        out.append((" " + m.group().replace(m.group(1), ""), low[m.start()] != text[m.start()], m.start(), m.end()))
+        at = m.end()
+    return out + tokens(at, len(low))
+
+
+@lru_cache(maxsize=300_000)
+def plain_forms(token: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """The words that a token may stand for, likeliest first, and how it is disguised."""
+    if _PLAIN.match(token) and not _AGAIN.search(token):
+        return (token,), ()
+    how, word = [], _STRIP.sub("", token)
+    if word.startswith(" "):
+        how.append("spaced")
+        word = word[1:]
+    forms = [word]
+    digits = sum(c.isdigit() for c in word)
+    if (digits or any(c in "@$€" for c in word)) and 2 * digits <= len(word) and any(c.isalpha() for c in word):
+        how.append("signs")
+        forms = [word.translate(_LEET)]
+        if "1" in word:
+            forms.append(word.replace("1", "l").translate(_LEET))
+    if digits < len(word) and _AGAIN.search(forms[0]):
+        how.append("repeated")
+        forms = [g for f in forms for g in (_AGAIN.sub(r"\1", f), _AGAIN.sub(r"\1\1", f))]
+    if "*" in word.strip("*"):
+        how.append("star")
+    return tuple(forms), tuple(how)
+
+
+def parts_of(word: str) -> list[str]:
+    """The word and its runs of 4 to 6 letters, its ends counted as letters."""
+    whole = f"<{word}>"
+    return [f"w:{word}", *(whole[i : i + n] for n in (4, 5, 6) for i in range(len(whole) - n + 1))]
+
+
+def _slot(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace")) & (SLOTS - 1)
+
+
+class Lexis:
+    """What parts of words count, and the rarity of words; from labelled passages and counts over all documents."""
+
+    def __init__(self, labelled: list[str], part_docs: dict[str, int], rarity: np.ndarray, docs: int):
+        """``part_docs``: documents with each part of the labelled passages; ``rarity``: of each slot, 0 frequent to len(RARITY) rare."""
+        counts: dict[str, int] = {}
+        self.words: dict[int, list[str]] = {}
+        for text in labelled:
+            words = {plain_forms(t)[0][0] for t, *_ in split_tokens(text)}
+            for w in words:
+                if w not in self.words.setdefault(len(w), []):
+                    self.words[len(w)].append(w)
+            for p in {p for w in words for p in parts_of(w)}:
+                counts[p] = counts.get(p, 0) + 1
+        odds = {p: np.log(n / max(1, len(labelled)) / ((part_docs.get(p, 0) + 1) / (docs + 1))) / np.log(100) for p, n in counts.items()}
+        self.value = {p: float(min(v, 1.5)) for p, v in odds.items() if v > 0.15}
+        self.rarity = rarity
+
+    def rare(self, word: str) -> int:
+        return int(self.rarity[_slot(word)])
+
+    def word(self, token: str) -> tuple[str, tuple[str, ...]]:
+        """The word that a token stands for: of a disguised one the form that labelled passages know, else the most frequent."""
+        forms, how = plain_forms(token)
+        if not how:
+            return forms[0], how
+        if "star" in how:
+            pattern = re.compile("".join("." if c == "*" else re.escape(c) for c in forms[0]) + r"\Z")
+            hits = [w for w in self.words.get(len(forms[0]), ()) if pattern.match(w)] if sum(c != "*" for c in forms[0]) > 1 else []
+            return (max(hits, key=lambda w: (self.value.get(f"w:{w}", 0.0), w)) if hits else forms[0]), how
+        return min(forms, key=lambda f: (f"w:{f}" not in self.value, self.rare(f))), how
+
+    def features(self, token: str, capital: bool) -> tuple[str, dict[str, float]]:
+        """The shape of a token, for the token behind it, and its features with their values."""
+        word, how = self.word(token)
+        if sum(map(str.isdigit, word)) * 2 > len(word):
+            return "n", {}
+        out = {p: self.value[p] for p in parts_of(word) if p in self.value}
+        rare, case = self.rare(word), "C" if capital else "w"
+        out[f"r:{case}{rare}"] = 1.0
+        for h in how:
+            out[f"d:{h}"] = 1.0
+        return f"{case}{rare // 2}", out
 
 
 class Field:
     """Weights of features and transitions; exact marginals by forward and backward passes."""
 
-    def __init__(self, index: dict[str, int], weights: np.ndarray, moves: np.ndarray):
-        self.index, self.weights, self.moves = index, weights, moves
-
-    def marginals(self, feats: list[list[str]]) -> np.ndarray:
-        emit = np.zeros((len(feats), len(LABELS)))
-        for i, f in enumerate(feats):
-            ks = [self.index[x] for x in f if x in self.index]
-            if ks:
-                emit[i] = self.weights[ks].sum(axis=0)
-        return _forward_backward(emit, self.moves)
-
-
-def _forward_backward(emit: np.ndarray, moves: np.ndarray) -> np.ndarray:
-    """The marginals of the labels of one sentence."""
-    n, k = emit.shape
-    e, m = np.exp(emit - emit.max(axis=1, keepdims=True)), np.exp(moves)
-    alpha, beta = np.empty((n, k)), np.ones((n, k))
-    alpha[0] = e[0] / e[0].sum()
-    for i in range(1, n):
-        a = (alpha[i - 1] @ m) * e[i]
-        alpha[i] = a / a.sum()
-    for i in range(n - 2, -1, -1):
-        b = m @ (e[i + 1] * beta[i + 1])
-        beta[i] = b / b.sum()
-    p = alpha * beta
-    return p / p.sum(axis=1, keepdims=True)
-
-
-#: Penalty of a word's weight against that of a class, so that what classes explain is left to them.
-_WORD_PENALTY, _PENALTY, _STEPS, _RATE = 0.3, 0.02, 60, 0.35
-
-
-#: What the classes suggest before any snippet is seen: weights of a class in the sentence and of two classes together.
-_PRIOR = {
-    "S:INSULT": ("abuse", 2.0), "S:FOUL": ("abuse", 1.0), "S:THREAT": ("abuse", 1.0), "P:THREAT+YOU": ("abuse", 1.5), "P:THREAT+WISH": ("abuse", 1.0),
-    "S:GROUP": ("hate", 0.7), "P:DEHUM+GROUP": ("hate", 2.0), "P:GROUP+REMOVE": ("hate", 1.0), "S:SEX": ("sexual", 2.0), "P:BARE+SEX": ("sexual", 1.0),
-}
-
-
-def fit_field(rows: list[tuple[str, str]]) -> Field:
-    """Fits to (text, category) pairs by adaptive gradient steps, always in the same order."""
-    data = [(features(tokens(t)), LABELS.index(c)) for t, c in rows if t and c in LABELS]
-    data = sorted(((f, y) for f, y in data if f), key=lambda x: -len(x[0]))
-    names = sorted({x for f, _ in data for fs in f for x in fs} | _PRIOR.keys())
-    index = {x: i for i, x in enumerate(names)}
-    prior, moves = np.zeros((len(names), len(LABELS))), np.zeros((len(LABELS), len(LABELS)))
-    for x, (label, value) in _PRIOR.items():
-        prior[index[x], LABELS.index(label)] = value
-    w = prior.copy()
-    if not data:
-        return Field(index, w, moves)
-    penalty = np.array([_WORD_PENALTY if x.startswith("w:") else _PENALTY for x in names])[:, None]
-    gw, gm = np.full_like(w, 1e-8), np.full_like(moves, 1e-8)
-    lens = np.array([len(f) for f, _ in data])
-    truth = np.array([y for _, y in data])
-    size, longest, k = len(data), int(lens[0]), len(LABELS)
-    flat = np.array([index[x] for f, _ in data for fs in f for x in fs])
-    many = np.array([len(fs) for f, _ in data for fs in f])
-    starts = np.cumsum(many) - many
-    row, col = np.repeat(np.arange(size), lens), np.concatenate([np.arange(n) for n in lens])
-    scale = 10.0 / (size * lens)
+    def __init__(self, lexis: Lexis, index: dict[str, int] | None = None, weights: np.ndarray | None = None, moves: np.ndarray | None = None, bias: np.ndarray | None = None):
+        k = len(LABELS)
+        self.lexis, self.index = lexis, index or {}
+        self.weights = np.zeros((len(self.index), k)) if weights is None else weights
+        self.moves, self.bias = np.zeros((k, k)) if moves is None else moves, np.zeros(k) if bias is None else bias
+        self._memo: dict[tuple[str, bool], tuple[str, np.ndarray]] = {}
+        self._pair: dict[tuple[str, str], np.ndarray] = {}
+
+    def __getstate__(self):
+        return {**self.__dict__, "_memo": {}, "_pair": {}}
+
+    def _emission(self, token: str, capital: bool) -> tuple[str, np.ndarray]:
+        shape, feats = self.lexis.features(token, capital)
+        e = self.bias.copy()
+        for f, v in feats.items():
+            if (i := self.index.get(f)) is not None:
+                e += v * self.weights[i]
+        if len(self._memo) > 300_000:
+            self._memo.clear()
+        self._memo[token, capital] = shape, e
+        return shape, e
+
+    def _beside(self, before: str, shape: str) -> np.ndarray:
+        i = self.index.get(f"s:{before}>{shape}")
+        self._pair[before, shape] = e = np.zeros(len(LABELS)) if i is None else self.weights[i]
+        return e
+
+    def emissions(self, chain: list[Token]) -> list[np.ndarray]:
+        out, before = [], "^"
+        for token, capital, _, _ in chain:
+            shape, e = self._memo.get((token, capital)) or self._emission(token, capital)
+            b = self._pair.get((before, shape))
+            out.append(e + (self._beside(before, shape) if b is None else b))
+            before = shape
+        return out
+
+    def marginals(self, chains: list[list[Token]]) -> list[np.ndarray]:
+        """(tokens, LABELS) of each chain of tokens."""
+        order = sorted((i for i, c in enumerate(chains) if c), key=lambda i: -len(chains[i]))
+        out: list[np.ndarray] = [np.empty((0, len(LABELS)))] * len(chains)
+        at = 0
+        while at < len(order):
+            longest, stop = len(chains[order[at]]), at
+            while stop < len(order) and stop - at < 1024 and 2 * len(chains[order[stop]]) >= longest:
+                stop += 1
+            part = order[at:stop]
+            lens = np.array([len(chains[i]) for i in part])
+            p, _ = forward_backward(np.array([e for i in part for e in self.emissions(chains[i])]), lens, self.moves)
+            for i, q in zip(part, np.split(p, np.cumsum(lens)[:-1])):
+                out[i] = q
+            at = stop
+        return out
+
+
+def forward_backward(emit: np.ndarray, lens: np.ndarray, moves: np.ndarray, scale: float | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    """Marginals of all tokens of chains, longest first, that stand one behind the other in ``emit``; with ``scale`` the expected transitions times it."""
+    size, longest, k = len(lens), int(lens[0]), emit.shape[1]
+    row, col = np.repeat(np.arange(size), lens), np.arange(len(emit)) - np.repeat(np.cumsum(lens) - lens, lens)
+    e = np.ones((longest, size, k))
+    e[col, row] = np.exp(emit - emit.max(axis=1, keepdims=True))
+    m = np.exp(moves)
+    alpha, beta = np.ones((longest, size, k)), np.ones((longest, size, k))
+    alpha[0] = e[0] / e[0].sum(axis=1, keepdims=True)
+    live = np.searchsorted(-lens, -np.arange(longest), "left")  # chains longer than i
+    for i in range(1, longest):
+        n = live[i]
+        x = (alpha[i - 1, :n] @ m) * e[i, :n]
+        alpha[i, :n] = x / x.sum(axis=1, keepdims=True)
+    pair = None if scale is None else np.zeros((k, k))
+    for i in range(longest - 2, -1, -1):
+        n = live[i + 1]
+        ahead = e[i + 1, :n] * beta[i + 1, :n]
+        x = ahead @ m.T
+        beta[i, :n] = x / x.sum(axis=1, keepdims=True)
+        if pair is not None:
+            both = alpha[i, :n][:, :, None] * m * ahead[:, None, :]
+            pair += (both * (scale / both.sum(axis=(1, 2)))[:, None, None]).sum(axis=0)
+    p = (alpha * beta)[col, row]
+    return p / p.sum(axis=1, keepdims=True), pair
+
+
+#: Gradient steps, their rate, the weight of the data against the penalty, passages in a chain.
+_STEPS, _RATE, _DATA, _PENALTY, _STRING = 120, 0.3, 20.0, 2e-5, 3
+
+
+def fit_field(rows: list[tuple[str, str]], lexis: Lexis) -> Field:
+    """Fits to (text, category) pairs by adaptive gradient steps, always in the same order; the field flags nothing without rows."""
+    made = [(split_tokens(t), LABELS.index(c)) for t, c in sorted(set(rows)) if t and c in LABELS]
+    made = [x for x in made if x[0]]
+    if not made:
+        return Field(lexis)
+    order = np.random.default_rng(7).permutation(len(made))
+    chains = [[made[j] for j in order[i : i + _STRING]] for i in range(0, len(order), _STRING)]
+    chains.sort(key=lambda c: -sum(len(part) for part, _ in c))
+    feats, truth, memo = [], [], {}
+    for chain in chains:
+        for part, y in chain:
+            before = "^"
+            for token, capital, _, _ in part:
+                if (token, capital) not in memo:
+                    memo[token, capital] = lexis.features(token, capital)
+                shape, f = memo[token, capital]
+                feats.append({**f, f"s:{before}>{shape}": 1.0})
+                truth.append(y)
+                before = shape
+    truth, lens, k, n = np.array(truth), np.array([sum(len(part) for part, _ in c) for c in chains]), len(LABELS), len(feats)
+    index = {f: i for i, f in enumerate(dict.fromkeys(f for fs in feats for f in fs))}
+    flat, value = np.array([index[f] for fs in feats for f in fs]), np.array([v for fs in feats for v in fs.values()])
+    owner = np.repeat(np.arange(n), [len(fs) for fs in feats])
+    scale = _DATA / n
+    inner = np.ones(n, bool)
+    inner[np.cumsum(lens) - 1] = False
+    inner = np.flatnonzero(inner)
+    seen = np.zeros((k, k))
+    np.add.at(seen, (truth[inner], truth[inner + 1]), scale)
+    w, moves, bias = np.zeros((len(index), k)), np.zeros((k, k)), np.zeros(k)
+    sums = [np.full_like(x, 1e-8) for x in (w, moves, bias)]
     for _ in range(_STEPS):
-        emit = np.zeros((size, longest, k))
-        emit[row, col] = np.add.reduceat(w[flat], starts)
-        e, m = np.exp(emit - emit.max(axis=2, keepdims=True)), np.exp(moves)
-        alpha, beta = np.ones((size, longest, k)), np.ones((size, longest, k))
-        alpha[:, 0] = e[:, 0] / e[:, 0].sum(axis=1, keepdims=True)
-        for i in range(1, longest):
-            n = int((lens > i).sum())  # longest first
-            x = (alpha[:n, i - 1] @ m) * e[:n, i]
-            alpha[:n, i] = x / x.sum(axis=1, keepdims=True)
-        pair = np.zeros((k, k))
-        for i in range(longest - 2, -1, -1):
-            n = int((lens > i + 1).sum())
-            x = (e[:n, i + 1] * beta[:n, i + 1]) @ m.T
-            beta[:n, i] = x / x.sum(axis=1, keepdims=True)
-            both = alpha[:n, i][:, :, None] * m * (e[:n, i + 1] * beta[:n, i + 1])[:, None, :]
-            pair += (both / both.sum(axis=(1, 2), keepdims=True) * scale[:n, None, None]).sum(axis=0)
-        p = (alpha * beta)[row, col]
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(row)), truth[row]] -= 1
-        p *= scale[row][:, None]
-        np.subtract.at(pair, (truth, truth), (lens - 1) * scale)
-        owner = np.repeat(np.arange(len(row)), many)
-        dw = penalty * (w - prior) + np.stack([np.bincount(flat, p[owner, j], len(names)) for j in range(k)], axis=1)
-        dm = 0.01 * moves + pair
-        gw += dw**2
-        gm += dm**2
-        w -= _RATE * dw / np.sqrt(gw)
-        moves -= _RATE * dm / np.sqrt(gm)
-    return Field(index, w, moves)
-
-
-def passages(text: str, field: Field) -> list[tuple[int, int, tuple[float, float, float]]]:
-    """(start, end, probability of each category) of the sentences with evidence."""
-    exact, _ = _words()
-    out, at = [], 0
-    cuts = [(m.start(), m.end()) for m in _SENTENCE.finditer(text)] + [(len(text), len(text))]
-    for end, nxt in cuts:
-        sentence = text[at:end]
-        if sentence.strip():
-            toks = tokens(sentence)
-            if any(c in _EVIDENCE for t in toks for c in classes_of(t)):
-                p = field.marginals(features(toks))[:, 1:]
-                best = p.max(axis=0)
-                out.append((at, end, tuple(float(x) for x in best)))
-        at = nxt
-    return out
+        emit = np.stack([np.bincount(owner, value * w[flat, j], n) for j in range(k)], axis=1) + bias
+        p, pair = forward_backward(emit, lens, moves, scale)
+        p[np.arange(n), truth] -= 1
+        p *= scale
+        steps = (np.stack([np.bincount(flat, value * p[owner, j], len(index)) for j in range(k)], axis=1) + _PENALTY * w, pair - seen + 1e-4 * moves, p.sum(axis=0))
+        for x, g, d in zip((w, moves, bias), sums, steps):
+            g += d**2
+            x -= _RATE * d / np.sqrt(g)
+    return Field(lexis, index, w, moves, bias)
+
+
+def passages(text: str) -> list[str]:
+    """Sentences of at most PASSAGE characters, longer ones in pieces."""
+    return [s[i : i + PASSAGE] for s in _SENTENCE.split(text) if s and s.strip() for i in range(0, len(s), PASSAGE)]
 
 
-def fit_reviewed(samples: DataFrame, text_col: str = "text", category_col: str = "category", sample: int = SAMPLE) -> Field:
-    """Fits to the reviewed snippets; of more than ``sample`` those with the least hash are taken."""
+def sentences_of(text: str) -> list[tuple[int, str]]:
+    """(offset, text) of each sentence."""
+    out, at = [], 0
+    for m in _SENTENCE.finditer(text):
+        out.append((at, text[at : m.start()]))
+        at = m.end()
+    return [*out, (at, text[at:])]
+
+
+def _statistics(df: DataFrame, text_col: str, parts: frozenset[str]) -> DataFrame:
+    """(kind, at, n, text): documents of each word slot (0) and each labelled part (1), all documents (2), and background passages (3), of every task."""
+    shared = df.sparkSession.sparkContext.broadcast(sorted(parts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where = {p: i for i, p in enumerate(shared.value)}
+        slots, known, docs = np.zeros(SLOTS, np.int64), np.zeros(len(where), np.int64), 0
+        memo: dict[str, tuple[int, tuple[int, ...]]] = {}
+        chosen: dict[str, int] = {}
+        most = 1 << 63
+
+        def look(token: str) -> tuple[int, tuple[int, ...]]:
+            if len(memo) > 300_000:
+                memo.clear()
+            word = plain_forms(token)[0][0]
+            memo[token] = out = _slot(word), tuple(where[p] for p in parts_of(word) if p in where)
+            return out
+
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                if not text:
+                    continue
+                docs += 1
+                found = [memo.get(t) or look(t) for t in {t for t, *_ in split_tokens(text)}]
+                slots[list({s for s, _ in found})] += 1
+                known[list({p for _, ps in found for p in ps})] += 1
+                for s in passages(text):
+                    h = xxhash.xxh3_64_intdigest(s.encode("utf-8", "replace"))
+                    if h < most:
+                        chosen[s] = h
+                if len(chosen) > 2 * OTHERS:
+                    chosen = dict(sorted(chosen.items(), key=lambda x: (x[1], x[0]))[:OTHERS])
+                    most = max(chosen.values())
+        chosen = dict(sorted(chosen.items(), key=lambda x: (x[1], x[0]))[:OTHERS])
+        a, p = np.flatnonzero(slots), np.flatnonzero(known)
+        kind = np.concatenate([np.zeros(len(a), np.int32), np.ones(len(p), np.int32), [2], np.full(len(chosen), 3)])
+        at = np.concatenate([a, p, [0], np.array([h >> 1 for h in chosen.values()], np.int64)])
+        n = np.concatenate([slots[a], known[p], [docs], np.zeros(len(chosen), np.int64)])
+        yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array([None] * (len(a) + len(p) + 1) + list(chosen), pa.string())], ["kind", "at", "n", "text"])
+
+    return df.select(F.col(text_col).cast("string").alias("t")).mapInArrow(run, "kind int, at bigint, n bigint, text string")
+
+
+def _tagged(df: DataFrame, field: Field, text_col: str) -> DataFrame:
+    """(kind, at, text): passages that the field believes to be of a category (1 to 3), and those it hesitates at (0); few of each from every task, those with the least hash."""
+    shared = df.sparkSession.sparkContext.broadcast(field)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chosen: list[dict[str, int]] = [{} for _ in LABELS]
+        for b in batches:
+            texts = [s for t in b.column(0).to_pylist() if t for s in passages(t)]
+            for s, p in zip(texts, shared.value.marginals([split_tokens(s) for s in texts])):
+                if not len(p):
+                    continue
+                top = p[:, 1:].max(axis=0)
+                k = 1 + int(top.argmax()) if top.max() >= BELIEVED else 0 if HESITANT[0] <= top.max() < HESITANT[1] else -1
+                if k >= 0:
+                    chosen[k][s] = xxhash.xxh3_64_intdigest(s.encode("utf-8", "replace")) >> 1
+                    if len(chosen[k]) > 2 * SUSPECTS:
+                        chosen[k] = dict(sorted(chosen[k].items(), key=lambda x: (x[1], x[0]))[:SUSPECTS])
+        rows = [(k, h, s) for k, c in enumerate(chosen) for s, h in sorted(c.items(), key=lambda x: (x[1], x[0]))[:SUSPECTS]]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], ["kind", "at", "text"])
+
+    return df.select(F.col(text_col).cast("string").alias("t")).mapInArrow(run, "kind int, at bigint, text string")
+
+
+def fit_reviewed(df: DataFrame, samples: DataFrame, text_col: str = "text", category_col: str = "category", corpus_text_col: str = "text", sample: int = SAMPLE, glossary: dict[str, str] | None = GLOSSARY) -> Field:
+    """Fits to the reviewed snippets, the glossary (None for none) and passages of the corpus ``df``.
+
+    Of more than ``sample`` reviewed rows those with the least hash are taken. Two rounds:
+    the first takes all background passages as harmless, the second adds the passages that the
+    first field tags and drops background that it suspects. Without a reviewed row or a glossary
+    nothing is flagged.
+    """
     rows = samples.where(F.col(text_col).isNotNull() & F.col(category_col).isNotNull()).select(F.col(text_col).alias("t"), F.col(category_col).alias("c")).distinct().orderBy(F.xxhash64("t", "c"), "t", "c").limit(sample).collect()
-    return fit_field([(r["t"], r["c"]) for r in rows])
+    reviewed = [(r["t"], r["c"]) for r in rows if r["c"] in LABELS] + glossary_rows(glossary or {})
+    labelled = sorted({t for t, c in reviewed if c != "none"})
+    parts = sorted({p for t in labelled for x, *_ in split_tokens(t) for p in parts_of(plain_forms(x)[0][0])})
+    stats = cut(_statistics(df, corpus_text_col, frozenset(parts)))
+    counts = stats.where("kind < 3").groupBy("kind", "at").agg(F.sum("n").alias("n")).toArrow()
+    kind, at, n = (counts.column(c).to_numpy() for c in ("kind", "at", "n"))
+    docs = int(n[kind == 2].sum())
+    slots = np.zeros(SLOTS, np.int64)
+    slots[at[kind == 0]] = n[kind == 0]
+    rarity = (slots[:, None] <= np.array(RARITY) * docs).sum(axis=1).astype(np.uint8)
+    lexis = Lexis(labelled, {parts[i]: int(c) for i, c in zip(at[kind == 1], n[kind == 1])}, rarity, docs)
+    others = [r["text"] for r in stats.where("kind = 3").select("at", "text").distinct().orderBy("at", "text").limit(OTHERS).collect()]
+    first = fit_field(reviewed + [(t, "none") for t in others], lexis)
+    tagged = cut(_tagged(df, first, corpus_text_col))
+    more = []
+    for k in range(len(LABELS)):
+        more += [(r["text"], LABELS[k]) for r in tagged.where(F.col("kind") == k).select("at", "text").distinct().orderBy("at", "text").limit(SUSPECTS).collect()]
+    calm = [t for t, p in zip(others, first.marginals([split_tokens(t) for t in others])) if not len(p) or p[:, 1:].max() < LEAST]
+    return fit_field(reviewed + more + [(t, "none") for t in calm], lexis)
+
+
+def find_spans(text: str, chains: list[tuple[int, list[Token]]], marginals: list[np.ndarray], least: float = LEAST) -> list[tuple[int, int, str]]:
+    """(start, end, category): runs of tokens that reach ``least`` in a category."""
+    out = []
+    for (offset, tokens), p in zip(chains, marginals):
+        for k, name in enumerate(CATEGORIES, 1):
+            run = None
+            for (_, _, a, z), x in zip(tokens, p[:, k]):
+                if x >= least:
+                    run = (run[0] if run else offset + a, offset + z)
+                elif run:
+                    out.append((*run, name))
+                    run = None
+            if run:
+                out.append((*run, name))
+    return sorted(out)
 
 
 def score_documents(df: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, abuse, hate, sexual: 0 to 1, spans: start, end, category) of every row.
 
     A null or empty text scores 0 with no spans; rows that occur twice come out
-    twice; other columns are left out. No shuffle.
+    twice; other columns are left out. No shuffle; the field has the size of its
+    sample and SLOTS bytes, whatever the data.
     """
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(field)
+    shared = df.sparkSession.sparkContext.broadcast(field)
     src = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
     kind = src.schema["doc_id"].dataType.simpleString()
     span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("category", pa.string())])
 
     def make():
-        import ahocorasick
-
-        exact, stems = _words()
-        tree = ahocorasick.Automaton()
-        for w, cs in exact.items():
-            if any(c in _EVIDENCE for c in cs):
-                tree.add_word(w, (len(w), False))
-        for w, c in stems:
-            if c in _EVIDENCE:
-                tree.add_word(w, (len(w), True))
-        tree.make_automaton()
-
-        def evident(low: str) -> bool:
-            """Whether the text holds a word with evidence, or one in disguise."""
-            for last, (length, stem) in tree.iter(low):
-                a, b = last - length + 1, last + 1
-                if not (a and low[a - 1].isalpha()) and (stem or not low[b : b + 1].isalpha()):
-                    return True
-            return bool(_DISGUISED.search(low))
-
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            scores, spans = np.zeros((batch.num_rows, 3)), []
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                mine = []
-                if t:
-                    if evident(t.lower()):
-                        for a, b, p in passages(t, shared.value):
-                            for k, x in enumerate(p):
-                                scores[i, k] = max(scores[i, k], x)
-                                if x >= LEAST:
-                                    mine.append({"start": a, "end": b, "category": CATEGORIES[k]})
-                spans.append(mine)
+            scores, spans = np.zeros((batch.num_rows, 3)), [[] for _ in range(batch.num_rows)]
+            chains, owner = [], []
+            texts = batch.column(1).to_pylist()
+            size = 0
+
+            def judge() -> None:
+                per: dict[int, list[int]] = {}
+                ps = shared.value.marginals([c for _, c in chains])
+                for j, (i, p) in enumerate(zip(owner, ps)):
+                    if len(p):
+                        scores[i] = np.maximum(scores[i], p[:, 1:].max(axis=0))
+                        if p[:, 1:].max() >= LEAST:
+                            per.setdefault(i, []).append(j)
+                for i, js in per.items():
+                    spans[i] += [{"start": a, "end": z, "category": c} for a, z, c in find_spans(texts[i], [chains[j] for j in js], [ps[j] for j in js])]
+                chains.clear()
+                owner.clear()
+
+            for i, t in enumerate(texts):
+                for offset, part in sentences_of(t) if t else ():
+                    chains.append((offset, split_tokens(part)))
+                    owner.append(i)
+                    size += len(part)
+                if size > 1_000_000:
+                    judge()
+                    size = 0
+            judge()
             return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(scores[:, k]) for k in range(3)), pa.array(spans, pa.list_(span))], ["doc_id", *CATEGORIES, "spans"])
 
         return step

@@ -1,10 +1,10 @@
-"""Canonical text, sentences, languages, names and toxic passages."""
+"""Canonical text, sentences, languages and names."""
 
 import unicodedata
 
 import pytest
 
-from pressmill.llm import canonical, language, names, sentences, toxicity
+from pressmill.llm import canonical, language, names, sentences
 
 # canonical text -------------------------------------------------------------------------------------------------------
 
@@ -162,36 +162,3 @@ def test_names(spark):
 
 def test_distance():
     assert names.distance("abcd", "abdc") == 1 and names.distance("abc", "abc") == 0 and names.distance("abc", "xyz", 2) == 3
-
-
-# toxic passages -------------------------------------------------------------------------------------------------------
-
-SNIPPETS = [
-    ("You moron, shut your mouth!", "abuse"), ("Du Vollidiot, halt die Fresse!", "abuse"), ("Assholes like him should be whipped.", "abuse"), ("What a lying piece of shit.", "abuse"),
-    ("Those foreigners are vermin and must be driven out.", "hate"), ("Diese Ausländer sind Ungeziefer und müssen raus.", "hate"), ("Somebody should wipe out the refugees.", "hate"),
-    ("Horny women show you their naked tits live.", "sexual"), ("Free porn and nude pics at our site.", "sexual"), ("Geile Frauen zeigen ihre nackten Titten.", "sexual"),
-    ("The spray wipes out vermin and parasites in grain stores.", "none"), ("Naked short sales are banned.", "none"), ("The kill switch protects the plant.", "none"), ("Shares rose on good news.", "none"), ("Der Kurs fiel um 3 Prozent.", "none"),
-]
-
-
-def test_toxic_passages(spark):
-    samples = spark.createDataFrame([*SNIPPETS, (None, "none"), ("x", None)], "text string, category string")
-    field = toxicity.fit_reviewed(samples)
-    docs = [
-        (1, "Shares rose. You m0r0n, shut your mouth! Profit fell.", "s"), (2, "Free h0t p.o.r.n and n*de pics here.", "s"), (3, "Those refugees are rats and must be driven out.", None),
-        (4, "Naked short sales are banned. The spray wipes out vermin in stores.", "s"), (5, None, "s"), (6, "", "s"), (7, "Plain news. " * 5000 + "You moron, shut your mouth!", "t"), (7, "Plain news. " * 5000 + "You moron, shut your mouth!", "t"),
-    ]
-    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
-    scores = toxicity.score_documents(df, field)
-    assert sorted({tuple(r) for r in toxicity.flagged(scores).collect()}) == [(1, "abuse"), (2, "sexual"), (3, "hate"), (7, "abuse")]
-    span = next(r for r in scores.collect() if r["doc_id"] == 1)["spans"][0]
-    assert docs[0][1][span["start"] : span["end"]] == "You m0r0n, shut your mouth!"
-    rates = {r["source"]: r["abuse_rate"] for r in toxicity.source_rates(df.where("doc_id < 7"), scores.where("doc_id < 7")).collect()}
-    assert rates == {"s": 0.2, None: 0.0}
-
-
-def test_marginals_sum_to_one():
-    field = toxicity.fit_field(SNIPPETS)
-    p = field.marginals(toxicity.features(toxicity.tokens("You moron, shut your mouth")))
-    assert abs(p.sum(axis=1) - 1).max() < 1e-9
-    assert toxicity.fit_field([]).marginals(toxicity.features(["a"])).shape == (1, 4)
