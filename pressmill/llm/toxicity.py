@@ -3,20 +3,19 @@
 The field is fitted to labelled tokens: reviewed snippets, whose tokens carry the
 snippet's category, a short glossary of public words and phrases, and passages of the
 corpus as background. They are strung together, so that the chain learns where one
-passage ends and the next begins. A token's features are generic: the word and
-runs of its letters, how rare the word is in the corpus, its shape beside the one before,
-and whether it was disguised (digits and signs for letters, spaced or repeated letters,
-stars). What a word or a run of letters counts comes from how much oftener labelled
-passages have it than all documents do; the weights are learned.
+passage ends and the next begins. A token's features are generic: the word, runs of its
+letters, and whether it was disguised (digits and signs for letters, spaced or repeated
+letters, stars). What a word or a run of letters counts comes from how much oftener
+labelled passages have it than all documents do; the weights are learned.
 
 Nothing is left out beforehand: each sentence of each document is a chain. Forward and
 backward passes give the marginals of every token; runs of tokens above LEAST are the
-offending offsets, the best token of a document is its score in the category.
+offending offsets, the best token of a document is its score. A sentence counts for
+its leading category.
 
-The fit is bounded: at most SAMPLE reviewed rows, OTHERS background passages and
-SUSPECTS passages that the first field tags itself, of up to PASSAGE characters each,
-those with the least hash. Counts of words and parts cover all documents; they
-live in SLOTS counters, whatever the size of the corpus.
+The fit is bounded: at most SAMPLE reviewed rows and OTHERS background passages of up to
+PASSAGE characters, one of each of the documents with the least hash. Counts of the
+labelled parts cover all documents.
 """
 
 from __future__ import annotations
@@ -36,15 +35,9 @@ from pressmill.plans.lineage import cut
 
 CATEGORIES = ("abuse", "hate", "sexual")
 LABELS = ("none", *CATEGORIES)
-#: Rows of the fit, at most: reviewed ones, background passages, passages the first field tags (and as many that it nearly tags).
-SAMPLE, OTHERS, SUSPECTS = 20_000, 4_000, 2_000
-PASSAGE = 400
-LEAST = 0.4
-#: What the first field must give a passage to be believed, and to be taken as background although it hesitated.
-BELIEVED, HESITANT = 0.8, (0.03, 0.2)
-SLOTS = 1 << 20
-#: Shares of all documents between which the rarity of a word is told apart.
-RARITY = (0.1, 0.03, 0.01, 0.003, 0.001, 0.0003)
+#: Rows of the fit, at most: reviewed ones and background passages, and the characters of a passage.
+SAMPLE, OTHERS, PASSAGE = 20_000, 4_000, 400
+LEAST = 0.5
 
 #: Public words and phrases with their category, labelled like reviewed rows; ``|`` parts phrases. A parameter of ``fit_reviewed``.
 GLOSSARY = {
@@ -61,15 +54,20 @@ GLOSSARY = {
 
 _HIDDEN = "\xad\u200b-\u200f\u2060\ufeff"
 _WIDE = "\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff"  # scripts without blanks: each character is a token
-_TOKEN = re.compile(rf"[{_WIDE}]|(?:(?![{_WIDE}])[^\W_])(?:(?![{_WIDE}])[\w@$*€{_HIDDEN}])*|[@$€](?:(?![{_WIDE}])[\w@$*€{_HIDDEN}])+")
+_JOINED = "\ue000"  # stands before a token whose letters were spaced out
+_WORD = rf"(?:(?![{_WIDE}])[^\W_]|[@$€{_JOINED}](?=[\w@$€]))(?:(?![{_WIDE}])[\w@$*€{_HIDDEN}])*|[{_WIDE}]"
+_BREAK = r"""[.!?…।]+(?=[\s”“"»]|\Z)|[。！？]|\n[^\S\n]*\n"""
+_TOKEN = re.compile(_WORD)
+_ALL = re.compile(f"{_WORD}|{_BREAK}").findall
+_IS_BREAK = re.compile(r"[.!?…।。！？\n]")
 _SPACED = re.compile(r"(?<![\w@$*])[^\W\d_](?:([ .\-_*])[\w@$*](?:\1[\w@$*])+)(?![\w@$*])")
 _SPACED_HINT = re.compile(r"(?<!\w)[^\W\d_]([ .\-_*])[\w@$*]\1[\w@$*](?![^\W_])")
-_SENTENCE = re.compile(r"(?<=[.!?…।。！？])[\s”“\"»]+|\n[^\S\n]*\n\s*|(?<=[。！？])")
+_SENTENCE = re.compile(_BREAK)
 _LEET = str.maketrans({"@": "a", "$": "s", "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "€": "e"})
 _AGAIN = re.compile(r"([^\W\d_])\1\1+")
 _STRIP = re.compile(f"[{_HIDDEN}]")
 _PLAIN = re.compile(r"[^\W\d_]+\Z")
-Token = tuple[str, bool, int, int]
+Token = tuple[str, int, int]
 
 
 def glossary_rows(glossary: dict[str, str]) -> list[tuple[str, str]]:
@@ -81,29 +79,35 @@ def glossary_rows(glossary: dict[str, str]) -> list[tuple[str, str]]:
     return out
 
 
+def _join_spaced(m: re.Match) -> str:
+    return _JOINED + m.group().replace(m.group(1), "")
+
+
 def split_tokens(text: str) -> list[Token]:
-    """(token in lower case, whether it begins with a capital, start, end); spaced-out letters make one token, marked by a blank in front."""
-    low = text.lower()
-    if len(low) != len(text):  # a letter whose lower case is longer
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    if not _SPACED_HINT.search(low):
-        return [(m.group(), low[m.start()] != text[m.start()], m.start(), m.end()) for m in _TOKEN.finditer(low)]
+    """(token as written, start, end); spaced-out letters make one token, marked in front."""
+    if not _SPACED_HINT.search(text):
+        return [(m.group(), m.start(), m.end()) for m in _TOKEN.finditer(text)]
     out, at = [], 0
-    tokens = lambda a, b: [(t.group(), low[t.start()] != text[t.start()], t.start(), t.end()) for t in _TOKEN.finditer(low, a, b)]
-    for m in _SPACED.finditer(low):
-        out += tokens(at, m.start())
-        out.append((" " + m.group().replace(m.group(1), ""), low[m.start()] != text[m.start()], m.start(), m.end()))
+    for m in _SPACED.finditer(text):
+        out += [(t.group(), t.start(), t.end()) for t in _TOKEN.finditer(text, at, m.start())]
+        out.append((_join_spaced(m), m.start(), m.end()))
         at = m.end()
-    return out + tokens(at, len(low))
+    return out + [(t.group(), t.start(), t.end()) for t in _TOKEN.finditer(text, at)]
+
+
+def tokens_and_breaks(text: str) -> list[str]:
+    """The tokens of a text and what ends its sentences, in order."""
+    return _ALL(_SPACED.sub(_join_spaced, text) if _SPACED_HINT.search(text) else text)
 
 
 @lru_cache(maxsize=300_000)
 def plain_forms(token: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
     """The words that a token may stand for, likeliest first, and how it is disguised."""
+    token = token.lower()
     if _PLAIN.match(token) and not _AGAIN.search(token):
         return (token,), ()
     how, word = [], _STRIP.sub("", token)
-    if word.startswith(" "):
+    if word.startswith(_JOINED):
         how.append("spaced")
         word = word[1:]
     forms = [word]
@@ -127,19 +131,15 @@ def parts_of(word: str) -> list[str]:
     return [f"w:{word}", *(whole[i : i + n] for n in (4, 5, 6) for i in range(len(whole) - n + 1))]
 
 
-def _slot(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace")) & (SLOTS - 1)
-
-
 class Lexis:
-    """What parts of words count, and the rarity of words; from labelled passages and counts over all documents."""
+    """What words and parts of words count, from labelled passages and counts over all documents."""
 
-    def __init__(self, labelled: list[str], part_docs: dict[str, int], rarity: np.ndarray, docs: int):
-        """``part_docs``: documents with each part of the labelled passages; ``rarity``: of each slot, 0 frequent to len(RARITY) rare."""
+    def __init__(self, labelled: list[str], part_docs: dict[str, int], docs: int):
+        """``part_docs``: documents with each part of the labelled passages, of ``docs`` in all."""
         counts: dict[str, int] = {}
         self.words: dict[int, list[str]] = {}
         for text in labelled:
-            words = {plain_forms(t)[0][0] for t, *_ in split_tokens(text)}
+            words = sorted({plain_forms(t)[0][0] for t, *_ in split_tokens(text)})
             for w in words:
                 if w not in self.words.setdefault(len(w), []):
                     self.words[len(w)].append(w)
@@ -147,33 +147,43 @@ class Lexis:
                 counts[p] = counts.get(p, 0) + 1
         odds = {p: np.log(n / max(1, len(labelled)) / ((part_docs.get(p, 0) + 1) / (docs + 1))) / np.log(100) for p, n in counts.items()}
         self.value = {p: float(min(v, 1.5)) for p, v in odds.items() if v > 0.15}
-        self.rarity = rarity
-
-    def rare(self, word: str) -> int:
-        return int(self.rarity[_slot(word)])
 
     def word(self, token: str) -> tuple[str, tuple[str, ...]]:
-        """The word that a token stands for: of a disguised one the form that labelled passages know, else the most frequent."""
+        """The word that a token stands for, of a disguised one the form that labelled passages know, and how it is disguised."""
         forms, how = plain_forms(token)
-        if not how:
-            return forms[0], how
         if "star" in how:
             pattern = re.compile("".join("." if c == "*" else re.escape(c) for c in forms[0]) + r"\Z")
             hits = [w for w in self.words.get(len(forms[0]), ()) if pattern.match(w)] if sum(c != "*" for c in forms[0]) > 1 else []
-            return (max(hits, key=lambda w: (self.value.get(f"w:{w}", 0.0), w)) if hits else forms[0]), how
-        return min(forms, key=lambda f: (f"w:{f}" not in self.value, self.rare(f))), how
+            return max(hits, key=lambda w: (self.value.get(f"w:{w}", 0.0), w)) if hits else forms[0], how
+        return max(forms, key=lambda f: f"w:{f}" in self.value), how
 
-    def features(self, token: str, capital: bool) -> tuple[str, dict[str, float]]:
-        """The shape of a token, for the token behind it, and its features with their values."""
+    def features(self, token: str) -> dict[str, float]:
         word, how = self.word(token)
-        if sum(map(str.isdigit, word)) * 2 > len(word):
-            return "n", {}
-        out = {p: self.value[p] for p in parts_of(word) if p in self.value}
-        rare, case = self.rare(word), "C" if capital else "w"
-        out[f"r:{case}{rare}"] = 1.0
-        for h in how:
-            out[f"d:{h}"] = 1.0
-        return f"{case}{rare // 2}", out
+        out = {p: self.value[p] for p in parts_of(word) if p in self.value} | {f"d:{h}": 1.0 for h in how}
+        size = len(out) ** 0.5
+        return {f: v / size for f, v in out.items()}
+
+
+class _Table(dict):
+    """Numbers of tokens as written, 0 for what ends a sentence; rows of emissions by number."""
+
+    def __init__(self, field: Field):
+        super().__init__()
+        self.field, self.rows = field, [np.zeros(len(LABELS))]
+        self._made = np.empty((0, len(LABELS)))
+
+    def __missing__(self, token: str) -> int:
+        if _IS_BREAK.match(token):
+            self[token] = 0
+            return 0
+        self.rows.append(self.field.emission(self.field.lexis.features(token)))
+        self[token] = n = len(self.rows) - 1
+        return n
+
+    def array(self) -> np.ndarray:
+        if len(self._made) != len(self.rows):
+            self._made = np.array(self.rows)
+        return self._made
 
 
 class Field:
@@ -184,84 +194,101 @@ class Field:
         self.lexis, self.index = lexis, index or {}
         self.weights = np.zeros((len(self.index), k)) if weights is None else weights
         self.moves, self.bias = np.zeros((k, k)) if moves is None else moves, np.zeros(k) if bias is None else bias
-        self._memo: dict[tuple[str, bool], tuple[str, np.ndarray]] = {}
-        self._pair: dict[tuple[str, str], np.ndarray] = {}
+        self._table = _Table(self)
 
     def __getstate__(self):
-        return {**self.__dict__, "_memo": {}, "_pair": {}}
-
-    def _emission(self, token: str, capital: bool) -> tuple[str, np.ndarray]:
-        shape, feats = self.lexis.features(token, capital)
-        e = self.bias.copy()
-        for f, v in feats.items():
-            if (i := self.index.get(f)) is not None:
-                e += v * self.weights[i]
-        if len(self._memo) > 300_000:
-            self._memo.clear()
-        self._memo[token, capital] = shape, e
-        return shape, e
-
-    def _beside(self, before: str, shape: str) -> np.ndarray:
-        i = self.index.get(f"s:{before}>{shape}")
-        self._pair[before, shape] = e = np.zeros(len(LABELS)) if i is None else self.weights[i]
-        return e
-
-    def emissions(self, chain: list[Token]) -> list[np.ndarray]:
-        out, before = [], "^"
-        for token, capital, _, _ in chain:
-            shape, e = self._memo.get((token, capital)) or self._emission(token, capital)
-            b = self._pair.get((before, shape))
-            out.append(e + (self._beside(before, shape) if b is None else b))
-            before = shape
+        return {x: v for x, v in self.__dict__.items() if x != "_table"}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._table = _Table(self)
+
+    def emission(self, feats: dict[str, float]) -> np.ndarray:
+        at = [(i, v) for f, v in feats.items() if (i := self.index.get(f)) is not None]
+        return self.bias + (np.array([v for _, v in at]) @ self.weights[[i for i, _ in at]] if at else 0.0)
+
+    def chains(self, lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of lists of tokens and breaks: each chain's list and length, the longest first, and the emissions of its tokens, one behind the other, and where these stood."""
+        if len(self._table) > 500_000:
+            self._table = _Table(self)
+        table = self._table
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists)) + 1
+        ids = np.zeros(int(sizes.sum()), np.int64)
+        owner = np.repeat(np.arange(len(lists)), sizes)
+        keep = np.ones(len(ids), bool)
+        keep[np.cumsum(sizes) - 1] = False  # a break behind each list
+        ids[keep] = np.fromiter((table[t] for ts in lists for t in ts), np.int64, int(keep.sum()))
+        ends = np.flatnonzero(ids == 0)
+        begins = np.r_[0, ends[:-1] + 1] if len(ends) else ends
+        lens = ends - begins
+        some = np.flatnonzero(lens)
+        some = some[np.argsort(-lens[some], kind="stable")]
+        begins, lens = begins[some], lens[some]
+        at = np.repeat(begins - np.cumsum(lens) + lens, lens) + np.arange(int(lens.sum()))
+        return owner[begins], lens, table.array()[ids[at]], at
+
+    def marginals(self, lists: list[list[str]]) -> list[np.ndarray]:
+        """(tokens, LABELS) of each list of tokens, those of its sentences one behind the other; breaks have no row."""
+        owner, lens, emit, at = self.chains(lists)
+        out = [np.empty((0, len(LABELS)))] * len(lists)
+        if len(lens):
+            p = forward_backward(emit, lens, self.moves)[0][np.argsort(at, kind="stable")]
+            size = np.bincount(owner, lens, len(lists)).astype(np.int64)
+            out = np.split(p, np.cumsum(size)[:-1])
         return out
 
-    def marginals(self, chains: list[list[Token]]) -> list[np.ndarray]:
-        """(tokens, LABELS) of each chain of tokens."""
-        order = sorted((i for i, c in enumerate(chains) if c), key=lambda i: -len(chains[i]))
-        out: list[np.ndarray] = [np.empty((0, len(LABELS)))] * len(chains)
-        at = 0
-        while at < len(order):
-            longest, stop = len(chains[order[at]]), at
-            while stop < len(order) and stop - at < 1024 and 2 * len(chains[order[stop]]) >= longest:
-                stop += 1
-            part = order[at:stop]
-            lens = np.array([len(chains[i]) for i in part])
-            p, _ = forward_backward(np.array([e for i in part for e in self.emissions(chains[i])]), lens, self.moves)
-            for i, q in zip(part, np.split(p, np.cumsum(lens)[:-1])):
-                out[i] = q
-            at = stop
+    def best(self, lists: list[list[str]]) -> np.ndarray:
+        """(lists, CATEGORIES): the highest marginal of a token of each list; a sentence counts for its leading category only."""
+        owner, lens, emit, _ = self.chains(lists)
+        out = np.zeros((len(lists), len(CATEGORIES)))
+        if len(lens):
+            p = forward_backward(emit, lens, self.moves)[0]
+            top = np.maximum.reduceat(p, np.cumsum(lens) - lens)[:, 1:]
+            top = np.where(top == top.max(axis=1, keepdims=True), top, 0.0)
+            np.maximum.at(out, owner, top)
         return out
 
 
+_BLOCK = 4096
+
+
 def forward_backward(emit: np.ndarray, lens: np.ndarray, moves: np.ndarray, scale: float | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Marginals of all tokens of chains, longest first, that stand one behind the other in ``emit``; with ``scale`` the expected transitions times it."""
-    size, longest, k = len(lens), int(lens[0]), emit.shape[1]
-    row, col = np.repeat(np.arange(size), lens), np.arange(len(emit)) - np.repeat(np.cumsum(lens) - lens, lens)
-    e = np.ones((longest, size, k))
-    e[col, row] = np.exp(emit - emit.max(axis=1, keepdims=True))
+    e = np.exp(emit - emit.max(axis=1, keepdims=True))
     m = np.exp(moves)
-    alpha, beta = np.ones((longest, size, k)), np.ones((longest, size, k))
-    alpha[0] = e[0] / e[0].sum(axis=1, keepdims=True)
-    live = np.searchsorted(-lens, -np.arange(longest), "left")  # chains longer than i
-    for i in range(1, longest):
-        n = live[i]
-        x = (alpha[i - 1, :n] @ m) * e[i, :n]
-        alpha[i, :n] = x / x.sum(axis=1, keepdims=True)
-    pair = None if scale is None else np.zeros((k, k))
-    for i in range(longest - 2, -1, -1):
-        n = live[i + 1]
-        ahead = e[i + 1, :n] * beta[i + 1, :n]
-        x = ahead @ m.T
-        beta[i, :n] = x / x.sum(axis=1, keepdims=True)
-        if pair is not None:
-            both = alpha[i, :n][:, :, None] * m * ahead[:, None, :]
-            pair += (both * (scale / both.sum(axis=(1, 2)))[:, None, None]).sum(axis=0)
-    p = (alpha * beta)[col, row]
-    return p / p.sum(axis=1, keepdims=True), pair
+    out, pair, starts = np.empty_like(e), None if scale is None else np.zeros_like(moves), np.cumsum(lens) - lens
+    for a in range(0, len(lens), _BLOCK):
+        part, begin = lens[a : a + _BLOCK], starts[a : a + _BLOCK]
+        longest = int(part[0])
+        live = np.searchsorted(-part, -np.arange(longest), "left")  # chains longer than i
+        step, alpha, rows = e[:0], [], []
+        for i in range(longest):
+            at = begin[: live[i]] + i
+            here = e[at]
+            step = here if i == 0 else (step[: live[i]] @ m) * here
+            step = step / step.sum(axis=1, keepdims=True)
+            alpha.append(step)
+            rows.append((at, here))
+        beta = np.ones((live[longest - 1], e.shape[1]))
+        for i in range(longest - 1, -1, -1):
+            at, here = rows[i]
+            if i < longest - 1:
+                n = live[i + 1]
+                ahead = rows[i + 1][1] * beta
+                if pair is not None:
+                    both = alpha[i][:n, :, None] * m * ahead[:, None, :]
+                    pair += (both * (scale / both.sum(axis=(1, 2)))[:, None, None]).sum(axis=0)
+                new = np.ones_like(here)
+                x = ahead @ m.T
+                new[:n] = x / x.sum(axis=1, keepdims=True)
+                beta = new
+            p = alpha[i] * beta
+            out[at] = p / p.sum(axis=1, keepdims=True)
+    return out, pair
 
 
 #: Gradient steps, their rate, the weight of the data against the penalty, passages in a chain.
-_STEPS, _RATE, _DATA, _PENALTY, _STRING = 120, 0.3, 20.0, 2e-5, 3
+_STEPS, _RATE, _DATA, _PENALTY, _STRING = 250, 0.3, 20.0, 2e-6, 3
 
 
 def fit_field(rows: list[tuple[str, str]], lexis: Lexis) -> Field:
@@ -276,14 +303,13 @@ def fit_field(rows: list[tuple[str, str]], lexis: Lexis) -> Field:
     feats, truth, memo = [], [], {}
     for chain in chains:
         for part, y in chain:
-            before = "^"
-            for token, capital, _, _ in part:
-                if (token, capital) not in memo:
-                    memo[token, capital] = lexis.features(token, capital)
-                shape, f = memo[token, capital]
-                feats.append({**f, f"s:{before}>{shape}": 1.0})
+            for token, _, _ in part:
+                if token not in memo:
+                    memo[token] = lexis.features(token)
+                feats.append(memo[token])
                 truth.append(y)
-                before = shape
+    if not any(feats):
+        return Field(lexis)
     truth, lens, k, n = np.array(truth), np.array([sum(len(part) for part, _ in c) for c in chains]), len(LABELS), len(feats)
     index = {f: i for i, f in enumerate(dict.fromkeys(f for fs in feats for f in fs))}
     flat, value = np.array([index[f] for fs in feats for f in fs]), np.array([v for fs in feats for v in fs.values()])
@@ -310,137 +336,109 @@ def fit_field(rows: list[tuple[str, str]], lexis: Lexis) -> Field:
 
 def passages(text: str) -> list[str]:
     """Sentences of at most PASSAGE characters, longer ones in pieces."""
-    return [s[i : i + PASSAGE] for s in _SENTENCE.split(text) if s and s.strip() for i in range(0, len(s), PASSAGE)]
+    out, at = [], 0
+    for end in [m.end() for m in _SENTENCE.finditer(text)] + [len(text)]:
+        s = text[at:end].strip()
+        out += [s[i : i + PASSAGE] for i in range(0, len(s), PASSAGE)]
+        at = end
+    return out
 
 
-def sentences_of(text: str) -> list[tuple[int, str]]:
-    """(offset, text) of each sentence."""
-    out, at = [], 0
-    for m in _SENTENCE.finditer(text):
-        out.append((at, text[at : m.start()]))
-        at = m.end()
-    return [*out, (at, text[at:])]
+def _statistics(df: DataFrame, text_col: str, parts: list[str]) -> DataFrame:
+    """(kind, at, n, text): documents of each labelled part (1), all documents (2), and a passage (3) of each of the documents with the least hash, of every task."""
+    shared = df.sparkSession.sparkContext.broadcast(parts)
+
+    class Known(dict):
+        """Numbers of tokens, and the labelled parts of each."""
 
+        def __init__(self):
+            super().__init__()
+            self.where, self.parts = {p: i for i, p in enumerate(shared.value)}, []
 
-def _statistics(df: DataFrame, text_col: str, parts: frozenset[str]) -> DataFrame:
-    """(kind, at, n, text): documents of each word slot (0) and each labelled part (1), all documents (2), and background passages (3), of every task."""
-    shared = df.sparkSession.sparkContext.broadcast(sorted(parts))
+        def __missing__(self, token: str) -> int:
+            word = "" if _IS_BREAK.match(token) else plain_forms(token)[0][0]
+            mine = sorted({self.where[p] for p in parts_of(word) if p in self.where}) if word else []
+            self[token] = n = len(self.parts) if mine else -1
+            if mine:
+                self.parts.append(np.array(mine))
+            return n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where = {p: i for i, p in enumerate(shared.value)}
-        slots, known, docs = np.zeros(SLOTS, np.int64), np.zeros(len(where), np.int64), 0
-        memo: dict[str, tuple[int, tuple[int, ...]]] = {}
+        known, held, docs = Known(), np.zeros(len(shared.value) + 1, np.int64), 0
         chosen: dict[str, int] = {}
-        most = 1 << 63
-
-        def look(token: str) -> tuple[int, tuple[int, ...]]:
-            if len(memo) > 300_000:
-                memo.clear()
-            word = plain_forms(token)[0][0]
-            memo[token] = out = _slot(word), tuple(where[p] for p in parts_of(word) if p in where)
-            return out
-
+        most = 1 << 64
         for b in batches:
             for text in b.column(0).to_pylist():
                 if not text:
                     continue
                 docs += 1
-                found = [memo.get(t) or look(t) for t in {t for t, *_ in split_tokens(text)}]
-                slots[list({s for s, _ in found})] += 1
-                known[list({p for _, ps in found for p in ps})] += 1
-                for s in passages(text):
-                    h = xxhash.xxh3_64_intdigest(s.encode("utf-8", "replace"))
-                    if h < most:
-                        chosen[s] = h
-                if len(chosen) > 2 * OTHERS:
-                    chosen = dict(sorted(chosen.items(), key=lambda x: (x[1], x[0]))[:OTHERS])
-                    most = max(chosen.values())
-        chosen = dict(sorted(chosen.items(), key=lambda x: (x[1], x[0]))[:OTHERS])
-        a, p = np.flatnonzero(slots), np.flatnonzero(known)
-        kind = np.concatenate([np.zeros(len(a), np.int32), np.ones(len(p), np.int32), [2], np.full(len(chosen), 3)])
-        at = np.concatenate([a, p, [0], np.array([h >> 1 for h in chosen.values()], np.int64)])
-        n = np.concatenate([slots[a], known[p], [docs], np.zeros(len(chosen), np.int64)])
-        yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array([None] * (len(a) + len(p) + 1) + list(chosen), pa.string())], ["kind", "at", "n", "text"])
+                mine = {known[t] for t in set(tokens_and_breaks(text))} - {-1}
+                if mine:
+                    held[np.unique(np.concatenate([known.parts[i] for i in mine]))] += 1
+                h = xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace"))
+                if h < most and (said := passages(text)):
+                    chosen[said[h % len(said)]] = h
+                    if len(chosen) > 2 * OTHERS:
+                        chosen = _least_hash(chosen, OTHERS)
+                        most = max(chosen.values())
+            if len(known) > 500_000:
+                known = Known()
+        chosen = _least_hash(chosen, OTHERS)
+        p = np.flatnonzero(held)
+        kind = np.concatenate([np.ones(len(p), np.int32), [2], np.full(len(chosen), 3)])
+        at = np.concatenate([p, [0], np.array([h >> 1 for h in chosen.values()], np.int64)])
+        n = np.concatenate([held[p], [docs], np.zeros(len(chosen), np.int64)])
+        yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array([None] * (len(p) + 1) + list(chosen), pa.string())], ["kind", "at", "n", "text"])
 
     return df.select(F.col(text_col).cast("string").alias("t")).mapInArrow(run, "kind int, at bigint, n bigint, text string")
 
 
-def _tagged(df: DataFrame, field: Field, text_col: str) -> DataFrame:
-    """(kind, at, text): passages that the field believes to be of a category (1 to 3), and those it hesitates at (0); few of each from every task, those with the least hash."""
-    shared = df.sparkSession.sparkContext.broadcast(field)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chosen: list[dict[str, int]] = [{} for _ in LABELS]
-        for b in batches:
-            texts = [s for t in b.column(0).to_pylist() if t for s in passages(t)]
-            for s, p in zip(texts, shared.value.marginals([split_tokens(s) for s in texts])):
-                if not len(p):
-                    continue
-                top = p[:, 1:].max(axis=0)
-                k = 1 + int(top.argmax()) if top.max() >= BELIEVED else 0 if HESITANT[0] <= top.max() < HESITANT[1] else -1
-                if k >= 0:
-                    chosen[k][s] = xxhash.xxh3_64_intdigest(s.encode("utf-8", "replace")) >> 1
-                    if len(chosen[k]) > 2 * SUSPECTS:
-                        chosen[k] = dict(sorted(chosen[k].items(), key=lambda x: (x[1], x[0]))[:SUSPECTS])
-        rows = [(k, h, s) for k, c in enumerate(chosen) for s, h in sorted(c.items(), key=lambda x: (x[1], x[0]))[:SUSPECTS]]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], ["kind", "at", "text"])
-
-    return df.select(F.col(text_col).cast("string").alias("t")).mapInArrow(run, "kind int, at bigint, text string")
+def _least_hash(rows: dict[str, int], most: int) -> dict[str, int]:
+    return dict(sorted(rows.items(), key=lambda x: (x[1], x[0]))[:most])
 
 
 def fit_reviewed(df: DataFrame, samples: DataFrame, text_col: str = "text", category_col: str = "category", corpus_text_col: str = "text", sample: int = SAMPLE, glossary: dict[str, str] | None = GLOSSARY) -> Field:
-    """Fits to the reviewed snippets, the glossary (None for none) and passages of the corpus ``df``.
+    """Fits to the reviewed snippets, the glossary (None for none) and passages of the corpus ``df``, which are taken as harmless.
 
-    Of more than ``sample`` reviewed rows those with the least hash are taken. Two rounds:
-    the first takes all background passages as harmless, the second adds the passages that the
-    first field tags and drops background that it suspects. Without a reviewed row or a glossary
-    nothing is flagged.
+    Of more than ``sample`` reviewed rows those with the least hash are taken. Without a labelled row nothing is flagged.
     """
     rows = samples.where(F.col(text_col).isNotNull() & F.col(category_col).isNotNull()).select(F.col(text_col).alias("t"), F.col(category_col).alias("c")).distinct().orderBy(F.xxhash64("t", "c"), "t", "c").limit(sample).collect()
     reviewed = [(r["t"], r["c"]) for r in rows if r["c"] in LABELS] + glossary_rows(glossary or {})
     labelled = sorted({t for t, c in reviewed if c != "none"})
     parts = sorted({p for t in labelled for x, *_ in split_tokens(t) for p in parts_of(plain_forms(x)[0][0])})
-    stats = cut(_statistics(df, corpus_text_col, frozenset(parts)))
-    counts = stats.where("kind < 3").groupBy("kind", "at").agg(F.sum("n").alias("n")).toArrow()
-    kind, at, n = (counts.column(c).to_numpy() for c in ("kind", "at", "n"))
-    docs = int(n[kind == 2].sum())
-    slots = np.zeros(SLOTS, np.int64)
-    slots[at[kind == 0]] = n[kind == 0]
-    rarity = (slots[:, None] <= np.array(RARITY) * docs).sum(axis=1).astype(np.uint8)
-    lexis = Lexis(labelled, {parts[i]: int(c) for i, c in zip(at[kind == 1], n[kind == 1])}, rarity, docs)
+    stats = cut(_statistics(df, corpus_text_col, parts))
+    counts = {(r["kind"], r["at"]): r["n"] for r in stats.where("kind < 3").groupBy("kind", "at").agg(F.sum("n").alias("n")).collect()}
+    lexis = Lexis(labelled, {p: counts.get((1, i), 0) for i, p in enumerate(parts)}, counts.get((2, 0), 0))
     others = [r["text"] for r in stats.where("kind = 3").select("at", "text").distinct().orderBy("at", "text").limit(OTHERS).collect()]
-    first = fit_field(reviewed + [(t, "none") for t in others], lexis)
-    tagged = cut(_tagged(df, first, corpus_text_col))
-    more = []
-    for k in range(len(LABELS)):
-        more += [(r["text"], LABELS[k]) for r in tagged.where(F.col("kind") == k).select("at", "text").distinct().orderBy("at", "text").limit(SUSPECTS).collect()]
-    calm = [t for t, p in zip(others, first.marginals([split_tokens(t) for t in others])) if not len(p) or p[:, 1:].max() < LEAST]
-    return fit_field(reviewed + more + [(t, "none") for t in calm], lexis)
+    return fit_field(reviewed + [(t, "none") for t in others], lexis)
 
 
-def find_spans(text: str, chains: list[tuple[int, list[Token]]], marginals: list[np.ndarray], least: float = LEAST) -> list[tuple[int, int, str]]:
-    """(start, end, category): runs of tokens that reach ``least`` in a category."""
-    out = []
-    for (offset, tokens), p in zip(chains, marginals):
-        for k, name in enumerate(CATEGORIES, 1):
-            run = None
-            for (_, _, a, z), x in zip(tokens, p[:, k]):
-                if x >= least:
-                    run = (run[0] if run else offset + a, offset + z)
-                elif run:
-                    out.append((*run, name))
-                    run = None
-            if run:
-                out.append((*run, name))
-    return sorted(out)
+def find_spans(text: str, field: Field, least: float = LEAST) -> list[tuple[int, int, str]]:
+    """(start, end, category): runs of tokens of a sentence that reach ``least`` in a category."""
+    out, at = [], 0
+    for end in [m.end() for m in _SENTENCE.finditer(text)] + [len(text)]:
+        tokens = split_tokens(text[at:end])
+        p = field.marginals([[t for t, _, _ in tokens]])[0]
+        k = int(p[:, 1:].max(axis=0).argmax()) + 1 if len(p) else 0
+        run = None
+        for (_, a, z), x in zip(tokens, p[:, k] if k else ()):
+            if x >= least:
+                run = (run[0] if run else at + a, at + z)
+            elif run:
+                out.append((*run, CATEGORIES[k - 1]))
+                run = None
+        if run:
+            out.append((*run, CATEGORIES[k - 1]))
+        at = end
+    return out
 
 
 def score_documents(df: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, abuse, hate, sexual: 0 to 1, spans: start, end, category) of every row.
 
     A null or empty text scores 0 with no spans; rows that occur twice come out
-    twice; other columns are left out. No shuffle; the field has the size of its
-    sample and SLOTS bytes, whatever the data.
+    twice; other columns are left out. No shuffle; the field that is broadcast has the size of its
+    labelled rows, whatever the data.
     """
     shared = df.sparkSession.sparkContext.broadcast(field)
     src = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
@@ -450,32 +448,24 @@ def score_documents(df: DataFrame, field: Field, id_col: str = "doc_id", text_co
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             scores, spans = np.zeros((batch.num_rows, 3)), [[] for _ in range(batch.num_rows)]
-            chains, owner = [], []
-            texts = batch.column(1).to_pylist()
-            size = 0
+            texts, rows, lists, size = batch.column(1).to_pylist(), [], [], 0
 
             def judge() -> None:
-                per: dict[int, list[int]] = {}
-                ps = shared.value.marginals([c for _, c in chains])
-                for j, (i, p) in enumerate(zip(owner, ps)):
-                    if len(p):
-                        scores[i] = np.maximum(scores[i], p[:, 1:].max(axis=0))
-                        if p[:, 1:].max() >= LEAST:
-                            per.setdefault(i, []).append(j)
-                for i, js in per.items():
-                    spans[i] += [{"start": a, "end": z, "category": c} for a, z, c in find_spans(texts[i], [chains[j] for j in js], [ps[j] for j in js])]
-                chains.clear()
-                owner.clear()
+                scores[rows] = shared.value.best(lists)
+                for i in rows:
+                    if scores[i].max() >= LEAST:
+                        spans[i] = [{"start": a, "end": z, "category": c} for a, z, c in find_spans(texts[i], shared.value)]
 
             for i, t in enumerate(texts):
-                for offset, part in sentences_of(t) if t else ():
-                    chains.append((offset, split_tokens(part)))
-                    owner.append(i)
-                    size += len(part)
+                if t:
+                    rows.append(i)
+                    lists.append(tokens_and_breaks(t))
+                    size += len(t)
                 if size > 1_000_000:
                     judge()
-                    size = 0
-            judge()
+                    rows, lists, size = [], [], 0
+            if rows:
+                judge()
             return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(scores[:, k]) for k in range(3)), pa.array(spans, pa.list_(span))], ["doc_id", *CATEGORIES, "spans"])
 
         return step

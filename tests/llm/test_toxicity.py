@@ -66,13 +66,13 @@ def test_what_is_flagged_follows_the_labels(spark):
 def test_held_out_snippets(field):
     """Snippets with names that no labelled row has."""
     held = [(t.format("Quentin Oxley"), c) for c, ts in (("abuse", ABUSE), ("hate", HATE), ("sexual", SEXUAL)) for t in ts]
-    for (text, category), p in zip(held, field.marginals([tox.split_tokens(t) for t, _ in held])):
+    for (text, category), p in zip(held, field.marginals([tox.tokens_and_breaks(t) for t, _ in held])):
         assert tox.LABELS[1 + p[:, 1:].max(axis=0).argmax()] == category and p[:, 1:].max() >= tox.LEAST, text
 
 
 def test_marginals_are_those_of_all_paths(field):
-    tokens = tox.split_tokens("you moron shut up")
-    emit, k = np.array(field.emissions(tokens)), len(tox.LABELS)
+    tokens = ["you", "moron", "shut", "up"]
+    emit, k = field.chains([tokens])[2], len(tox.LABELS)
     paths = np.stack(np.meshgrid(*[np.arange(k)] * len(tokens), indexing="ij"), axis=-1).reshape(-1, len(tokens))
     score = np.exp(emit[np.arange(len(tokens)), paths].sum(axis=1) + field.moves[paths[:, :-1], paths[:, 1:]].sum(axis=1))
     truth = np.array([[score[paths[:, i] == y].sum() for y in range(k)] for i in range(len(tokens))]) / score.sum()
@@ -80,7 +80,7 @@ def test_marginals_are_those_of_all_paths(field):
 
 
 def test_disguises():
-    assert [t for t, *_ in tox.split_tokens("A s s h o l e s like t.o.p.l.e.s.s")] == [" assholes", "like", " topless"]
+    assert [t for t, *_ in tox.split_tokens("A s s h o l e s like t.o.p.l.e.s.s")] == ["\ue000Assholes", "like", "\ue000topless"]
     assert tox.plain_forms("h1rnl0$3r")[0][0] == "hirnloser" and "daamn" in tox.plain_forms("daaamn")[0]
     assert tox.plain_forms("xd0008126")[1] == () and tox.plain_forms("2023")[1] == ()
 
