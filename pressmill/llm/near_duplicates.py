@@ -1,38 +1,43 @@
 """Pairs and groups of texts that share most of their pieces.
 
-Every distinct text gets a signature of POSITIONS places, each holding the least
-hash of the pieces that fall there (empty places borrow from others by a fixed
-rule). Runs of WIDTH places form the posting keys of a positional inverted
-index; the shared postings of a pair are tallied, pairs that reach the least
-number are verified on the full sets of pieces.
-
-Two texts of likeness 0.70 agree in a place with probability 0.70, so that no
-run agrees with probability (1 - 0.7^5)^64 < 1e-5; anything reported is exact.
-Copies of a text are one class: the index and the verification see one text of
-each class, so a class of any size costs one posting list entry a run.
+Positional inverted index with count filtering. The hash of a piece of PIECE
+characters names a position and the bytes that stand there; the index leads from
+(position, bytes) to the texts that have them. Two texts with n and m distinct pieces
+and likeness t share at least t / (1 + t) * (n + m) positional bytes. So, in any one
+order of all positional bytes, the first (1 - t) * n + T of the larger text and the first
+(1 - t) / (1 + t) * n + T of the smaller one have T in common: only these are posted,
+shared ones tallied for each pair, pairs that reach T retained and verified on all
+their pieces. The minimum is guaranteed, no pair is missed.
+
+The order is rare first. How many texts have which bytes is counted over all texts in
+SLOTS counters, whatever the size of the corpus; any order is right, this one keeps
+posting lists short. Positional bytes that remain frequent are split by salts. Copies of a
+text are one class: index and verification see one text of each class.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressmill.llm.grams import codes, mix, windows
+from pressmill.llm.grams import codes, windows
 from pressmill.plans.arrow import map_batches
 from pressmill.plans.lineage import cut
 
 PIECE = 9
 LIKENESS = 0.70
-WIDTH, RUNS = 5, 64
-POSITIONS = WIDTH * RUNS
-MIN_SHARED = 1
+SLOTS, _SLICE = 1 << 20, 1 << 12
+#: Texts with the same positional bytes from which their postings are split.
+HOT = 50_000
+#: Pieces of the smaller text for each further posting that a pair must share.
+STEP = 48
 _CHUNK = 400_000
-_EMPTY = np.uint64((1 << 64) - 1)
-_TRIES = np.random.default_rng(20240101).integers(0, POSITIONS, (64, POSITIONS))
-_ODD = np.random.default_rng(20240102).integers(1, 1 << 62, WIDTH).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_BITS = np.uint64(52)  # of a piece's hash; the rest numbers the texts of a chunk
 
 
 def letters_only(text_col) -> F.Column:
@@ -40,62 +45,127 @@ def letters_only(text_col) -> F.Column:
     return F.regexp_replace(F.lower(text_col), r"[^\p{L}\p{N}]+", "")
 
 
-def signatures(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Number of distinct pieces and the RUNS posting keys of each text (texts of at least PIECE characters)."""
-    docs = len(texts)
-    lens = np.fromiter(map(len, texts), np.int64, docs)
-    ends = np.cumsum(lens)
+def chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about _CHUNK characters in all."""
+    a = size = 0
+    for b, t in enumerate(texts, 1):
+        size += len(t)
+        if size > _CHUNK or b == len(texts) or b - a == 4000:
+            yield a, b
+            a, size = b, 0
+
+
+def distinct_pieces(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, positional bytes) of the distinct pieces, in order of the texts."""
+    lens = np.fromiter(map(len, texts), np.int64, len(texts))
     h = windows(codes("".join(texts)), PIECE)
-    doc = np.repeat(np.arange(docs), lens)[: len(h)]
-    inside = np.arange(len(h)) + PIECE <= ends[doc]
-    h, doc = h[inside], doc[inside]
-    order = np.lexsort((h, doc))
-    h, doc = h[order], doc[order]
-    first = np.ones(len(h), bool)
-    first[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    h, doc = h[first], doc[first]
-    n = np.bincount(doc, minlength=docs)
-    place = ((h >> np.uint64(32)) * np.uint64(POSITIONS) >> np.uint64(32)).astype(np.int64)
-    least = np.full(docs * POSITIONS, _EMPTY, np.uint64)
-    np.minimum.at(least, doc * POSITIONS + place, h)
-    least = least.reshape(docs, POSITIONS)
-    source = least.copy()
-    for tries in _TRIES:
-        empty = least == _EMPTY
-        if not empty.any():
-            break
-        least = np.where(empty, source[:, tries], least)
-    least = np.where(least == _EMPTY, source.min(axis=1, keepdims=True), least)
-    keys = mix((least.reshape(docs, RUNS, WIDTH) * _ODD).sum(axis=2, dtype=np.uint64) + np.arange(1, RUNS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return n, keys.view(np.int64)
+    doc = np.repeat(np.arange(len(texts), dtype=np.uint64), lens)[: len(h)]
+    inside = np.arange(len(h)) + PIECE <= np.cumsum(lens)[doc.astype(np.int64)]
+    both = np.unique(doc[inside] << _BITS | h[inside] >> (np.uint64(64) - _BITS))
+    return (both >> _BITS).astype(np.int64), both & ((np.uint64(1) << _BITS) - np.uint64(1))
+
+
+def _slot(pieces: np.ndarray) -> np.ndarray:
+    return (pieces & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+def _census(reps: DataFrame) -> np.ndarray:
+    """How many texts have bytes of each slot; slices of counters are added up in Spark, SLOTS numbers reach the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            texts = b.column(0).to_pylist()
+            for a, z in chunks(texts):
+                total += np.bincount(_slot(distinct_pieces(texts[a:z])[1]), minlength=SLOTS)
+        n = SLOTS // _SLICE
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n), pa.int32()), pa.ListArray.from_arrays(pa.array(np.arange(0, SLOTS + 1, _SLICE), pa.int32()), pa.array(total))], ["slice", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, c in zip(b.column(0).to_pylist(), b.column(1)):
+                sums[k] = sums.get(k, 0) + c.values.to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tolist() for s in sums.values()], pa.list_(pa.int64()))], ["slice", "counts"])
 
+    kind = "slice int, counts array<bigint>"
+    total = np.zeros(SLOTS, np.int64)
+    for r in reps.select("t").mapInArrow(count, kind).repartition("slice").mapInArrow(add, kind).collect():
+        total[r["slice"] * _SLICE : (r["slice"] + 1) * _SLICE] = r["counts"]
+    return total
 
-def _sign(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    src = df.where(F.col(id_col).isNotNull() & (F.length(text_col) >= PIECE)).select(F.col(id_col).alias("id"), letters_only(F.col(text_col)).alias("t"))
-    kind = src.schema["id"].dataType.simpleString()
-    src = src.where(F.length("t") >= PIECE)
+
+def tally_least(n: int | np.ndarray):
+    """Postings that a pair shares at least, by the pieces of its smaller text."""
+    return 1 + n // STEP
+
+
+def posted(n: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """How many of a text's positional bytes are posted as those of the larger, and of the smaller text of a pair."""
+    t = Fraction(least).limit_denominator(10**6)
+    larger = n - (-(-n * t.numerator // t.denominator)) + tally_least(n)
+    both = 2 * t / (1 + t)
+    smaller = n - (-(-n * both.numerator // both.denominator)) + tally_least(n)
+    return np.minimum(larger, n), np.minimum(smaller, n)
+
+
+def _postings(reps: DataFrame, least: float, counts: np.ndarray, hot: int) -> DataFrame:
+    """(rep, n, inner, keys, salts): the rarest positional bytes of each text, the first ``inner`` of them as the smaller text; salts of each key, null where all are 1."""
+    kind = reps.schema["rep"].dataType.simpleString()
+    spread = 1 + np.maximum(0, counts - 2 * int(np.median(counts))) // hot
+    shared = reps.sparkSession.sparkContext.broadcast((np.minimum(counts, (1 << 31) - 1).astype(np.int32), np.minimum(spread, 1 << 20).astype(np.int32)))
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            rank, spread = shared.value
             texts = batch.column(1).to_pylist()
-            prints, ns, keys = [xxhash.xxh3_128_digest(t.encode("utf-8", "replace")) for t in texts], [], []
-            a = size = 0
-            for b, t in enumerate(texts, 1):
-                size += len(t)
-                if size > _CHUNK or b == len(texts):
-                    n, k = signatures(texts[a:b])
-                    ns.append(n)
-                    keys.append(k)
-                    a, size = b, 0
-            flat = np.concatenate(keys).ravel()
-            return pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(prints, pa.binary()), pa.array(np.concatenate(ns), pa.int32()), pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, RUNS), pa.int32()), pa.array(flat))],
-                ["id", "print", "n", "keys"],
-            )
+            ns, inner, sizes, keys, salts = [], [], [], [], []
+            for a, z in chunks(texts):
+                doc, piece = distinct_pieces(texts[a:z])
+                n = np.bincount(doc, minlength=z - a)
+                order = np.lexsort((piece, rank[_slot(piece)], doc))
+                larger, smaller = posted(n, least)
+                at = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
+                take = order[at < np.repeat(larger, n)]
+                ns.append(n)
+                inner.append(smaller)
+                sizes.append(larger)
+                keys.append(piece[take].astype(np.int64))
+                salts.append(spread[_slot(piece[take])])
+            ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+            flat, salt = np.concatenate(keys), np.concatenate(salts)
+            lists = lambda x, t: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, t))
+            tells = lists(salt, pa.int32()) if (salt > 1).any() else pa.nulls(batch.num_rows, pa.list_(pa.int32()))
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(ns), pa.int32()), pa.array(np.concatenate(inner), pa.int32()), lists(flat, pa.int64()), tells], ["rep", "n", "inner", "keys", "salts"])
 
         return step
 
-    return map_batches(src, make, f"id {kind}, print binary, n int, keys array<bigint>")
+    return map_batches(reps.select("rep", "t"), make, f"rep {kind}, n int, inner int, keys array<bigint>, salts array<int>")
+
+
+def _tally(postings: DataFrame, least: float, any_hot: bool) -> DataFrame:
+    """(a, b): pairs that share the guaranteed number of postings; a is the text with fewer pieces."""
+    posts = postings.select("rep", "n", "inner", "salts", F.posexplode("keys").alias("pos", "key"))
+    posts = posts.select("rep", "n", "key", (F.col("pos") < F.col("inner")).alias("small"), F.coalesce(F.element_at("salts", F.col("pos") + 1), F.lit(1)).alias("salts"))
+
+    def side(df: DataFrame, x: str) -> DataFrame:
+        return df.select(*(F.col(c).alias(x + c) if c in ("rep", "n", "small") else F.col(c) for c in df.columns))
+
+    def meet(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+        # the posting of the smaller text must be one of its first; both columns in one condition, so that the two sides stay one exchange
+        first = F.when(F.col("asmall"), F.col("bn")) >= 0
+        smaller = (F.col("an") < F.col("bn")) | ((F.col("an") == F.col("bn")) & (F.col("arep") < F.col("brep")))
+        return a.hint("merge").join(b, on).where(first & smaller & (F.col("an") >= least * F.col("bn"))).select("arep", "brep", "an")
+
+    cold = posts.where("salts = 1").select("rep", "n", "key", "small") if any_hot else posts.select("rep", "n", "key", "small")
+    met = meet(side(cold, "a"), side(cold, "b"), ["key"])
+    if any_hot:
+        hot = posts.where("salts > 1")
+        a = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+        b = hot.withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int")).drop("salts")
+        met = met.unionByName(meet(side(a, "a"), side(b, "b"), ["key", "salt"]))
+    tally = met.groupBy("arep", "brep", "an").agg(F.count("*").alias("shared"))
+    return tally.where(F.col("shared") >= 1 + F.floor(F.col("an") / STEP)).select(F.col("arep").alias("a"), F.col("brep").alias("b"))
 
 
 def _verify(pairs: DataFrame, kind: str, least: float) -> DataFrame:
@@ -123,33 +193,31 @@ def _verify(pairs: DataFrame, kind: str, least: float) -> DataFrame:
     return map_batches(pairs, make, f"a {kind}, b {kind}, likeness double")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "art_id", text_col: str = "art_text", least: float = LIKENESS) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(df: DataFrame, id_col: str = "art_id", text_col: str = "art_text", least: float = LIKENESS, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(links between classes: a, b, likeness) and (membership: id, rep).
 
     A class holds the texts that are equal once reduced to letters and numbers;
     its representative is the least id. Rows with a null id, a null text or fewer
-    than PIECE letters and numbers belong to no class. A row that occurs twice
-    counts once. ``least`` below 0.7 needs more RUNS for the same recall.
+    than PIECE letters and numbers belong to no class. A row that occurs twice counts
+    once; of several texts under one id the one with the least digest counts. All pairs
+    of classes with likeness ``least`` (above 0) come out.
     """
-    signed = cut(_sign(df, id_col, text_col))
-    kind = signed.schema["id"].dataType.simpleString()
-    classes = signed.groupBy("print").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min("keys").alias("keys"))
-    member = signed.select("id", "print").distinct().join(classes.select("print", "rep"), "print").select("id", "rep")
-    posts = classes.select("rep", "n", F.explode("keys").alias("key"))
-    a, b = (posts.select(*(F.col(c).alias(x + c) if c != "key" else F.col(c) for c in posts.columns)) for x in "ab")
-    tally = (
-        a.join(b, "key")
-        .where((F.col("arep") < F.col("brep")) & (F.least("an", "bn") >= least * F.greatest("an", "bn")))
-        .groupBy("arep", "brep")
-        .agg(F.count("*").alias("shared"))
-        .where(F.col("shared") >= MIN_SHARED)
-        .select(F.col("arep").alias("a"), F.col("brep").alias("b"))
-    )
-    tally = cut(tally)
-    wanted = tally.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(wanted, "id", "left_semi").dropDuplicates(["id"]).select("id", letters_only(F.col("t")).alias("t"))
-    pairs = tally.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb")
-    return _verify(pairs, kind, least), member
+    rows = df.where(F.col(id_col).isNotNull() & (F.length(text_col) >= PIECE)).select(F.col(id_col).alias("id"), letters_only(F.col(text_col)).alias("t")).where(F.length("t") >= PIECE)
+    rows = rows.withColumn("print", F.md5("t"))
+    kind = rows.schema["id"].dataType.simpleString()
+    one = cut(rows.groupBy("id").agg(F.min("print").alias("print")))
+    classes = one.groupBy("print").agg(F.min("id").alias("rep"))
+    member = one.join(classes, "print").select("id", "rep")
+    # map-side, copies of a text leave a task once
+    reps = cut(rows.groupBy("print").agg(F.min("t").alias("t")).join(classes.hint("merge"), "print").select("rep", "t"))
+    counts = _census(reps)
+    any_hot = bool((counts - 2 * int(np.median(counts)) >= hot).any())
+    tally = cut(_tally(_postings(reps, least, counts, hot), least, any_hot))
+    wanted = tally.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    texts = reps.join(wanted.hint("merge"), "rep", "left_semi")
+    pairs = tally.join(texts.select(F.col("rep").alias("a"), F.col("t").alias("ta")).hint("merge"), "a").join(texts.select(F.col("rep").alias("b"), F.col("t").alias("tb")).hint("merge"), "b").select("a", "b", "ta", "tb")
+    links = _verify(pairs, kind, least).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "likeness")
+    return cut(links), member
 
 
 def expand(links: DataFrame, member: DataFrame) -> DataFrame:
@@ -166,10 +234,9 @@ def duplicate_groups(links: DataFrame, member: DataFrame, rounds: int = 64) -> D
     Labels spread along the links with pointer jumping, each round cut to the
     shared folder, until none changes. Nothing is collected but the number of changes.
     """
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     degree = both.groupBy("a").agg(F.count("*").alias("links"))
     label = cut(both.select(F.col("a").alias("rep")).distinct().withColumn("g", F.col("rep")))
-    both = cut(both)
     for _ in range(rounds):
         near = both.join(label.select(F.col("rep").alias("b"), "g"), "b").groupBy("a").agg(F.min("g").alias("m"))
         new = label.join(near, label["rep"] == near["a"], "left").select("rep", F.col("g").alias("old"), F.least("g", F.coalesce("m", "g")).alias("g"))

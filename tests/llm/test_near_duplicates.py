@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from pressmill.llm import near_duplicates as nd
 
 
@@ -41,6 +43,29 @@ def test_equals_brute_force(spark):
     assert set(got) == brute(rows)
 
 
+def test_frequent_bytes_are_split(spark):
+    """With a low bound on hot postings, pairs come out of the salted join all the same."""
+    rows = corpus()
+    links, member = nd.near_duplicates(spark.createDataFrame(rows, "art_id bigint, art_text string, rep string"), hot=1)
+    got = [(r["a"], r["b"]) for r in nd.expand(links, member).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows)
+
+
+def test_the_minimum_is_guaranteed():
+    """Random sets just at the bound share the tallied number of postings, in any order."""
+    rnd = np.random.default_rng(11)
+    for _ in range(3000):
+        both, only = int(rnd.integers(1, 300)), int(rnd.integers(0, 130))
+        if both / (both + only) < 0.7:
+            continue
+        order = rnd.permutation(both + only)
+        cut = int(rnd.integers(0, only + 1))
+        a, b = order[np.r_[0:both, both : both + cut].astype(int)], order[np.r_[0:both, both + cut : both + only].astype(int)]
+        small, large = sorted((np.sort(a), np.sort(b)), key=len)
+        inner, outer = nd.posted(np.array([len(small)]), 0.7)[1][0], nd.posted(np.array([len(large)]), 0.7)[0][0]
+        assert len(np.intersect1d(small[:inner], large[:outer])) >= nd.tally_least(len(small))
+
+
 def test_groups_are_components(spark):
     rows = corpus()
     links, member = nd.near_duplicates(spark.createDataFrame(rows, "art_id bigint, art_text string, rep string"))
