@@ -4,15 +4,16 @@ Positional inverted index with count filtering. The hash of a piece of PIECE
 characters names a position and the bytes that stand there; the index leads from
 (position, bytes) to the texts that have them. Two texts with n and m distinct pieces
 and likeness t share at least t / (1 + t) * (n + m) positional bytes. So, in any one
-order of all positional bytes, the first (1 - t) * n + T of the larger text and the first
-(1 - t) / (1 + t) * n + T of the smaller one have T in common: only these are posted,
-shared ones tallied for each pair, pairs that reach T retained and verified on all
-their pieces. The minimum is guaranteed, no pair is missed.
+order of all positional bytes, the first n - t / (1 + t) * (n + m) + T of the one and the
+first m - t / (1 + t) * (n + m) + T of the other have T in common: only the first
+(1 - t) * n + T of a text are posted, shared ones tallied for each pair, pairs that reach T
+retained and verified on all their pieces. The minimum is guaranteed, no pair is missed.
 
 The order is rare first. How many texts have which bytes is counted over all texts in
 SLOTS counters, whatever the size of the corpus; any order is right, this one keeps
-posting lists short. Positional bytes that remain frequent are split by salts. Copies of a
-text are one class: index and verification see one text of each class.
+posting lists short. The index lies in buckets of about BUCKET postings; positional
+bytes that many texts have are split over several of them. Copies of a text are one class:
+index and verification see one text of each class.
 """
 
 from __future__ import annotations
@@ -32,12 +33,16 @@ from pressmill.plans.lineage import cut
 PIECE = 9
 LIKENESS = 0.70
 SLOTS, _SLICE = 1 << 20, 1 << 12
-#: Texts with the same positional bytes from which their postings are split.
-HOT = 50_000
+#: Postings of a bucket; texts with the same positional bytes from which their postings are split.
+BUCKET, HOT = 2_000_000, 50_000
 #: Pieces of the smaller text for each further posting that a pair must share.
 STEP = 48
 _CHUNK = 400_000
 _BITS = np.uint64(52)  # of a piece's hash; the rest numbers the texts of a chunk
+_TIERS = 64  # of a posting's place in the order, told apart; roles beside it
+_ONLY_SMALLER, _ONLY_LARGER = 64, 128
+_POSTING = np.dtype([("key", "<u8"), ("tier", "u1")])
+_MET = 3_000_000  # meetings of texts held before they are added up
 
 
 def letters_only(text_col) -> F.Column:
@@ -76,8 +81,7 @@ def _census(reps: DataFrame) -> np.ndarray:
         total = np.zeros(SLOTS, np.int64)
         for b in batches:
             texts = b.column(0).to_pylist()
-            for a, z in chunks(texts):
-                total += np.bincount(_slot(distinct_pieces(texts[a:z])[1]), minlength=SLOTS)
+            total += np.bincount(np.concatenate([_slot(distinct_pieces(texts[a:z])[1]) for a, z in chunks(texts)]), minlength=SLOTS)
         n = SLOTS // _SLICE
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(n), pa.int32()), pa.ListArray.from_arrays(pa.array(np.arange(0, SLOTS + 1, _SLICE), pa.int32()), pa.array(total))], ["slice", "counts"])
 
@@ -100,72 +104,122 @@ def tally_least(n: int | np.ndarray):
     return 1 + n // STEP
 
 
-def posted(n: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """How many of a text's positional bytes are posted as those of the larger, and of the smaller text of a pair."""
+def posted(n: np.ndarray, least: float) -> np.ndarray:
+    """How many of a text's positional bytes are posted, the rarest first."""
     t = Fraction(least).limit_denominator(10**6)
-    larger = n - (-(-n * t.numerator // t.denominator)) + tally_least(n)
-    both = 2 * t / (1 + t)
-    smaller = n - (-(-n * both.numerator // both.denominator)) + tally_least(n)
-    return np.minimum(larger, n), np.minimum(smaller, n)
+    return np.minimum(n - (-(-n * t.numerator // t.denominator)) + tally_least(n), n)
 
 
-def _postings(reps: DataFrame, least: float, counts: np.ndarray, hot: int) -> DataFrame:
-    """(rep, n, inner, keys, salts): the rarest positional bytes of each text, the first ``inner`` of them as the smaller text; salts of each key, null where all are 1."""
+def _postings(reps: DataFrame, least: float, counts: np.ndarray, hot: int, buckets: int) -> DataFrame:
+    """(bucket, rep, n, posts): the rarest positional bytes of each text with their tier in its order, by bucket."""
     kind = reps.schema["rep"].dataType.simpleString()
-    spread = 1 + np.maximum(0, counts - 2 * int(np.median(counts))) // hot
-    shared = reps.sparkSession.sparkContext.broadcast((np.minimum(counts, (1 << 31) - 1).astype(np.int32), np.minimum(spread, 1 << 20).astype(np.int32)))
+    spread = np.minimum(1 + np.maximum(0, counts - 2 * int(np.median(counts))) // hot, buckets)
+    rank = np.minimum(255, np.log2(1 + counts) * 6).astype(np.uint8)
+    shared = reps.sparkSession.sparkContext.broadcast((rank, spread.astype(np.int32) if (spread > 1).any() else None))
 
     def make():
+        rank, spread = shared.value
+
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rank, spread = shared.value
             texts = batch.column(1).to_pylist()
-            ns, inner, sizes, keys, salts = [], [], [], [], []
+            owner, size, bucket, packed = [], [], [], []
             for a, z in chunks(texts):
                 doc, piece = distinct_pieces(texts[a:z])
                 n = np.bincount(doc, minlength=z - a)
-                order = np.lexsort((piece, rank[_slot(piece)], doc))
-                larger, smaller = posted(n, least)
+                low = np.uint64((1 << 44) - 1)
+                order = np.argsort(doc.astype(np.uint64) << np.uint64(52) | rank[_slot(piece)].astype(np.uint64) << np.uint64(44) | piece & low)
                 at = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
-                take = order[at < np.repeat(larger, n)]
-                ns.append(n)
-                inner.append(smaller)
-                sizes.append(larger)
-                keys.append(piece[take].astype(np.int64))
-                salts.append(spread[_slot(piece[take])])
-            ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-            flat, salt = np.concatenate(keys), np.concatenate(salts)
-            lists = lambda x, t: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, t))
-            tells = lists(salt, pa.int32()) if (salt > 1).any() else pa.nulls(batch.num_rows, pa.list_(pa.int32()))
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(ns), pa.int32()), pa.array(np.concatenate(inner), pa.int32()), lists(flat, pa.int64()), tells], ["rep", "n", "inner", "keys", "salts"])
+                keep = at < np.repeat(posted(n, least), n)
+                take, of = order[keep], doc[keep]
+                key, tier = piece[take], (at[keep] * _TIERS // n[of]).astype(np.uint8)
+                home = (key >> np.uint64(20)) % np.uint64(buckets)
+                if spread is not None and (many := spread[_slot(key)]).max(initial=1) > 1:
+                    # a frequent one: as that of the larger text in one bucket of several, as that of the smaller in each of them
+                    own = (key + of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+                    split = many > 1
+                    again = np.repeat(np.flatnonzero(split), many[split])
+                    turn = np.arange(len(again)) - np.repeat(np.cumsum(many[split]) - many[split], many[split])
+                    place = np.where(split, (home + own % many.astype(np.uint64)) % np.uint64(buckets), home)
+                    tier = np.where(split, tier | _ONLY_LARGER, tier)
+                    home = np.concatenate([place, (home[again] + turn.astype(np.uint64)) % np.uint64(buckets)])
+                    tier = np.concatenate([tier, tier[again] & (_TIERS - 1) | _ONLY_SMALLER]).astype(np.uint8)
+                    key, of = np.concatenate([key, key[again]]), np.concatenate([of, of[again]])
+                order = np.argsort(of * buckets + home.astype(np.int64), kind="stable")
+                cell = (of * buckets + home.astype(np.int64))[order]
+                first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.empty(0, np.int64)
+                posts = np.empty(len(order), _POSTING)
+                posts["key"], posts["tier"] = key[order], tier[order]
+                raw, ends = posts.tobytes(), np.r_[first[1:], len(cell)] if len(cell) else first
+                packed += [raw[x * _POSTING.itemsize : y * _POSTING.itemsize] for x, y in zip(first.tolist(), ends.tolist())]
+                owner.append(a + cell[first] // buckets)
+                bucket.append(cell[first] % buckets)
+                size.append(n[cell[first] // buckets])
+            join = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(join(bucket), pa.int32()), batch.column(0).take(pa.array(join(owner), pa.int64())), pa.array(join(size), pa.int32()), pa.array(packed, pa.binary())], ["bucket", "rep", "n", "posts"])
 
         return step
 
-    return map_batches(reps.select("rep", "t"), make, f"rep {kind}, n int, inner int, keys array<bigint>, salts array<int>")
+    return map_batches(reps.select("rep", "t"), make, f"bucket int, rep {kind}, n int, posts binary")
 
 
-def _tally(postings: DataFrame, least: float, any_hot: bool) -> DataFrame:
-    """(a, b): pairs that share the guaranteed number of postings; a is the text with fewer pieces."""
-    posts = postings.select("rep", "n", "inner", "salts", F.posexplode("keys").alias("pos", "key"))
-    posts = posts.select("rep", "n", "key", (F.col("pos") < F.col("inner")).alias("small"), F.coalesce(F.element_at("salts", F.col("pos") + 1), F.lit(1)).alias("salts"))
+def meetings(key: np.ndarray, tier: np.ndarray, text: np.ndarray, n: np.ndarray, order: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(smaller, larger text) for each posting that two texts share and may count by its place in both; ``order`` ranks texts by n."""
+    s = np.lexsort((order[text], key))
+    key, tier, text = key[s], tier[s], text[s]
+    many, place, share = n[text], (tier & (_TIERS - 1)) / _TIERS, least / (1 + least)
+    i, d = np.arange(len(key) - 1), 1
+    while len(i):
+        i = i[i + d < len(key)]
+        j = i + d
+        near = (key[i] == key[j]) & (many[i] >= least * many[j])
+        i, j = i[near], j[near]
+        bound = tally_least(many[i]) - share * (many[i] + many[j]) + 1
+        ok = (place[i] * many[i] < many[i] + bound) & (place[j] * many[j] < many[j] + bound) & (tier[i] & _ONLY_LARGER == 0) & (tier[j] & _ONLY_SMALLER == 0) & (text[i] != text[j])
+        yield text[i[ok]], text[j[ok]]
+        d += 1
 
-    def side(df: DataFrame, x: str) -> DataFrame:
-        return df.select(*(F.col(c).alias(x + c) if c in ("rep", "n", "small") else F.col(c) for c in df.columns))
 
-    def meet(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
-        # the posting of the smaller text must be one of its first; both columns in one condition, so that the two sides stay one exchange
-        first = F.when(F.col("asmall"), F.col("bn")) >= 0
-        smaller = (F.col("an") < F.col("bn")) | ((F.col("an") == F.col("bn")) & (F.col("arep") < F.col("brep")))
-        return a.hint("merge").join(b, on).where(first & smaller & (F.col("an") >= least * F.col("bn"))).select("arep", "brep", "an")
-
-    cold = posts.where("salts = 1").select("rep", "n", "key", "small") if any_hot else posts.select("rep", "n", "key", "small")
-    met = meet(side(cold, "a"), side(cold, "b"), ["key"])
-    if any_hot:
-        hot = posts.where("salts > 1")
-        a = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-        b = hot.withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int")).drop("salts")
-        met = met.unionByName(meet(side(a, "a"), side(b, "b"), ["key", "salt"]))
-    tally = met.groupBy("arep", "brep", "an").agg(F.count("*").alias("shared"))
-    return tally.where(F.col("shared") >= 1 + F.floor(F.col("an") / STEP)).select(F.col("arep").alias("a"), F.col("brep").alias("b"))
+def _tally(postings: DataFrame, least: float, buckets: int) -> DataFrame:
+    """(a, b): pairs that share the guaranteed number of postings; a is the text with fewer pieces."""
+    kind = postings.schema["rep"].dataType.simpleString()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [b for b in batches if b.num_rows]
+        if not rows:
+            return
+        table = pa.Table.from_batches(rows)
+        rep = table.column("rep").combine_chunks().dictionary_encode()
+        text = rep.indices.to_numpy().astype(np.int64)
+        n = np.zeros(len(rep.dictionary), np.int64)
+        n[text] = table.column("n").to_numpy()
+        which = np.argsort(np.array(rep.dictionary.to_pylist()), kind="stable")
+        least_rep = np.empty(len(n), np.int64)
+        least_rep[which] = np.arange(len(n))
+        order = np.empty(len(n), np.int64)
+        order[np.lexsort((least_rep, n))] = np.arange(len(n))
+        packed = table.column("posts").to_pylist()
+        posts = np.frombuffer(b"".join(packed), _POSTING)
+        text = np.repeat(text, [len(x) // _POSTING.itemsize for x in packed])
+        del packed, table
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            pairs, shared = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.int64), np.empty(0, np.int64))
+            held.clear()
+            a, b = pairs // len(n), pairs % len(n)
+            return pa.RecordBatch.from_arrays([rep.dictionary.take(pa.array(a)), rep.dictionary.take(pa.array(b)), pa.array(n[a], pa.int32()), pa.array(shared, pa.int32())], ["a", "b", "n", "shared"])
+
+        for a, b in meetings(posts["key"].copy(), posts["tier"].copy(), text, n, order, least):
+            held.append(a * len(n) + b)
+            size += len(a)
+            if size > _MET:
+                yield flush()
+                size = 0
+        yield flush()
+
+    met = postings.repartitionById(buckets, "bucket").select("rep", "n", "posts").mapInArrow(meet, f"a {kind}, b {kind}, n int, shared int")
+    tally = met.groupBy("a", "b", "n").agg(F.sum("shared").alias("shared"))
+    return tally.where(F.col("shared") >= 1 + F.floor(F.col("n") / STEP)).select("a", "b")
 
 
 def _verify(pairs: DataFrame, kind: str, least: float) -> DataFrame:
@@ -211,8 +265,8 @@ def near_duplicates(df: DataFrame, id_col: str = "art_id", text_col: str = "art_
     # map-side, copies of a text leave a task once
     reps = cut(rows.groupBy("print").agg(F.min("t").alias("t")).join(classes.hint("merge"), "print").select("rep", "t"))
     counts = _census(reps)
-    any_hot = bool((counts - 2 * int(np.median(counts)) >= hot).any())
-    tally = cut(_tally(_postings(reps, least, counts, hot), least, any_hot))
+    buckets = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(counts.sum() * (1 - least)) // BUCKET))
+    tally = cut(_tally(_postings(reps, least, counts, hot, buckets), least, buckets))
     wanted = tally.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     texts = reps.join(wanted.hint("merge"), "rep", "left_semi")
     pairs = tally.join(texts.select(F.col("rep").alias("a"), F.col("t").alias("ta")).hint("merge"), "a").join(texts.select(F.col("rep").alias("b"), F.col("t").alias("tb")).hint("merge"), "b").select("a", "b", "ta", "tb")

@@ -62,8 +62,11 @@ def test_the_minimum_is_guaranteed():
         cut = int(rnd.integers(0, only + 1))
         a, b = order[np.r_[0:both, both : both + cut].astype(int)], order[np.r_[0:both, both + cut : both + only].astype(int)]
         small, large = sorted((np.sort(a), np.sort(b)), key=len)
-        inner, outer = nd.posted(np.array([len(small)]), 0.7)[1][0], nd.posted(np.array([len(large)]), 0.7)[0][0]
-        assert len(np.intersect1d(small[:inner], large[:outer])) >= nd.tally_least(len(small))
+        n = np.array([len(small), len(large)])
+        posts = [(x, np.arange(p), np.arange(p) * 64 // len(x)) for x, p in zip((small, large), nd.posted(n, 0.7))]
+        key, tier = np.concatenate([x[p] for x, p, _ in posts]), np.concatenate([t for _, _, t in posts]).astype(np.uint8)
+        met = sum(len(a) for a, _ in nd.meetings(key, tier, np.repeat([0, 1], [len(p) for _, p, _ in posts]), n, np.arange(2), 0.7))
+        assert met >= nd.tally_least(len(small))
 
 
 def test_groups_are_components(spark):
