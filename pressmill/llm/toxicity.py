@@ -21,6 +21,7 @@ labelled parts cover all documents.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -59,6 +60,8 @@ _WORD = rf"(?:(?![{_WIDE}])[^\W_]|[@$€{_JOINED}](?=[\w@$€]))(?:(?![{_WIDE}])
 _BREAK = r"""[.!?…।]+(?=[\s”“"»]|\Z)|[。！？]|\n[^\S\n]*\n"""
 _TOKEN = re.compile(_WORD)
 _ALL = re.compile(f"{_WORD}|{_BREAK}").findall
+_NARROW = re.compile(rf"(?:[^\W_]|[@$€{_JOINED}](?=[\w@$€]))[\w@$*€{_HIDDEN}]*|{_BREAK}").findall  # the same where no wide character stands
+_HAS_WIDE = re.compile(f"[{_WIDE}]").search
 _IS_BREAK = re.compile(r"[.!?…।。！？\n]")
 _SPACED = re.compile(r"(?<![\w@$*])[^\W\d_](?:([ .\-_*])[\w@$*](?:\1[\w@$*])+)(?![\w@$*])")
 _SPACED_HINT = re.compile(r"(?<!\w)[^\W\d_]([ .\-_*])[\w@$*]\1[\w@$*](?![^\W_])")
@@ -97,7 +100,8 @@ def split_tokens(text: str) -> list[Token]:
 
 def tokens_and_breaks(text: str) -> list[str]:
     """The tokens of a text and what ends its sentences, in order."""
-    return _ALL(_SPACED.sub(_join_spaced, text) if _SPACED_HINT.search(text) else text)
+    text = _SPACED.sub(_join_spaced, text) if _SPACED_HINT.search(text) else text
+    return _ALL(text) if not text.isascii() and _HAS_WIDE(text) else _NARROW(text)
 
 
 @lru_cache(maxsize=300_000)
@@ -159,7 +163,10 @@ class Lexis:
 
     def features(self, token: str) -> dict[str, float]:
         word, how = self.word(token)
-        out = {p: self.value[p] for p in parts_of(word) if p in self.value} | {f"d:{h}": 1.0 for h in how}
+        get = self.value.get
+        out = {p: v for p in parts_of(word) if (v := get(p))}
+        for h in how:
+            out[f"d:{h}"] = 1.0
         size = len(out) ** 0.5
         return {f: v / size for f, v in out.items()}
 
@@ -345,44 +352,37 @@ def passages(text: str) -> list[str]:
 
 
 def _statistics(df: DataFrame, text_col: str, parts: list[str]) -> DataFrame:
-    """(kind, at, n, text): documents of each labelled part (1), all documents (2), and a passage (3) of each of the documents with the least hash, of every task."""
+    """(kind, at, n, text): distinct words of documents with each labelled part (1), all documents (2), and a passage (3) of each of the documents with the least hash, of every task."""
     shared = df.sparkSession.sparkContext.broadcast(parts)
 
-    class Known(dict):
-        """Numbers of tokens, and the labelled parts of each."""
-
-        def __init__(self):
-            super().__init__()
-            self.where, self.parts = {p: i for i, p in enumerate(shared.value)}, []
-
-        def __missing__(self, token: str) -> int:
-            word = "" if _IS_BREAK.match(token) else plain_forms(token)[0][0]
-            mine = sorted({self.where[p] for p in parts_of(word) if p in self.where}) if word else []
-            self[token] = n = len(self.parts) if mine else -1
-            if mine:
-                self.parts.append(np.array(mine))
-            return n
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, docs = Known(), np.zeros(len(shared.value) + 1, np.int64), 0
+        where, held, docs = {p: i for i, p in enumerate(shared.value)}, np.zeros(len(shared.value), np.int64), 0
+        words: Counter[str] = Counter()
         chosen: dict[str, int] = {}
         most = 1 << 64
+
+        def settle() -> None:
+            for token, n in words.items():
+                if not _IS_BREAK.match(token):
+                    for part in {where[p] for p in parts_of(plain_forms(token)[0][0]) if p in where}:
+                        held[part] += n
+            words.clear()
+
         for b in batches:
             for text in b.column(0).to_pylist():
                 if not text:
                     continue
                 docs += 1
-                mine = {known[t] for t in set(tokens_and_breaks(text))} - {-1}
-                if mine:
-                    held[np.unique(np.concatenate([known.parts[i] for i in mine]))] += 1
+                words.update(set(tokens_and_breaks(text)))
                 h = xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace"))
                 if h < most and (said := passages(text)):
                     chosen[said[h % len(said)]] = h
                     if len(chosen) > 2 * OTHERS:
                         chosen = _least_hash(chosen, OTHERS)
                         most = max(chosen.values())
-            if len(known) > 500_000:
-                known = Known()
+            if len(words) > 500_000:
+                settle()
+        settle()
         chosen = _least_hash(chosen, OTHERS)
         p = np.flatnonzero(held)
         kind = np.concatenate([np.ones(len(p), np.int32), [2], np.full(len(chosen), 3)])
