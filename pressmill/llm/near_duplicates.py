@@ -18,6 +18,7 @@ index and verification see one text of each class.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -26,22 +27,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressmill.llm.grams import codes, windows
+from pressmill.llm.grams import codes, mix, windows
 from pressmill.plans.arrow import map_batches
-from pressmill.plans.lineage import cut
+from pressmill.plans.lineage import cut, cut_table
 
 PIECE = 9
 LIKENESS = 0.70
-SLOTS, _SLICE = 1 << 20, 1 << 12
+SLOTS, _SLICE = 1 << 18, 1 << 10
 #: Postings of a bucket; texts with the same positional bytes from which their postings are split.
 BUCKET, HOT = 2_000_000, 50_000
 #: Pieces of the smaller text for each further posting that a pair must share.
 STEP = 48
 _CHUNK = 400_000
-_BITS = np.uint64(52)  # of a piece's hash; the rest numbers the texts of a chunk
+_BITS = np.uint64(48)  # of a piece's hash; the rest numbers the texts of a chunk
 _TIERS = 64  # of a posting's place in the order, told apart; roles beside it
 _ONLY_SMALLER, _ONLY_LARGER = 64, 128
-_POSTING = np.dtype([("key", "<u8"), ("tier", "u1")])
+_POSTING = np.dtype([("low", "<u4"), ("high", "<u2"), ("tier", "u1")])
 _MET = 3_000_000  # meetings of texts held before they are added up
 
 
@@ -55,18 +56,23 @@ def chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
     a = size = 0
     for b, t in enumerate(texts, 1):
         size += len(t)
-        if size > _CHUNK or b == len(texts) or b - a == 4000:
+        if size > _CHUNK or b == len(texts) or b - a == 60_000:
             yield a, b
             a, size = b, 0
 
 
+def sorted_distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
 def distinct_pieces(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(text, positional bytes) of the distinct pieces, in order of the texts."""
     lens = np.fromiter(map(len, texts), np.int64, len(texts))
     h = windows(codes("".join(texts)), PIECE)
     doc = np.repeat(np.arange(len(texts), dtype=np.uint64), lens)[: len(h)]
-    inside = np.arange(len(h)) + PIECE <= np.cumsum(lens)[doc.astype(np.int64)]
-    both = np.unique(doc[inside] << _BITS | h[inside] >> (np.uint64(64) - _BITS))
+    inside = np.arange(len(h)) + PIECE <= np.repeat(np.cumsum(lens), lens)[: len(h)]
+    both = sorted_distinct(doc[inside] << _BITS | h[inside] >> (np.uint64(64) - _BITS))
     return (both >> _BITS).astype(np.int64), both & ((np.uint64(1) << _BITS) - np.uint64(1))
 
 
@@ -104,6 +110,11 @@ def tally_least(n: int | np.ndarray):
     return 1 + n // STEP
 
 
+def bucket_least(n: int | np.ndarray, buckets: int):
+    """Of the postings that a pair shares, one bucket of ``buckets`` at least holds so many."""
+    return -(-tally_least(n) // buckets)
+
+
 def posted(n: np.ndarray, least: float) -> np.ndarray:
     """How many of a text's positional bytes are posted, the rarest first."""
     t = Fraction(least).limit_denominator(10**6)
@@ -126,8 +137,8 @@ def _postings(reps: DataFrame, least: float, counts: np.ndarray, hot: int, bucke
             for a, z in chunks(texts):
                 doc, piece = distinct_pieces(texts[a:z])
                 n = np.bincount(doc, minlength=z - a)
-                low = np.uint64((1 << 44) - 1)
-                order = np.argsort(doc.astype(np.uint64) << np.uint64(52) | rank[_slot(piece)].astype(np.uint64) << np.uint64(44) | piece & low)
+                # rare first, a number below the piece's slot, then the piece
+                order = np.lexsort((rank[_slot(piece)].astype(np.uint64) << _BITS | piece, doc)) if len(piece) else np.empty(0, np.int64)
                 at = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
                 keep = at < np.repeat(posted(n, least), n)
                 take, of = order[keep], doc[keep]
@@ -148,7 +159,7 @@ def _postings(reps: DataFrame, least: float, counts: np.ndarray, hot: int, bucke
                 cell = (of * buckets + home.astype(np.int64))[order]
                 first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.empty(0, np.int64)
                 posts = np.empty(len(order), _POSTING)
-                posts["key"], posts["tier"] = key[order], tier[order]
+                posts["low"], posts["high"], posts["tier"] = key[order] & np.uint64(0xFFFFFFFF), key[order] >> np.uint64(32), tier[order]
                 raw, ends = posts.tobytes(), np.r_[first[1:], len(cell)] if len(cell) else first
                 packed += [raw[x * _POSTING.itemsize : y * _POSTING.itemsize] for x, y in zip(first.tolist(), ends.tolist())]
                 owner.append(a + cell[first] // buckets)
@@ -201,25 +212,36 @@ def _tally(postings: DataFrame, least: float, buckets: int) -> DataFrame:
         posts = np.frombuffer(b"".join(packed), _POSTING)
         text = np.repeat(text, [len(x) // _POSTING.itemsize for x in packed])
         del packed, table
-        held, size = [], 0
-
-        def flush() -> pa.RecordBatch:
-            pairs, shared = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.int64), np.empty(0, np.int64))
-            held.clear()
-            a, b = pairs // len(n), pairs % len(n)
-            return pa.RecordBatch.from_arrays([rep.dictionary.take(pa.array(a)), rep.dictionary.take(pa.array(b)), pa.array(n[a], pa.int32()), pa.array(shared, pa.int32())], ["a", "b", "n", "shared"])
-
-        for a, b in meetings(posts["key"].copy(), posts["tier"].copy(), text, n, order, least):
-            held.append(a * len(n) + b)
-            size += len(a)
-            if size > _MET:
-                yield flush()
-                size = 0
-        yield flush()
+        key, tier = posts["low"].astype(np.uint64) | posts["high"].astype(np.uint64) << np.uint64(32), posts["tier"].copy()
+        del posts
+        meet_all = lambda: (a * len(n) + b for a, b in meetings(key, tier, text, n, order, least))
+        # pairs are added up in as many turns as keep those held at once bounded
+        turns = 1 + sum(map(len, meet_all())) // (8 * _MET)
+        for turn in range(turns):
+            held, size, known, shared = [], 0, np.empty(0, np.int64), np.empty(0, np.int64)
+            for more in itertools.chain(meet_all(), [None]):
+                if more is not None:
+                    held.append(more if turns == 1 else more[mix(more.astype(np.uint64)) % np.uint64(turns) == turn])
+                    size += len(held[-1])
+                if size > _MET or more is None:
+                    pairs, counts = np.concatenate([known, *held]), np.concatenate([shared, np.ones(size, np.int64)])
+                    s = np.argsort(pairs, kind="stable")
+                    pairs = pairs[s]
+                    first = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]]) if len(pairs) else np.empty(0, np.int64)
+                    known, shared = pairs[first], np.add.reduceat(counts[s], first) if len(first) else counts
+                    held, size = [], 0
+            a, b = known // len(n), known % len(n)
+            enough = shared >= bucket_least(n[a], buckets)
+            a, b, shared = a[enough], b[enough], shared[enough]
+            for x in range(0, len(a), 100_000):
+                y = slice(x, x + 100_000)
+                yield pa.RecordBatch.from_arrays([rep.dictionary.take(pa.array(a[y])), rep.dictionary.take(pa.array(b[y])), pa.array(n[a[y]], pa.int32()), pa.array(shared[y], pa.int32())], ["a", "b", "n", "shared"])
 
     met = postings.repartitionById(buckets, "bucket").select("rep", "n", "posts").mapInArrow(meet, f"a {kind}, b {kind}, n int, shared int")
-    tally = met.groupBy("a", "b", "n").agg(F.sum("shared").alias("shared"))
-    return tally.where(F.col("shared") >= 1 + F.floor(F.col("n") / STEP)).select("a", "b")
+    tally = met.groupBy("a", "b", "n").agg(F.sum("shared").alias("shared"), F.count("*").alias("seen"))
+    # a bucket that kept silent about a pair holds less than its least
+    unseen = F.ceil((1 + F.floor(F.col("n") / STEP)) / buckets) - 1
+    return tally.where(F.col("shared") + (buckets - F.col("seen")) * unseen >= 1 + F.floor(F.col("n") / STEP)).select("a", "b")
 
 
 def _verify(pairs: DataFrame, kind: str, least: float) -> DataFrame:
@@ -230,7 +252,7 @@ def _verify(pairs: DataFrame, kind: str, least: float) -> DataFrame:
             if t not in memo:
                 if len(memo) > 2000:
                     memo.clear()
-                memo[t] = np.unique(windows(codes(t), PIECE))
+                memo[t] = sorted_distinct(windows(codes(t), PIECE))
             return memo[t]
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -263,7 +285,7 @@ def near_duplicates(df: DataFrame, id_col: str = "art_id", text_col: str = "art_
     classes = one.groupBy("print").agg(F.min("id").alias("rep"))
     member = one.join(classes, "print").select("id", "rep")
     # map-side, copies of a text leave a task once
-    reps = cut(rows.groupBy("print").agg(F.min("t").alias("t")).join(classes.hint("merge"), "print").select("rep", "t"))
+    reps = cut_table(rows.groupBy("print").agg(F.min("t").alias("t")).join(classes.hint("merge"), "print").select("rep", "t"))
     counts = _census(reps)
     buckets = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(counts.sum() * (1 - least)) // BUCKET))
     tally = cut(_tally(_postings(reps, least, counts, hot, buckets), least, buckets))
