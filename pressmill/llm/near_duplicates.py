@@ -214,9 +214,17 @@ def _tally(postings: DataFrame, least: float, buckets: int) -> DataFrame:
         del packed, table
         key, tier = posts["low"].astype(np.uint64) | posts["high"].astype(np.uint64) << np.uint64(32), posts["tier"].copy()
         del posts
+        # most bytes stand in one text only and meet nothing
+        by_key = np.argsort(key)
+        starts = np.flatnonzero(np.r_[True, key[by_key][1:] != key[by_key][:-1]]) if len(key) else np.empty(0, np.int64)
+        runs = np.diff(np.r_[starts, len(key)])
+        several = np.sort(by_key[np.repeat(runs > 1, runs)])
+        key, tier, text = key[several], tier[several], text[several]
+        most = int((runs * (runs - 1) // 2).sum())
+        del by_key, starts, runs, several
         meet_all = lambda: (a * len(n) + b for a, b in meetings(key, tier, text, n, order, least))
         # pairs are added up in as many turns as keep those held at once bounded
-        turns = 1 + sum(map(len, meet_all())) // (8 * _MET)
+        turns = 1 if most <= 8 * _MET else 1 + sum(map(len, meet_all())) // (8 * _MET)
         for turn in range(turns):
             held, size, known, shared = [], 0, np.empty(0, np.int64), np.empty(0, np.int64)
             for more in itertools.chain(meet_all(), [None]):
