@@ -1,14 +1,18 @@
 """Names as people type them, attributed to the listed name they mean.
 
-Noisy channel: a listed company is chosen by its prior, from how often it is
-named, times the likelihood that its name was typed so. The likelihood aligns
-the words of both names: equal, abbreviated, a nickname, mistyped, left out, put
-in another order. A typed word that stands for nothing in the listed name, such as another
-trade, makes it another firm.
-
-Candidates share a word up to two missing letters each (deletion keys, an equi-join);
-words that many listed names have are no keys. Copies of a typed name are
-attributed once.
+Noisy channel. Canonical forms are the listed names and the spellings that reviewed
+rows, whose company is known, often have; a form's prior is how often it was typed. The
+likelihood that a name was typed for a form aligns the words of both: equal, mistyped,
+abbreviated, left out, run together, put in another order. Short names and other
+stand-ins for a word, which words are left out and how often words are mistyped is
+learned from the reviewed rows. A typed word that stands for nothing in the form, such
+as another trade, makes it another firm. A name goes to the company of highest posterior.
+
+Candidates are found by words, not names: each distinct typed word meets the listed words
+within two missing letters (deletion keys, an equi-join of vocabularies), those it
+abbreviates by their beginning, and those it stood for in reviewed rows. A form is reached by
+its rare words, rare by their share of all companies, and always by its rarest, so that
+every form can be reached. Copies of a typed name are attributed once.
 """
 
 from __future__ import annotations
@@ -25,24 +29,17 @@ from pyspark.sql import functions as F
 
 from pressmill.llm.canonical import canonical
 from pressmill.plans.arrow import map_batches
+from pressmill.plans.lineage import cut
 
 #: Legal forms, written without dots and blanks (fixed values).
 LEGAL = frozenset("ag gmbh se plc kgaa asa inc ltd corp sa nv spa kg co limited incorporated corporation aktiengesellschaft gesmbh mbh ges gesellschaft llc bv sas srl ohg cokg".split())
 SAME_FORM = {"limited": "ltd", "incorporated": "inc", "corporation": "corp", "aktiengesellschaft": "ag", "gesmbh": "gmbh", "mbh": "gmbh", "ges": "gmbh", "gesellschaft": "gmbh"}
-#: Short forms of first names (fixed values).
-NICKNAMES = {
-    "theodore": "ted teddy theo", "william": "bill will willy billy", "maximilian": "max maxi", "katharina": "kathi kathy kati käthe kate", "elisabeth": "lisa liz eli lisbeth sissi betty else liesel",
-    "robert": "rob bob bobby bert", "wilhelm": "willi willy wil helm", "heinrich": "heinz heini heiner harry", "johannes": "hans johann jo hannes", "friedrich": "fritz fred friedl fredi",
-    "ferdinand": "ferdi nando ferdl", "margaret": "maggie peggy meg marge greta",
-}
-#: Abbreviations that are no beginnings of their word.
-SHORT = {"mfg": "manufacturing", "hldgs": "holdings", "hldg": "holdings", "intl": "international", "techn": "technologies", "bros": "gebr", "gebruder": "gebr"}
-#: A word in at least so many listed names is no key and may be left out.
-GENERIC = 12
+#: A word of at most this share of the companies reaches those that have it; others may be left out when typed.
+RARE = 0.005
+#: A reviewed spelling is a form of its own, and a rare word may be left out, from so many reviewed rows.
+OFTEN = 2
 ACCEPT, REJECT = -9.0, -1e9
-_LINKS = frozenset(("&", "the", "gebr"))
-_FAMILY = frozenset("cie sohne tochter".split())
-_REGION = frozenset("handel".split())
+_LINKS = frozenset(("&", "the"))
 
 
 @lru_cache(maxsize=100_000)
@@ -56,7 +53,7 @@ def fold(word: str) -> str:
 def parse(name: str) -> tuple[tuple[str, bool], ...]:
     """(word, abbreviated) of a name, legal forms and initials joined."""
     s = re.sub(r"(?<=[^\W\d_A-Z]{3})(?=[A-ZÄÖÜÉ])", " ", canonical(name)[0])  # a blank left out
-    s = re.sub(r"\.-?(?=[A-ZÄÖÜÉ][^\W\d_]{3})", ". ", re.sub(r"(?i)\bmed\.[-\s]?technik", "Medizintechnik", s))
+    s = re.sub(r"\.-?(?=[A-ZÄÖÜÉ][^\W\d_]{3})", ". ", s)
     s = s.lower()
     s = re.sub(r"\bs\.?\s?p\.?\s?a\b\.?", " spa ", s)
     s = re.sub(r"\bges(?:\.\s*)?m\.?\s?b\.?\s?h\b\.?|\bgesellschaft m\.?b\.?h\b\.?", " gmbh ", s)
@@ -100,14 +97,10 @@ def _subsequence(a: str, b: str) -> bool:
 
 
 @lru_cache(maxsize=200_000)
-def word_likelihood(a: str, short: str, b: str) -> float:
-    """Log likelihood that ``b`` was typed as ``a``."""
+def word_likelihood(a: str, short: str, b: str, edit: float = -2.2) -> float:
+    """Log likelihood that ``b`` was typed as ``a``; ``edit`` that of a letter mistyped."""
     if a == b:
         return 0.0
-    if short != "!" and SHORT.get(a) == b:
-        return -1.0
-    if a in NICKNAMES.get(b, "").split():
-        return -1.0
     if short == "." and b.startswith(a):
         return -1.0
     if short == "." and len(a) >= 4 and a[0] == b[0] and _subsequence(a, b):
@@ -116,18 +109,22 @@ def word_likelihood(a: str, short: str, b: str) -> float:
         return -2.5
     if short == "!" or len(b) < 4 or len(a) < 3:
         return REJECT
-    d = distance(a, b, 3)
-    most = 1 if len(b) < 7 else 2 if len(b) < 14 else 3
-    return -2.2 * d if d <= most else REJECT
+    d = distance(a, b, 2)
+    return edit * d if d <= (1 if len(b) < 7 else 2) else REJECT
 
 
-def likelihood(typed: tuple, listed: tuple, generic: frozenset) -> float:
-    """Log likelihood of the typed words given the listed ones."""
+def likelihood(typed: tuple, listed: tuple, stands: dict[tuple[str, str], float], left_out: dict[str, float], edit: float = -2.2) -> float:
+    """Log likelihood of the typed words given the listed ones.
+
+    ``stands``: of words that stood for others in reviewed rows; ``left_out``: of the words that may be.
+    """
     words = [w for w, _ in listed]
     form_b = {SAME_FORM.get(w, w) for w in words if is_legal(w)}
     form_a = {SAME_FORM.get(w, w) for w, _ in typed if is_legal(w)}
-    a = [(w, s) for w, s in typed if not is_legal(w) and w not in _LINKS and w not in _FAMILY]
-    b = [w for w in words if not is_legal(w) and w not in _LINKS and w not in _FAMILY]
+    a = [(w, s) for w, s in typed if not is_legal(w) and w not in _LINKS]
+    b = [w for w in words if not is_legal(w) and w not in _LINKS]
+    if not a and not b:  # nothing but a legal form
+        return 0.0 if form_a == form_b else REJECT
     total = 0.0
     if form_a and form_b:
         total += 0.0 if form_a <= form_b else -0.7 if form_a & form_b else -3.5
@@ -135,10 +132,8 @@ def likelihood(typed: tuple, listed: tuple, generic: frozenset) -> float:
         total -= 3.0
     elif form_b:
         total -= 0.3
-    family_a = {w for w, _ in typed if w in _FAMILY}
-    if family_a - set(words):
-        total -= 4.0
-    pairs = sorted(((word_likelihood(w, s, x), i, j) for i, (w, s) in enumerate(a) for j, x in enumerate(b)), key=lambda p: (-p[0], abs(p[1] - p[2]), p[1], p[2]))
+    score_of = lambda w, s, x: max(word_likelihood(w, s, x, edit), stands.get((w, x), REJECT))
+    pairs = sorted(((score_of(w, s, x), i, j) for i, (w, s) in enumerate(a) for j, x in enumerate(b)), key=lambda p: (-p[0], abs(p[1] - p[2]), p[1], p[2]))
     to: dict[int, int] = {}
     used: set[int] = set()
     for score, i, j in pairs:
@@ -149,7 +144,10 @@ def likelihood(typed: tuple, listed: tuple, generic: frozenset) -> float:
     for i, (w, s) in enumerate(a):
         if i in to:
             continue
-        # two words typed as one, or one as two
+        if i and i - 1 in to and a[i - 1][1] == "." and b[to[i - 1]].startswith(a[i - 1][0]) and len(w) >= 4 and b[to[i - 1]].endswith(w):
+            to[i] = to[i - 1]  # beginning and end of one word
+            continue
+        # two words typed as one
         for j in range(len(b) - 1):
             if j not in used and j + 1 not in used and distance(w, b[j] + b[j + 1], 2) <= 1:
                 used |= {j, j + 1}
@@ -157,28 +155,28 @@ def likelihood(typed: tuple, listed: tuple, generic: frozenset) -> float:
                 total -= 2.0
                 break
         else:
-            return REJECT
-    missing = [x for j, x in enumerate(b) if j not in used]
-    for x in missing:
-        if x not in generic and len(x) > 2:
-            return REJECT
-        total -= 0.8 if x in _REGION or len(x) <= 2 else 1.2
+            # one word typed as two, or as two abbreviated ones
+            more = a[i + 1] if i + 1 < len(a) and i + 1 not in to else None
+            for j, x in enumerate(b):
+                if more and j not in used and (distance(w + more[0], x, 2) <= 1 or (s == "." and len(more[0]) >= 4 and x.startswith(w) and x.endswith(more[0]))):
+                    used.add(j)
+                    to[i] = to[i + 1] = j
+                    total -= 2.0
+                    break
+            else:
+                return REJECT
+    gone = [x for j, x in enumerate(b) if j not in used]
+    if any(x not in left_out and len(x) > 2 for x in gone):
+        return REJECT
+    if gone:  # words are left out together, the least likely one decides
+        rates = [left_out.get(x, -0.8) for x in gone]
+        total += min(rates) + 0.2 * (sum(rates) - min(rates))
     order = [to[i] for i in sorted(to)]
     if order != sorted(order):
         total -= 1.0
     return total
 
 
-def generic_words(companies: DataFrame, name_col: str, least: int = GENERIC) -> frozenset:
-    """Words that many listed names share; a name has few, so the list is bounded by the names' words over ``least``."""
-    counts: dict[str, int] = {}
-    for row in companies.select(name_col).distinct().toLocalIterator():
-        if row[0]:
-            for w in {w for w, _ in parse(row[0])}:
-                counts[w] = counts.get(w, 0) + 1
-    return frozenset(w for w, n in counts.items() if n >= least)
-
-
 def _deletions(word: str, most: int) -> set[str]:
     out = level = {word}
     for _ in range(most):
@@ -187,57 +185,137 @@ def _deletions(word: str, most: int) -> set[str]:
     return out
 
 
-def keys_of(name: str, generic: frozenset) -> list[str]:
-    words = [w for w, _ in parse(name)]
-    own = {w for w in words if w not in generic and not is_legal(w) and w not in _LINKS and len(w) > 3}
-    own |= {a + b for a, b in zip(words, words[1:]) if a in own or b in own}
-    keys: set[str] = set()
-    for w in own:
-        keys |= _deletions(w, 1 if len(w) < 7 else 2)
-    return sorted(keys)
+def own_words(name: str) -> list[tuple[str, str]]:
+    """Words of a name but its legal form and links, and neighbours run together; all words where there are no others."""
+    words = parse(name)
+    own = [(w, s) for w, s in words if not is_legal(w) and w not in _LINKS] or list(words)
+    return list(dict.fromkeys([*own, *((a + b, "") for (a, _), (b, _) in zip(own, own[1:]))]))
+
+
+def word_keys(word: str, short: str = "") -> set[str]:
+    """Keys under which words meet that are alike: with letters left out, and by their beginning for abbreviations."""
+    keys = _deletions(word, 0 if len(word) < 4 else 1 if len(word) < 7 else 2)
+    return keys | {f"{word[:n]}." for n in ((1, 3) if not short else (3 if len(word) > 2 else 1,)) if len(word) >= n}
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
+
+
+def _words(df: DataFrame, name_col: str) -> DataFrame:
+    """(name, word, short): the own words of each name."""
+    kind = "name string, words array<struct<word:string,short:string>>"
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            out = [[{"word": w, "short": s} for w, s in own_words(n)] for n in batch.column(0).to_pylist()]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.struct([("word", pa.string()), ("short", pa.string())])))], ["name", "words"])
+
+        return step
+
+    return map_batches(df.select(F.col(name_col).alias("name")).distinct(), make, kind).select("name", F.explode("words").alias("w")).select("name", "w.word", "w.short")
+
+
+def _keyed(vocabulary: DataFrame) -> DataFrame:
+    """(word, short, key) of distinct words."""
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            keys = [sorted(map(_hash, word_keys(w, s))) for w, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.list_(pa.int64()))], ["word", "short", "keys"])
+
+        return step
+
+    return map_batches(vocabulary, make, "word string, short string, keys array<bigint>").select("word", "short", F.explode("keys").alias("key"))
 
 
-def _keyed(df: DataFrame, generic: frozenset, extra: str) -> DataFrame:
-    """A row for each key of the names; keys as 64-bit hashes, a chance match is scored like any candidate."""
+def learn(reviewed: DataFrame) -> DataFrame:
+    """(kind, typed, listed, n) from rows (typed, listed): words that stood for another one, were left out, were mistyped, and listed words in all."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([*batch.columns, pa.array([[xxhash.xxh3_64_intdigest(k.encode()) - (1 << 63) for k in keys_of(n, generic)] for n in batch.column(0).to_pylist()], pa.list_(pa.int64()))], [*batch.schema.names, "keys"])
+            rows: list[tuple[str, str | None, str]] = []
+            for t, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                plain = lambda name: [(w, s) for w, s in parse(name) if not is_legal(w) and w not in _LINKS]
+                a, b = plain(t), [w for w, _ in plain(x)]
+                rest_a, rest_b = [p for p in a if p[0] not in b], [w for w in b if w not in {w for w, _ in a}]
+                rows += [("word", None, w) for w in b]
+                if len(rest_a) == 1 and len(rest_b) == 1:
+                    (w, s), y = rest_a[0], rest_b[0]
+                    rows.append(("typo" if distance(w, y, 2) <= 2 and not s else "stands", w, y))
+                elif not rest_a:
+                    rows += [("left out", None, w) for w in rest_b]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], ["kind", "typed", "listed"])
 
         return step
 
-    keyed = map_batches(df, make, f"name string, {extra}, keys array<bigint>")
-    return keyed.select("*", F.explode("keys").alias("key")).drop("keys")
+    return map_batches(reviewed.select("typed", "listed"), make, "kind string, typed string, listed string").groupBy("kind", "typed", "listed").agg(F.count("*").alias("n"))
 
 
-def link_names(typed: DataFrame, companies: DataFrame, typed_col: str = "comp_name", symbol_col: str = "symbol", name_col: str = "name", prior: DataFrame | None = None) -> DataFrame:
+def link_names(typed: DataFrame, companies: DataFrame, typed_col: str = "comp_name", symbol_col: str = "symbol", name_col: str = "name", reviewed: DataFrame | None = None) -> DataFrame:
     """(name, symbol, posterior): each distinct typed name that means a listed company, with the likeliest one.
 
-    ``prior`` (symbol, n) tells how often each company is named; without it all
-    are alike. Names that are null, blank or without an own word give no row.
-    Ties go to the least symbol.
+    ``reviewed`` (symbol, name): names as typed of companies that are known. Names that are
+    null, blank or of one character give no row. Ties go to the least symbol.
     """
-    generic = generic_words(companies, name_col)
-    names = typed.where(F.length(F.trim(typed_col)) > 1).select(F.col(typed_col).alias("name")).distinct().repartition(int(typed.sparkSession.conf.get("spark.sql.shuffle.partitions"))).withColumn("n", F.lit(0))
-    listed = companies.where(F.col(symbol_col).isNotNull() & F.col(name_col).isNotNull()).select(F.col(name_col).alias("name"), F.col(symbol_col).alias("symbol"))
-    if prior is None:
-        prior = listed.select("symbol", F.lit(0).cast("bigint").alias("n"))
-    left = _keyed(names, generic, "n int").select(F.col("name").alias("typed"), "key")
-    right = _keyed(listed.dropDuplicates(["symbol"]), generic, "symbol string").select("symbol", "key")
-    # the planner can't know how many keys a name has: merged, never broadcast
-    pairs = left.join(right.hint("merge"), "key").select("typed", "symbol").distinct().join(listed.dropDuplicates(["symbol"]).withColumnRenamed("name", "listed"), "symbol")
-    pairs = pairs.join(prior.select("symbol", "n"), "symbol", "left").select("typed", "symbol", "listed", F.coalesce("n", F.lit(0)).cast("double").alias("n"))
+    spark = typed.sparkSession
+    cores = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    listed = companies.where(F.col(symbol_col).isNotNull() & F.col(name_col).isNotNull()).groupBy(F.col(symbol_col).alias("symbol")).agg(F.min(name_col).alias("form"))
+    if reviewed is None:
+        reviewed = spark.createDataFrame([], "symbol string, name string")
+    seen = reviewed.where(F.col("symbol").isNotNull() & (F.length(F.trim("name")) > 1)).groupBy("symbol", "name").agg(F.count("*").alias("n")).join(listed, "symbol")
+    learned = cut(learn(seen.select(F.explode(F.array_repeat(F.struct(F.col("name").alias("typed"), F.col("form").alias("listed")), F.col("n").cast("int"))).alias("r")).select("r.*")))
+    totals = {r["kind"]: r["n"] for r in learned.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    words_seen = totals.get("word", 0)
+    edit = min(-1.5, max(-3.0, math.log((totals.get("typo", 0) + 1) / (words_seen + 10)))) if words_seen else -2.2
+    mean_out = (totals.get("left out", 0) + 3) / (words_seen + 10)
+    known = learned.where("kind = 'word'").select(F.col("listed").alias("b"), F.col("n").alias("all"))
+    stands = learned.where("kind = 'stands'").select(F.col("typed").alias("a"), F.col("listed").alias("b"), "n").join(known, "b").select("a", "b", F.log(F.col("n") / (F.col("all") + 1)).alias("score"))
+    gone = learned.where("kind = 'left out'").select(F.col("listed").alias("b"), F.col("n").alias("out"))
+    rates = known.join(gone, "b", "left").select(F.col("b").alias("word"), F.coalesce("out", F.lit(0)).alias("outs"), F.log((F.coalesce("out", F.lit(0)) + 4 * mean_out) / (F.col("all") + 4)).alias("rate"))
+
+    # canonical forms, their words, and which of these reach them or may be left out
+    often = seen.where(F.col("n") >= OFTEN).select("symbol", F.col("name").alias("form"), "n")
+    forms = listed.join(seen.select("symbol", F.col("name").alias("form"), "n"), ["symbol", "form"], "left").select("symbol", "form", F.coalesce("n", F.lit(0)).alias("n"))
+    forms = cut(forms.unionByName(often.join(listed, ["symbol", "form"], "left_anti")).repartition(cores, "form"))
+    firms = max(1, listed.count())
+    form_words = cut(_words(forms, "form").withColumnRenamed("name", "form"))
+    share = form_words.select("form", "word").distinct().join(forms.select("form", "symbol"), "form").groupBy("word").agg((F.countDistinct("symbol") / firms).alias("share"))
+    ranked = form_words.select("form", "word").distinct().join(share, "word").withColumn("least", F.min("share").over(Window.partitionBy("form")))
+    reach = cut(ranked.where((F.col("share") <= RARE) | (F.col("share") == F.col("least"))).select("form", F.col("word").alias("b")))
+    common = ranked.join(rates, "word", "left").where((F.col("share") > RARE) | (F.col("outs") >= OFTEN)).groupBy("form").agg(F.collect_set(F.struct("word", F.coalesce("rate", F.lit(math.log(mean_out))).alias("rate"))).alias("out"))
+
+    # vocabularies meet, then names by their words
+    names = typed.where(F.length(F.trim(typed_col)) > 1).select(F.col(typed_col).alias("name")).distinct().repartition(cores)
+    name_words = cut(_words(names, "name"))
+    left = _keyed(name_words.select("word", "short").distinct().repartition(cores))
+    right = _keyed(reach.select(F.col("b").alias("word"), F.lit("").alias("short")).distinct().repartition(cores)).select(F.col("word").alias("b"), "key")
+    met = left.join(right.hint("merge"), "key").select("word", "short", "b").distinct()
+
+    def alike():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            keep = [word_likelihood(a, s, b, edit) > REJECT or (s == "!" and a[:1] == b[:1]) or (len(a) == 1 and s == "." and b.startswith(a)) for a, s, b in zip(*(c.to_pylist() for c in batch.columns))]
+            return batch.filter(pa.array(keep, pa.bool_()))
+
+        return step
+
+    edges = map_batches(met, alike, "word string, short string, b string")
+    edges = edges.unionByName(name_words.select("word", "short").distinct().join(stands.withColumnRenamed("a", "word"), "word").select("word", "short", "b")).distinct()
+    pairs = name_words.join(edges.hint("merge"), ["word", "short"]).select("name", "b").distinct().join(reach.hint("merge"), "b").select("name", "form").distinct()
+    own = name_words.select("name", "word").distinct().join(stands.withColumnRenamed("a", "word"), "word").groupBy("name").agg(F.collect_set(F.struct(F.col("word").alias("a"), "b", "score")).alias("stands"))
+    pairs = pairs.join(own, "name", "left").join(common, "form", "left").join(forms.select("form", "symbol", "n"), "form").select("name", "form", "symbol", F.col("n").cast("double").alias("n"), "stands", "out")
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            scores = [likelihood(parse(t), parse(x), generic) for t, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
-            logs = [s + 0.5 * math.log(1 + n) if s > REJECT else None for s, n in zip(scores, batch.column(3).to_pylist())]
-            keep = pa.array([s >= ACCEPT for s in scores])
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(logs, pa.float64())], ["typed", "symbol", "score"]).filter(keep)
+            logs = []
+            for name, form, _, n, st, out in zip(*(c.to_pylist() for c in batch.columns)):
+                x = likelihood(parse(name), parse(form), {(r["a"], r["b"]): r["score"] for r in st or ()}, {r["word"]: r["rate"] for r in out or ()}, edit)
+                logs.append(x + 0.5 * math.log(1 + n) if x >= ACCEPT else None)
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(logs, pa.float64())], ["name", "symbol", "score"]).filter(pa.array([x is not None for x in logs]))
 
         return step
 
-    scored = map_batches(pairs, make, "typed string, symbol string, score double")
-    top = scored.withColumn("top", F.max("score").over(Window.partitionBy("typed")))
-    total = top.groupBy("typed", "top").agg(F.sum(F.exp(F.col("score") - F.col("top"))).alias("mass"), F.min(F.when(F.col("score") == F.col("top"), F.col("symbol"))).alias("symbol"))
-    return total.select(F.col("typed").alias("name"), "symbol", (1 / F.col("mass")).alias("posterior"))
+    scored = map_batches(pairs, make, "name string, symbol string, score double").groupBy("name", "symbol").agg(F.max("score").alias("score"))
+    top = scored.withColumn("top", F.max("score").over(Window.partitionBy("name")))
+    total = top.groupBy("name", "top").agg(F.sum(F.exp(F.col("score") - F.col("top"))).alias("mass"), F.min(F.when(F.col("score") == F.col("top"), F.col("symbol"))).alias("symbol"))
+    return total.select("name", "symbol", (1 / F.col("mass")).alias("posterior"))

@@ -46,9 +46,9 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     nodes = table(spark, d, "company_nodes")
-    prior = nodes.where("comp_symbol IS NOT NULL").groupBy(F.col("comp_symbol").alias("symbol")).agg(F.count("*").alias("n"))
+    reviewed = nodes.where("comp_symbol IS NOT NULL").select(F.col("comp_symbol").alias("symbol"), F.col("comp_name").alias("name"))
     unnamed = nodes.where("comp_symbol IS NULL").select("node_id", "comp_name")
-    linked = names.link_names(unnamed, table(spark, d, "companies"), prior=prior).where("posterior >= 0.5")
+    linked = names.link_names(unnamed, table(spark, d, "companies"), reviewed=reviewed).where("posterior >= 0.5")
     return unnamed.join(linked, unnamed["comp_name"] == linked["name"]).select("node_id", "symbol").distinct()
 
 

@@ -147,18 +147,36 @@ TYPED = {
 }
 
 
+TRADES = ("Maschinenbau", "Chemie", "Electricite und Handel Europe")
+FILLERS = [(f"X{i}", f"{''.join(chr(97 + (i * k + k) % 23) for k in (3, 5, 7, 11, 13, 17, 19))} {TRADES[i % 3]}") for i in range(300)]
+REVIEWED = [("A.DE", "Heinz Valberin & Töchter GmbH"), ("A.DE", "Heinz Valberin & Töchter"), ("A.DE", "Heinrich Valberin")] * 2 + [(s, n) for s, n in FILLERS] + [(s, n.split()[0]) for s, n in FILLERS[::4]]
+
+
 def test_names(spark):
     nodes = spark.createDataFrame([(t, 1) for t in TYPED] + [(None, 1), ("Saltanrup SA", 1)], "comp_name string, symbol int")
-    old = names.GENERIC
-    companies = spark.createDataFrame(COMPANIES, "symbol string, name string")
-    generic = frozenset(map(names.fold, "maschinenbau chemie electricite und handel europe heinrich".split()))
-    try:
-        names.generic_words, saved = (lambda *a, **k: generic), names.generic_words
-        got = {r["name"]: r["symbol"] for r in names.link_names(nodes, companies).collect()}
-    finally:
-        names.generic_words, names.GENERIC = saved, old
+    companies = spark.createDataFrame(COMPANIES + FILLERS, "symbol string, name string")
+    reviewed = spark.createDataFrame(REVIEWED + [("A.DE", None), (None, "x")], "symbol string, name string")
+    got = {r["name"]: r["symbol"] for r in names.link_names(nodes, companies, reviewed=reviewed).collect()}
     assert got == {t: s for t, s in TYPED.items() if s}
 
 
+def test_every_listed_name_can_be_reached(spark):
+    """Short names, names of frequent words only, and a list in which every name stands twelve times."""
+    short = [("B", "BMW AG"), ("S", "SAP SE"), ("E", "E.ON SE"), ("M", "3M Co"), ("I", "IBM"), ("T", "Chemie Maschinenbau"), ("L", "AG")]
+    rows = [(f"{s}{k}" if k else s, n) for k in range(12) for s, n in short]
+    for listed in (short + FILLERS, rows):
+        got = {r["name"]: r["symbol"] for r in names.link_names(spark.createDataFrame([(n, s) for s, n in short], "comp_name string, symbol string"), spark.createDataFrame(listed, "symbol string, name string")).collect()}
+        assert got == {n: s for s, n in short}
+
+
+def test_what_reviewed_rows_teach(spark):
+    learned = {(r["kind"], r["typed"], r["listed"]): r["n"] for r in names.learn(spark.createDataFrame([("Ted Brown AG", "Theodore Brown AG")] * 3 + [("Brown", "Brown Chemie AG"), ("Brwon Chemie", "Brown Chemie AG")], "typed string, listed string")).collect()}
+    assert learned["stands", "ted", "theodore"] == 3 and learned["left out", None, "chemie"] == 1 and learned["typo", "brwon", "brown"] == 1 and learned["word", None, "brown"] == 5
+
+
+def test_no_names(spark):
+    assert names.link_names(spark.createDataFrame([], "comp_name string"), spark.createDataFrame([], "symbol string, name string")).count() == 0
+
+
 def test_distance():
     assert names.distance("abcd", "abdc") == 1 and names.distance("abc", "abc") == 0 and names.distance("abc", "xyz", 2) == 3
