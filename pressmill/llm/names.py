@@ -192,10 +192,10 @@ def own_words(name: str) -> list[tuple[str, str]]:
     return list(dict.fromkeys([*own, *((a + b, "") for (a, _), (b, _) in zip(own, own[1:]))]))
 
 
-def word_keys(word: str, short: str = "") -> set[str]:
-    """Keys under which words meet that are alike: with letters left out, and by their beginning for abbreviations."""
+def word_keys(word: str, short: str = "", listed: bool = False) -> set[str]:
+    """Keys under which words meet that are alike: with letters left out, and by their beginning a listed word and one that abbreviates it."""
     keys = _deletions(word, 0 if len(word) < 4 else 1 if len(word) < 7 else 2)
-    return keys | {f"{word[:n]}." for n in ((1, 3) if not short else (3 if len(word) > 2 else 1,)) if len(word) >= n}
+    return keys | {f"{word[:3]}."} if len(word) > 2 and (listed or short == ".") else keys
 
 
 def _hash(text: str) -> int:
@@ -216,12 +216,12 @@ def _words(df: DataFrame, name_col: str) -> DataFrame:
     return map_batches(df.select(F.col(name_col).alias("name")).distinct(), make, kind).select("name", F.explode("words").alias("w")).select("name", "w.word", "w.short")
 
 
-def _keyed(vocabulary: DataFrame) -> DataFrame:
+def _keyed(vocabulary: DataFrame, listed: bool = False) -> DataFrame:
     """(word, short, key) of distinct words."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keys = [sorted(map(_hash, word_keys(w, s))) for w, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            keys = [sorted(map(_hash, word_keys(w, s, listed))) for w, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             return pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.list_(pa.int64()))], ["word", "short", "keys"])
 
         return step
@@ -289,12 +289,12 @@ def link_names(typed: DataFrame, companies: DataFrame, typed_col: str = "comp_na
     names = typed.where(F.length(F.trim(typed_col)) > 1).select(F.col(typed_col).alias("name")).distinct().repartition(cores)
     name_words = cut(_words(names, "name"))
     left = _keyed(name_words.select("word", "short").distinct().repartition(cores))
-    right = _keyed(reach.select(F.col("b").alias("word"), F.lit("").alias("short")).distinct().repartition(cores)).select(F.col("word").alias("b"), "key")
+    right = _keyed(reach.select(F.col("b").alias("word"), F.lit("").alias("short")).distinct().repartition(cores), listed=True).select(F.col("word").alias("b"), "key")
     met = left.join(right.hint("merge"), "key").select("word", "short", "b").distinct()
 
     def alike():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keep = [word_likelihood(a, s, b, edit) > REJECT or (s == "!" and a[:1] == b[:1]) or (len(a) == 1 and s == "." and b.startswith(a)) for a, s, b in zip(*(c.to_pylist() for c in batch.columns))]
+            keep = [word_likelihood(a, s, b, edit) > REJECT for a, s, b in zip(*(c.to_pylist() for c in batch.columns))]
             return batch.filter(pa.array(keep, pa.bool_()))
 
         return step
