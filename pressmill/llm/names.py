@@ -186,10 +186,10 @@ def _deletions(word: str, most: int) -> set[str]:
 
 
 def own_words(name: str) -> list[tuple[str, str]]:
-    """Words of a name but its legal form and links, and neighbours run together; all words where there are no others."""
+    """Words of a name but its legal form and links, and neighbours run together (marked +); all words where there are no others."""
     words = parse(name)
     own = [(w, s) for w, s in words if not is_legal(w) and w not in _LINKS] or list(words)
-    return list(dict.fromkeys([*own, *((a + b, "") for (a, _), (b, _) in zip(own, own[1:]))]))
+    return list(dict.fromkeys([*own, *((a + b, "+") for (a, _), (b, _) in zip(own, own[1:]))]))
 
 
 def word_keys(word: str, short: str = "", listed: bool = False) -> set[str]:
@@ -281,9 +281,9 @@ def link_names(typed: DataFrame, companies: DataFrame, typed_col: str = "comp_na
     firms = max(1, listed.count())
     form_words = cut(_words(forms, "form").withColumnRenamed("name", "form"))
     share = form_words.select("form", "word").distinct().join(forms.select("form", "symbol"), "form").groupBy("word").agg((F.countDistinct("symbol") / firms).alias("share"))
-    ranked = form_words.select("form", "word").distinct().join(share, "word").withColumn("least", F.min("share").over(Window.partitionBy("form")))
+    ranked = form_words.groupBy("form", "word").agg(F.min(F.col("short") == "+").alias("joined")).join(share, "word").withColumn("least", F.min(F.when(~F.col("joined"), F.col("share"))).over(Window.partitionBy("form")))
     reach = cut(ranked.where((F.col("share") <= RARE) | (F.col("share") == F.col("least"))).select("form", F.col("word").alias("b")))
-    common = ranked.join(rates, "word", "left").where((F.col("share") > RARE) | (F.col("outs") >= OFTEN)).groupBy("form").agg(F.collect_set(F.struct("word", F.coalesce("rate", F.lit(math.log(mean_out))).alias("rate"))).alias("out"))
+    common = ranked.where("NOT joined").join(rates, "word", "left").where((F.col("share") > RARE) | (F.col("outs") >= OFTEN)).groupBy("form").agg(F.collect_set(F.struct("word", F.coalesce("rate", F.lit(math.log(mean_out))).alias("rate"))).alias("out"))
 
     # vocabularies meet, then names by their words
     names = typed.where(F.length(F.trim(typed_col)) > 1).select(F.col(typed_col).alias("name")).distinct().repartition(cores)
