@@ -68,7 +68,6 @@ class PerfectHash:
             for i, s in zip(members, slots):
                 taken[s], slot_of[i] = 1, s
         self.disp = disp.tolist()
-        self.rank = dict(zip(keys, values)).get  # for the pairs of the second tier
         self.keys: list[bytes] = [b""] * n
         self.values = [-1] * n
         for i, s in enumerate(slot_of):
@@ -81,6 +80,11 @@ class PerfectHash:
         s = -d - 1 if d < 0 else _mix(h, d) % self.n
         return self.values[s] if self.keys[s] == key else -1
 
+    def rank(self, key: bytes) -> int | None:
+        """The key's value for the pairs of the second tier, or None."""
+        v = self.get(key)
+        return v if v >= 0 else None
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:

@@ -2,7 +2,8 @@
 
 Quick check first: a text in which no character has an unstable property goes
 through untouched. Otherwise only the unstable segments, widened to the starter
-before and the marks behind them, are normalised and spliced into the rest.
+before and the marks behind them, are normalised and spliced into the rest, so that
+canonically equivalent texts come out equal.
 Afterwards words that mix Latin, Greek and Cyrillic are brought to the script of
 most of their letters.
 """
@@ -22,8 +23,8 @@ from pressmill.plans.arrow import map_batches
 COMPAT, APART, INVISIBLE, SPACE, MIXED = 1, 2, 4, 8, 16
 
 #: Look-alike letters (fixed values): Cyrillic and Greek beside the Latin letter of the same shape.
-CYRILLIC = "АВЕЅІЈКМНОРСТХУԚԜаеѕіјорсухһԁԛԝѵ"
-CYRILLIC_AS_LATIN = "ABESIJKMHOPCTXYQWaesijopcyxhdqwv"
+CYRILLIC = "АВЕЅІЈКМНОРСТХУԚԜӀаеѕіјорсухһԁԛԝѵӏкгпь"
+CYRILLIC_AS_LATIN = "ABESIJKMHOPCTXYQWIaesijopcyxhdqwvlkrnb"
 GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαικνορτυχϳ"
 GREEK_AS_LATIN = "ABEZHIKMNOPTYXaikvoptuxj"
 
@@ -112,12 +113,23 @@ def _segment(text: str, r: _Rules) -> tuple[str, int]:
         else:
             out.append(ch)
     joined = "".join(out)
-    if r.second.search(text) and len(nfc := ud.normalize("NFC", joined)) < len(joined):
+    nfc = ud.normalize("NFC", joined)
+    if len(nfc) < len(joined) and r.second.search(text):
         why |= APART
-        joined = nfc
-    elif not r.second.search(text) and r.compat.search(text):
-        joined = ud.normalize("NFC", joined)
-    return joined, why
+    return nfc, why
+
+
+def _one_script(word: str, r: _Rules) -> str | None:
+    """A word that mixes scripts in the script of most letters, or of the next most if only that has a look-alike of each; None for one that doesn't mix."""
+    old, mixed = None, False
+    while old != word:
+        n = [len(p.findall(word)) for p in (r.latin, r.greek, r.cyrillic)]
+        if (n[0] > 0) + (n[1] > 0) + (n[2] > 0) < 2:
+            break
+        old, mixed = word, True
+        forms = [(word.translate(to), own) for to, own, k in sorted(zip((r.to_latin, r.to_greek, r.to_cyrillic), (r.latin, r.greek, r.cyrillic), n), key=lambda x: -x[2]) if k]
+        word = ud.normalize("NFC", next((f for f, own in forms if all(own.match(c) for c in f if c.isalpha())), forms[0][0]))
+    return word if mixed else None
 
 
 def canonical(text: str) -> tuple[str, int]:
@@ -129,15 +141,15 @@ def canonical(text: str) -> tuple[str, int]:
     stable = ud.is_normalized("NFKC", text) and not r.hidden.search(text)
     for m in () if stable else r.unstable.finditer(text):
         a, b = m.span()
-        while a > at and (ud.combining(text[a]) or r.second.match(text[a])):
+        while a > at and (ud.combining(text[a]) or r.second.match(text[a]) or r.invisible.match(text[a])):
             a -= 1
-        while b < len(text) and ud.combining(text[b]):
+        while b < len(text) and (ud.combining(text[b]) or r.unstable.match(text[b])):
             b += 1
         if b <= at:
             continue
         a = max(a, at)
         new, w = _segment(text[a:b], r)
-        if w:
+        if w or new != text[a:b]:
             parts += [text[at:a], new]
             at, why = b, why | w
     if parts:
@@ -146,10 +158,8 @@ def canonical(text: str) -> tuple[str, int]:
         parts, at = [], 0
         for m in r.word.finditer(text):
             w = m.group()
-            n = [len(p.findall(w)) for p in (r.latin, r.greek, r.cyrillic)]
-            if (n[0] > 0) + (n[1] > 0) + (n[2] > 0) > 1:
-                best = n.index(max(n))
-                new = w.translate((r.to_latin, r.to_greek, r.to_cyrillic)[best])
+            new = _one_script(w, r)
+            if new is not None:
                 parts += [text[at : m.start()], new]
                 at, why = m.end(), why | MIXED
         if parts:

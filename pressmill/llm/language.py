@@ -26,6 +26,10 @@ SAMPLE = 300
 SLOTS, PROBES = 1 << 20, 3
 #: An n-gram belongs to a language from this share of its frequency where it is most frequent.
 SHARE = 0.3
+#: An n-gram must be met more than ONCE times in a language with many more than SETTLED n-grams, less often where there are fewer.
+ONCE, SETTLED = 2.5, 50_000
+#: Characters of a paragraph and paragraphs of an article that the fit reads, at most.
+FIT_CHARS, FIT_PARAGRAPHS = 4_000, 50
 #: How much of an article's own counts backs each of its paragraphs.
 CONTEXT = 0.05
 #: Spellings of labels (fixed values); regional tags are cut off before.
@@ -125,7 +129,7 @@ class LanguageFilter:
             if len(h):
                 share[k, np.searchsorted(every, h)] = n / n.sum()
                 seen[np.searchsorted(every, h)] += n
-        least = np.array([2.5 / max(1, n.sum()) if n.sum() > 50_000 else 0 for _, n in per])
+        least = np.array([ONCE / (n.sum() + SETTLED) for _, n in per])
         keep = (share >= SHARE * share.max(axis=0)) & (share > least[:, None])
         self.table = np.zeros(SLOTS, np.uint16)
         for k in range(len(LANGUAGES)):
@@ -162,11 +166,12 @@ class LanguageFilter:
 
 
 def fit_filter(df: DataFrame, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE, name_col: str | None = None) -> LanguageFilter:
-    """Fits to at most ``sample`` labelled rows of each language, those with the least hash of the id."""
+    """Fits to at most ``sample`` labelled rows of each language, those with the least hash of the id, and so many characters of each."""
     labelled = df.where(F.col(id_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).alias("id"), stated_language(F.col(label_col)).alias("lang")).where(F.col("lang").isNotNull())
     first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     chosen = labelled.distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample).select("id", "lang")
-    rows = df.select(F.col(id_col).alias("id"), paragraphs(_without_name(df, text_col, name_col)).alias("p")).join(chosen, "id").collect()
+    parts = F.transform(F.slice(paragraphs(_without_name(df, text_col, name_col)), 1, FIT_PARAGRAPHS), lambda x: F.substring(x, 1, FIT_CHARS))
+    rows = df.select(F.col(id_col).alias("id"), parts.alias("p")).join(chosen, "id").collect()
     samples: dict[str, list[str]] = {}
     for r in rows:
         samples.setdefault(r["lang"], []).extend(p for p in r["p"] if len(p) > 2)

@@ -46,7 +46,10 @@ class ItemIndex:
             pos.append(np.arange(len(h)))
             blanks = np.flatnonzero(c == _SPACE)
             shortest = int((blanks[words:] - blanks[:-words]).min()) + 1 if len(blanks) > words else 0
-            self.need.append(max(1, (shortest - Q + 1) // STRIDE - edits * -(-Q // STRIDE)) if shortest else 1 << 30)
+            need = (shortest - Q + 1) // STRIDE - edits * -(-Q // STRIDE) if shortest else 1 << 30
+            if need < 1 and edits:
+                raise ValueError(f"an item's shortest passage of {words} words has {shortest} characters, too few for {edits} edits: no q-gram would be guaranteed")
+            self.need.append(need)
         h = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
         order = np.argsort(h, kind="stable")
         self.hash = h[order]
@@ -99,13 +102,14 @@ class ItemIndex:
         return [(d, i, n) for (d, i), n in sorted(best.items())]
 
     def aligned_words(self, doc: np.ndarray, item: np.ndarray, diagonal: int) -> int:
-        """Most whole words in a row along the diagonal; up to ``edits`` letters may differ, be missing or be added."""
+        """Most whole words in a row by banded alignment; without edits the band is one diagonal, its runs of equal letters are compared at once."""
+        if self.edits:
+            return self._banded(doc, item, diagonal)
         a, b = max(0, diagonal), min(len(doc), len(item) + diagonal)
         same = np.concatenate([[False], doc[a:b] == item[a - diagonal : b - diagonal], [False]])
         edge = np.flatnonzero(same[1:] != same[:-1])
         blank = np.concatenate([[0], np.cumsum(item[a - diagonal : b - diagonal] == _SPACE)])
-        best = max((int(blank[y] - blank[x]) - 1 for x, y in zip(edge[::2], edge[1::2])), default=0)
-        return best if best >= self.words or not self.edits else max(best, self._banded(doc, item, diagonal))
+        return max((int(blank[y] - blank[x]) - 1 for x, y in zip(edge[::2], edge[1::2])), default=0)
 
     def _banded(self, doc: np.ndarray, item: np.ndarray, diagonal: int) -> int:
         """Banded alignment around the diagonal: for each number of edits the furthest reach from each word start."""
@@ -133,7 +137,8 @@ class ItemIndex:
 def find_leaks(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", words: int = WORDS, edits: int = 0) -> DataFrame:
     """(doc_id, item_id, words): documents that hold at least ``words`` consecutive words of an item, and the longest such run.
 
-    Null ids, null texts and items of fewer than ``words`` words give no row;
+    ``edits``: letters that may differ, be missing or be added within a passage; a ValueError where
+    an item is too short for the bound to hold. Null ids, null texts and items of fewer than ``words`` words give no row;
     equal items are each reported, a document row that occurs twice comes out
     twice. The items are a stated query set: they are sent to the executors in
     blocks of at most BLOCK_CHARS characters, and the documents are never shuffled.

@@ -1,8 +1,11 @@
 """Sentence ends in texts of many languages and scripts.
 
 A pushdown automaton runs over the marks of a text: terminators, quotation
-marks, brackets and blank lines. Its stack holds what is open, and while a
-quotation or bracket is open nothing ends; a blank line empties it. A full stop
+marks, brackets, enumerators and blank lines. Its stack holds what is open, quotations,
+brackets and list levels, and while a quotation or bracket is open nothing ends; a list level
+only takes its enumerator's mark for itself and goes where an outer level goes on; a blank
+line empties the stack. Whether a mark closes anything is known for each paragraph from the
+last place of each closing mark, so the work is linear in the text. A full stop
 asks a trie of abbreviations, read backwards from the stop, and the word behind
 it; scripts with terminators of their own end there.
 """
@@ -38,9 +41,10 @@ MONTHS = frozenset(
 )
 #: What German counts with an ordinal.
 COUNTED = frozenset("Halbjahr Halbjahres Quartal Quartals Jahrhundert Jahrhunderts Geschäftsjahr Platz Rang Mal Tag Woche Monat Jahr Etage Stock Auflage Hauptversammlung Kammer Senat Runde".split())
-STARTERS = frozenset("The A An In It He She They We This That These Those But And For With On At As After Is Are Asked Shares Investors Analyst Suppliers What Will".split())
+STARTERS = frozenset("The A An In It He She They We This That These Those But And For With On At As After Is Are What Will".split())
 
 _MARKS = re.compile(r"""\n[^\S\n]*\n\s*|[.]{2,}|[.!?‽…。｡！？।॥﹒．]|[“”„‟"«»‹›「」『』‘’‚]|[()\[\]（）【】]""")
+_ENUMERATOR = re.compile(r"^[^\S\n]*((?:\d{1,2}|[a-z])[.)])(?=[^\S\n])", re.M)
 _GAP = re.compile("[\\s­​-‍⁠﻿]*")
 _CLOSERS = {"“": "”", "„": "“”", "‟": "”", '"': '"', "«": "»", "»": "«", "‹": "›", "›": "‹", "「": "」", "『": "』", "‘": "’", "‚": "‘’", "”": "”"}
 _BRACKETS = {"(": ")", "[": "]", "（": "）", "【": "】"}
@@ -87,7 +91,10 @@ def _stop_ends(text: str, at: int, nxt: int, end: int) -> bool:
             k += 1
     head = text[k] if k < end else ""
     spaced = nxt > at + 1
-    word = _HAN.split(_WORD.search(text, max(0, at - 40), at).group())[-1]
+    found = _WORD.search(text, max(0, at - 40), at)
+    if at > 40 and found.start() == at - 40:  # a long one
+        found = _WORD.search(text, max(0, at - 400), at)
+    word = _HAN.split(found.group())[-1]
     if not head or head.islower() or not (head.isalnum() or first in _OPENING):
         return False
     if not spaced and (head.isdigit() or (not head.isupper() and first not in _OPENING)):
@@ -102,8 +109,10 @@ def _stop_ends(text: str, at: int, nxt: int, end: int) -> bool:
         if first not in _OPENING and (follower in MONTHS or follower in COUNTED) and len(word) <= 2:
             before = text[max(0, at - len(word) - 20) : at - len(word)].split()
             return bool(before) and before[-1] in MONTHS
-        line = text.rfind("\n", 0, at - len(word) + 1) + 1
-        return bool(text[line : at - len(word)].strip()) or len(word) > 2
+        k = at - len(word) - 1
+        while k >= 0 and text[k] != "\n" and text[k].isspace():
+            k -= 1
+        return (k >= 0 and text[k] != "\n") or len(word) > 2
     low = word.lower()
     kind = _abbreviation(low)
     if kind == "closing" and word != low:
@@ -141,11 +150,35 @@ def _legal_ahead(text: str, k: int, end: int) -> bool:
     return bool(m) and _abbreviation(m.group().strip(",.;:").lower()) == "legal"
 
 
+class _Closers:
+    """Last places of closing marks in the paragraph that is being read."""
+
+    def __init__(self, text: str):
+        self.text, self.para, self.last = text, -1, {}
+
+    def ahead(self, marks: str, at: int, para: int, single: bool = False) -> bool:
+        """Whether one of the marks stands at ``at`` or behind it, before ``para``; a single one must not be an apostrophe."""
+        if para != self.para:
+            self.para, self.last = para, {}
+        for c in marks:
+            place = self.last.get((c, single))
+            if place is None:
+                place = self.text.rfind(c, at, para)
+                while single and place >= 0 and self.text[place + 1 : place + 2].isalnum():
+                    place = self.text.rfind(c, at, place)
+                self.last[c, single] = place
+            if place >= at:
+                return True
+        return False
+
+
 def sentence_ends(text: str) -> list[int]:
     """Offsets behind the last character of each sentence, in order; parts without a letter or number end none."""
     ends, stack, n = [], [], len(text)
-    para = text.find("\n\n")
     marks = list(_MARKS.finditer(text))
+    levels = {m.end(1) - 1: m.start(1) - m.start() for m in _ENUMERATOR.finditer(text)} if _ENUMERATOR.search(text) else {}
+    open_ = 0  # quotations and brackets on the stack
+    closing = _Closers(text)
     breaks = [m.start() for m in marks if text[m.start()] == "\n"] + [n]
     b = 0
     para = breaks[0]
@@ -155,11 +188,18 @@ def sentence_ends(text: str) -> list[int]:
         if ch == "\n":
             ends.append(a)
             stack.clear()
+            open_ = 0
             b += 1
             para = breaks[b]
             continue
+        if a in levels and z == a + 1 and not open_:
+            indent = levels[a]
+            while stack and stack[-1][0] >= indent:  # an outer level or the same one goes on
+                stack.pop()
+            stack.append((indent, ""))
+            continue
         if ch in _TERMINATORS:
-            if stack:
+            if open_:
                 continue
             nxt = _GAP.match(text, z).end()
             if nxt >= para:
@@ -186,9 +226,10 @@ def sentence_ends(text: str) -> list[int]:
                 elif head.isalnum() and not head.islower():
                     ends.append(z)
             continue
-        if stack and ch in stack[-1][1]:
+        if open_ and ch in stack[-1][1]:
             opened = stack.pop()
-            if stack:
+            open_ -= 1
+            if open_:
                 continue
             k = a - 1
             while k > opened[0] and text[k].isspace():
@@ -207,8 +248,9 @@ def sentence_ends(text: str) -> list[int]:
             continue
         closers = _BRACKETS.get(ch)
         if closers:
-            if text.find(closers, z, para) >= 0:
+            if closing.ahead(closers, z, para):
                 stack.append((a, closers))
+                open_ += 1
             continue
         closers = _CLOSERS.get(ch)
         if not closers:
@@ -216,15 +258,15 @@ def sentence_ends(text: str) -> list[int]:
         if ch in "‘‚" or ch == "’":
             if ch == "’" or (a and text[a - 1].isalnum()):
                 continue
-            close = next((x for x in range(z, para) if text[x] in closers and not text[x + 1 : x + 2].isalnum()), -1)
-            if close < 0:
-                continue
-            stack.append((a, closers))
+            if closing.ahead(closers, z, para, single=True):
+                stack.append((a, closers))
+                open_ += 1
             continue
         if ch == "”" and (a and not text[a - 1].isspace()):
             continue
-        if any(text.find(c, z, para) >= 0 for c in closers):
+        if closing.ahead(closers, z, para):
             stack.append((a, closers))
+            open_ += 1
     ends.append(n)
     return ends
 

@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from pressmill.llm import leakage
 
 
@@ -61,6 +63,25 @@ def test_a_passage_with_an_edit_needs_the_budget():
     assert [(d, i) for d, i, _ in loose.passages([doc])] == [(0, 0)]
 
 
+def test_no_passage_with_edits_is_lost():
+    """One letter changed, missing or added at any place of a passage of 13 words, within two edits."""
+    rnd = random.Random(8)
+    item = " " + " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(3, 9))) for _ in range(13)) + " "
+    index = leakage.ItemIndex([item], 13, 2)
+    docs = []
+    for k in range(1, len(item) - 1):
+        if item[k] != " ":
+            docs += [item[:k] + "z" + item[k + 1 :], item[:k] + "z" + item[k:], item[:k] + item[k + 1 :]]
+    filler = " " + " ".join("filler" for _ in range(9))
+    found = {d for d, _, _ in index.passages([filler + d + filler[1:] + " " for d in docs])}
+    assert found == set(range(len(docs)))
+
+
+def test_too_short_items_for_the_edits_are_refused():
+    with pytest.raises(ValueError, match="too few"):
+        leakage.ItemIndex([" a b c d e f g h i j k l m "], 13, 1)
+
+
 def test_no_items_or_documents(spark):
     d, i = spark.createDataFrame([], "doc_id bigint, text string"), spark.createDataFrame([], "item_id bigint, text string")
     assert leakage.find_leaks(d, i).count() == 0

@@ -1,8 +1,11 @@
 """Canonical text, sentences, languages and names."""
 
+import time
 import unicodedata
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from pressmill.llm import canonical, language, names, sentences
 
@@ -35,6 +38,21 @@ def test_canonical(text, form, why):
         assert canonical.canonical(got)[1] == 0  # settled
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("aeqZ ȩ̣́̇̈ßΑоЗнbа가각ᄀ​­  Ａﬁ½ӏक़़म\n"), max_size=12))
+def test_canonical_is_one_form(text):
+    form = canonical.canonical(text)[0]
+    assert canonical.canonical(form)[0] == form
+    for other in (unicodedata.normalize("NFC", text), unicodedata.normalize("NFD", text)):
+        assert canonical.canonical(other)[0] == form
+
+
+def test_order_of_marks_and_rare_look_alikes():
+    assert canonical.canonical("q\u0307\u0323")[0] == canonical.canonical("q\u0323\u0307")[0]
+    assert canonical.canonical("paypa\u04cf")[0] == "paypal"
+    assert canonical.canonical("Зн" + "b" + "а")[0] == "Знь" + "а"
+
+
 def test_canonical_splices_only_segments():
     text = "x" * 5000 + "é" + "y" * 5000
     assert canonical.canonical(text) == ("x" * 5000 + "é" + "y" * 5000, canonical.APART)
@@ -91,6 +109,18 @@ def test_sentence_structure():
     assert len(sentences.end_positions("Word one. " * 20000)) == 20000
 
 
+def test_sentences_take_linear_time():
+    for unit in ("‘ab cd ", "(ab cd ", "“ab. Cd ", "1. ", "a.b.", '"x '):
+        began = time.perf_counter()
+        sentences.sentence_ends(unit * (1_000_000 // len(unit)))
+        assert time.perf_counter() - began < 15
+
+
+def test_list_levels():
+    text = "Das Team (siehe\na) Ulm und\nb) Bonn) wuchs. Es gilt:\n1. Erstens kommt Ulm. Dann Bonn.\n  1) Unten steht mehr. Viel mehr.\n2. Zweitens Ende"
+    assert [text[:e][-6:] for e in sentences.sentence_ends(text)] == ["wuchs.", "t Ulm.", " Bonn.", " mehr.", " mehr.", "s Ende"]
+
+
 def test_sentence_table(spark):
     df = spark.createDataFrame([(1, "One. Two.", 0), (1, "One. Two.", 0), (2, None, 0), (3, "", 0), (None, "x", 0)], "art_id bigint, art_text string, pos int")
     assert sorted(map(tuple, sentences.sentence_table(df).collect())) == [(1, 0, 3), (1, 1, 6)]
