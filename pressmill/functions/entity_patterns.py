@@ -51,61 +51,68 @@ def word_type(word: str, lexicons: Lexicons) -> str:
     return "UNKNOWN_SHORT" if short else "UNKNOWN"
 
 
-#: First row that fits: kinds of the first words, then what becomes of each word. M: as it is, UL: as it is or with one
-#: capital, O: may be missing, i: in any case, b: a binding; "x/y": x within a text, y within a word. "*" is any kind.
-_RULES: dict[int, tuple[tuple[str, str], ...]] = {
-    1: (("MIX|MIX_SHORT|UOL", "UL"), ("*", "M")),
-    2: (
-        ("MIX|UOL MIX|UOL", "UL UL"), ("MIX *", "UL Oi"), ("MIX_SHORT INDU", "UL M/Oi"), ("MIX_SHORT *", "UL Mi/Oi"), ("UOL INDU|COMMON|LEGAL", "UL Oi"),
-        ("UOL_SHORT COMMON|LEGAL|INDU", "M Mi/Oi"), ("UOL_SHORT PER_NAME|UNKNOWN", "M M"), ("INDU UNKNOWN|UOL", "M M"), ("LONG_NUM COMMON", "M Mi/Oi"), ("SHORT_NUM COMMON", "M M"),
-        ("PER_INITIAL PER_NAME", "M M"), ("PER_INITIAL UNKNOWN", "Mi/Oi M"), ("PER_NAME PER_NAME", "M M"), ("PER_NAME INDU|COMMON", "M Mi/Oi"),
-        ("UNKNOWN MIX|UNKNOWN|SHORT_NUM", "M M"), ("UNKNOWN COMMON", "M Oi"), ("UNKNOWN INDU", "M M"), ("UNKNOWN_SHORT PER_NAME|UNKNOWN", "M M"),
-        ("COMMON UNKNOWN|PER_NAME|UOL|UOL_SHORT", "O M"), ("COMMON INDU|COMMON", "M M"), ("COMMON UNKNOWN_SHORT", "M M"), ("LEGAL UNKNOWN|MIX_SHORT", "Mi/Oi M"), ("*", "M M"),
-    ),
-    3: (
-        ("MIX|UOL UOL|MIX *", "UL UL O"), ("* BINDING *", "M b M"), ("UOL|MIX * *", "UL O O"), ("UOL_SHORT UOL_SHORT|INDU *", "M M Oi"), ("UOL_SHORT * INDU", "M M/Oi M/Oi"), ("UOL_SHORT * *", "M M/O O"),
-        ("PER_INITIAL * *", "M M Oi"), ("PER_NAME PER_NAME|COMMON|INDU *", "M M Oi"), ("ARTICLE * *", "M M M"), ("* ARTICLE *", "M M M"), ("INDU COMMON LEGAL", "M M Oi"), ("INDU INDU COMMON|INDU", "M M M"),
-        ("COMMON COMMON|UOL_SHORT|INDU LEGAL", "M M Oi"), ("COMMON LEGAL COMMON", "M M Oi"), ("COMMON COMMON|INDU COMMON|INDU", "M M M"), ("COMMON UOL|UOL_SHORT COMMON", "O M M/O"),
-        ("UNKNOWN UNKNOWN|COMMON LEGAL", "M M Oi"), ("UNKNOWN UNKNOWN COMMON|INDU", "M M Oi"), ("UNKNOWN * *", "M M/Oi M/Oi"), ("UNKNOWN_SHORT INDU COMMON", "M M Oi"), ("*", "M M M"),
-    ),
-    4: (
-        ("MIX|UOL UOL|MIX", "UL UL O O"), ("* BINDING", "M b M Oi"), ("UOL|UOL_SHORT|MIX|MIX_SHORT COMMON COMMON COMMON|INDU", "M Oi Oi Oi"), ("PER_NAME|PER_INITIAL PER_NAME|PER_INITIAL", "M M Oi Oi"),
-        ("COMMON COMMON|INDU COMMON", "M M M Oi"), ("* * BINDING", "M M b M"), ("* * * BINDING", "M M M b"), ("* * * LEGAL", "M M M Oi"), ("*", "M M M M"),
-    ),
+#: How much a word of a kind tells about which company is meant; a name is told once it has ENOUGH.
+TELLS = {
+    "MIX": 3.0, "UOL": 3.0, "UNKNOWN": 2.0, "UOL_SHORT": 2.0, "UNKNOWN_SHORT": 1.5, "MIX_SHORT": 1.5, "PER_NAME": 1.5, "INDU": 1.0, "COMMON": 1.0, "LONG_NUM": 1.0,
+    "SHORT_NUM": 0.5, "PER_INITIAL": 0.5, "LEGAL": 0.3, "BINDING": 0.0, "ARTICLE": 0.0,
 }
-_CLOSED = {1: {"MIX": "Oi", "MIX_SHORT": "Oi", "UOL": "Oi", "UNKNOWN": "Oi", "UOL_SHORT": "M/Oi", "LONG_NUM": "M/Oi", "PER_NAME": "M/Oi", "UNKNOWN_SHORT": "M/Oi"}}
-
-
-def _fits(rule: str, kinds: list[str]) -> bool:
-    wanted = rule.split()
-    return all(w == "*" or k in w.split("|") for w, k in zip(wanted, kinds)) and len(wanted) <= len(kinds)
-
-
-def _atom(kind: str, word: str) -> str:
-    t = re.escape(word) if not re.fullmatch(r"[\w. ]+", word) else word
-    if kind == "UL":
-        return rf"(?:\b{t}|{t.title() if t.isupper() else t.upper() if t.islower() else t}\b)" if t.isupper() or t.islower() else rf"(?:\b{t}|{t.title()}\b)"
-    if kind == "b":
-        return rf"(?:{t})"
-    flag = "i" if kind.endswith("i") else ""
-    return rf"(?{flag}:\b{t}\b)" + ("?" if kind.startswith("O") else "")
+ENOUGH, WITHOUT_FORM = 3.0, 2.0
+_GENERIC, _SHORT = ("INDU", "COMMON", "LEGAL"), ("UOL_SHORT", "MIX_SHORT", "UNKNOWN_SHORT")
+#: Of longer names so many words are asked for at most.
+ASKED = 4
+
+
+@dataclass(frozen=True)
+class Part:
+    """A word of a pattern: whether it must be there, in any case, or as a word of capitals that may be written with one."""
+
+    word: str
+    needed: bool = True
+    any_case: bool = False
+    retold: bool = False
+    bare: bool = False
+
+    def pattern(self) -> str:
+        t = self.word if re.fullmatch(r"[\w. ]+", self.word) else re.escape(self.word)
+        if self.bare:
+            return rf"(?:{t})"
+        if self.retold:
+            other = t.upper() if t.islower() else t.title()
+            return rf"(?:\b{t}|{other}\b)"
+        return rf"(?{'i' if self.any_case else ''}:\b{t}\b){'' if self.needed else '?'}"
+
+
+def parts_of(terms: list[str], legal: str | None, lexicons: Lexicons, within_word: bool = False) -> list[Part]:
+    """What becomes of each word of a name.
+
+    Words are needed from the left until they tell enough, a name that begins with a short word needs all
+    that are asked for, and only within a single word the others may be missing. What follows may be missing,
+    as may the legal form of a name whose words tell enough without it.
+    """
+    kinds = [word_type(t, lexicons) for t in terms]
+    two, short = len(terms) == 2, kinds[0] in _SHORT and len(terms) > 1
+    lean = short and within_word and len(terms) < ASKED
+    out, told = [], 0.0
+    for i, (term, kind) in enumerate(zip(terms, kinds)):
+        needed = i == 0 or (i < ASKED and not lean and (short or told < ENOUGH))
+        loose = kind == "LEGAL" or (two and kind in _GENERIC and kinds[0] not in _GENERIC) or (i and lean) or i >= ASKED
+        if kind == "BINDING" and needed:
+            out.append(Part(term, bare=True))
+        elif i == 0 and kind in ("MIX", "UOL"):
+            out.append(Part(term, retold=True))
+        else:
+            out.append(Part(term, needed, bool(i and loose)))
+        told += TELLS[kind]
+    if legal:
+        out.append(Part(legal, told < WITHOUT_FORM and not within_word, True))
+    return out
 
 
 def make_pattern(terms: list[str], legal: str | None, lexicons: Lexicons, within_word: bool = False) -> str:
     """The pattern of a name: its terms, its legal form or None; for a text, or for a single word."""
     if not terms:
         raise ValueError("a name without terms has no pattern")
-    kinds = [word_type(t, lexicons) for t in terms]
-    n = min(len(terms), 4)
-    made = next(out for rule, out in _RULES[n] if rule == "*" or _fits(rule, kinds))
-    side = lambda k: k.split("/")[-1 if within_word else 0]
-    atoms = [_atom(side(k), t) for k, t in zip(made.split(), terms)] + [_atom("Oi", t) for t in terms[4:]]
-    if legal:
-        if n == 1:
-            atoms.append(_atom(side(_CLOSED[1].get(kinds[0], "M")), legal))
-        elif n < 4 or len(terms) > 4:
-            atoms.append(_atom("Oi", legal))
-    return (r"\W*" if within_word else r"\s*").join(atoms)
+    return (r"\W*" if within_word else r"\s*").join(part.pattern() for part in parts_of(terms, legal, lexicons, within_word))
 
 
 def in_text(body: str) -> str:

@@ -43,8 +43,10 @@ class Graph:
         return dict(self.__dict__)
 
     def write(self, folder: str) -> None:
+        """All tables; articles lie by day, so that a query on some days reads these only."""
         for name, df in self.tables().items():
-            df.write.mode("overwrite").parquet(f"{folder}/{name}")
+            w = df.repartition("day").write.partitionBy("day") if name == "article" else df.write
+            w.mode("overwrite").parquet(f"{folder}/{name}")
 
     @classmethod
     def read(cls, spark, folder: str) -> Graph:
@@ -53,7 +55,10 @@ class Graph:
 
 def build_graph(articles: DataFrame, sentences: DataFrame, mentions: DataFrame, topics: DataFrame, isins: DataFrame) -> Graph:
     """The four node and three edge tables; every edge has both its ends."""
-    article = articles.select("art_id", "art_datetime", "art_text", "art_source").where("art_id IS NOT NULL").dropDuplicates(["art_id"])
+    props = ["art_datetime", "art_text", "art_source"]
+    # copies that differ: the greatest row, so that each run keeps the same
+    article = articles.where("art_id IS NOT NULL").groupBy("art_id").agg(F.max(F.struct(*props)).alias("_a")).select("art_id", *[F.col(f"_a.{p}").alias(p) for p in props])
+    article = article.withColumn("day", utc_date(F.col("art_datetime")))
     sentence = sentences.where("sent_id IS NOT NULL").select("sent_id", "sent_text")
     named = upsert_nodes(mentions.select("comp_symbol", "comp_name", "mention_id"), "comp_symbol", ["comp_name"], "mention_id")
     isin = isins.where("symbol IS NOT NULL").groupBy(F.col("symbol").alias("_raw")).agg(F.min("isin").alias("comp_isin"))
@@ -69,7 +74,7 @@ def build_graph(articles: DataFrame, sentences: DataFrame, mentions: DataFrame,
 
 def on_date(g: Graph, first: str, last: str | None = None) -> DataFrame:
     """Articles of a day, or of a closed range of days."""
-    return g.article.where(utc_date(F.col("art_datetime")).between(F.lit(first).cast("date"), F.lit(last or first).cast("date")))
+    return g.article.where(F.col("day").between(F.lit(first).cast("date"), F.lit(last or first).cast("date")))
 
 
 def company_sentences(g: Graph, articles: DataFrame) -> DataFrame:

@@ -69,6 +69,88 @@ def match_dictionary(texts: DataFrame, names: DataFrame, id_col: str, text_col:
     return out if out is not None else spark.createDataFrame([], schema)
 
 
+def pattern_hits(t: str, tree, patterns: list[tuple], within_word: bool) -> list[tuple[int, int, int]]:
+    """(number of the pattern, start, end) of each match that begins at its anchor and not within its match before."""
+    low = t.lower()
+    if len(low) != len(t):  # a letter whose lower case is longer
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in t)
+    out, behind = [], {}
+    for last, (length, numbers) in tree.iter(low):
+        a = last - length + 1
+        if a and low[a - 1].isalnum():
+            continue
+        for k in numbers:
+            if a < behind.get(k, 0) or not (m := patterns[k].match(t, a)) or m.end() == a:
+                continue
+            a_, z = a, m.end()
+            if within_word:
+                while a_ and not t[a_ - 1].isspace():
+                    a_ -= 1
+                while z < len(t) and not t[z].isspace():
+                    z += 1
+                while z > m.end() and not t[z - 1].isalnum():
+                    z -= 1
+                if "-" not in t[a_:z] or any(c.isspace() for c in t[a_:z]):
+                    continue
+            behind[k] = z
+            out.append((k, a_, z))
+    return sorted(out, key=lambda x: (x[1], x[2], x[0]))
+
+
+def match_patterns(texts: DataFrame, patterns: DataFrame, id_col: str, text_col: str, key_col: str, anchor_col: str, pattern_col: str, within_word: bool = False, block: int = BLOCK_CHARS) -> DataFrame:
+    """(id, key, start, end) of every match of every pattern.
+
+    One automaton finds the anchors, lower-cased words with which matches begin, in any case; only the patterns
+    of an anchor that stands there are tried. With ``within_word`` a match counts for the hyphenated word around it.
+    Patterns are sent in blocks of ``block`` characters; null texts, anchors and patterns match nothing. The texts are not shuffled.
+    """
+    spark = texts.sparkSession
+    src = texts.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    schema = f"id {src.schema['id'].dataType.simpleString()}, key string, start int, end int"
+    wanted = patterns.where(F.col(key_col).isNotNull() & (F.length(anchor_col) > 0) & F.col(pattern_col).isNotNull()).select(F.col(key_col).cast("string").alias("k"), F.col(anchor_col).alias("a"), F.col(pattern_col).alias("p")).distinct()
+    out, part, size = None, [], 0
+
+    def search(rows: list) -> DataFrame:
+        shared = spark.sparkContext.broadcast(rows)
+
+        def make():
+            import re
+
+            import ahocorasick
+
+            tree, numbers = ahocorasick.Automaton(), {}
+            for i, (_, anchor, _) in enumerate(shared.value):
+                numbers.setdefault(anchor, []).append(i)
+            for anchor, mine in numbers.items():
+                tree.add_word(anchor, (len(anchor), mine))
+            tree.make_automaton()
+            compiled = [re.compile(p) for _, _, p in shared.value]
+
+            def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+                row, key, start, end = [], [], [], []
+                for i, t in enumerate(batch.column(1).to_pylist()):
+                    for k, a, z in pattern_hits(t, tree, compiled, within_word):
+                        row.append(i)
+                        key.append(shared.value[k][0])
+                        start.append(a)
+                        end.append(z)
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int32())), pa.array(key, pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["id", "key", "start", "end"])
+
+            return step
+
+        return map_batches(src, make, schema)
+
+    for r in wanted.toLocalIterator():
+        if part and size + len(r["p"]) > block:
+            out = search(part) if out is None else out.unionByName(search(part))
+            part, size = [], 0
+        part.append((r["k"], r["a"], r["p"]))
+        size += len(r["p"])
+    if part:
+        out = search(part) if out is None else out.unionByName(search(part))
+    return out if out is not None else spark.createDataFrame([], schema)
+
+
 def resolve(old: list[dict], new: list[dict], overwrite: bool) -> list[dict]:
     """Spans of a document after the candidates, in order of their start, were let in or not.
 

@@ -135,21 +135,28 @@ def x3_flatten_lists(spark, d):
     return a.select("art_id", F.array_join(F.flatten(inner), ",").alias("symbols"))
 
 
-@_register("""SELECT top_id, art_id, round(avg(sent_pos), 6) AS mean_pos, count(*) AS n, string_agg(sent_text, ' ' ORDER BY sent_pos, sent_id) AS joined FROM sentences WHERE top_id IS NOT NULL AND sent_text IS NOT NULL AND art_id IS NOT NULL GROUP BY top_id, art_id""")
+@_register("SELECT top_id, round(avg(sent_pos), 6) AS mean_pos, count(*) AS n, count(DISTINCT art_id) AS articles FROM sentences WHERE top_id IS NOT NULL AND sent_text IS NOT NULL GROUP BY top_id")
 def a1_cluster_aggregate(spark, d):
-    """Means and the joined text of each topic, an article at a time, so that no group grows with the data."""
+    """Means and sizes of each topic; its texts, which grow with the data, are those of ``a1_cluster_texts``."""
+    s = table(spark, d, "sentences").where("top_id IS NOT NULL AND sent_text IS NOT NULL")
+    return s.groupBy("top_id").agg(F.round(F.avg("sent_pos"), 6).alias("mean_pos"), F.count("*").alias("n"), F.countDistinct("art_id").alias("articles"))
+
+
+@_register("""SELECT top_id, art_id, round(avg(sent_pos), 6) AS mean_pos, count(*) AS n, string_agg(sent_text, ' ' ORDER BY sent_pos, sent_id) AS joined FROM sentences WHERE top_id IS NOT NULL AND sent_text IS NOT NULL AND art_id IS NOT NULL GROUP BY top_id, art_id""")
+def a1_cluster_texts(spark, d):
+    """The joined text of each topic, an article at a time, so that no group grows with the data."""
     s = table(spark, d, "sentences").where("top_id IS NOT NULL AND sent_text IS NOT NULL AND art_id IS NOT NULL")
     return s.groupBy("top_id", "art_id").agg(F.round(F.avg("sent_pos"), 6).alias("mean_pos"), F.count("*").alias("n"), frames.ordered_join(F.col("sent_text"), F.struct("sent_pos", "sent_id"), " ").alias("joined"))
 
 
-_WORDS = """w AS (SELECT top_id, sent_id, unnest(regexp_extract_all(lower(sent_text), '[a-z]{3,}')) AS word FROM sentences WHERE top_id IS NOT NULL AND sent_text IS NOT NULL)"""
+_WORDS = """w AS (SELECT top_id, sent_id, unnest(regexp_extract_all(lower(sent_text), '[a-zäöüß]{3,}')) AS word FROM sentences WHERE top_id IS NOT NULL AND sent_text IS NOT NULL)"""
 
 
 @_register(f"""WITH {_WORDS}, c AS (SELECT top_id, word, count(*) AS n FROM w GROUP BY top_id, word)
   SELECT top_id, word, n FROM c QUALIFY row_number() OVER (PARTITION BY top_id ORDER BY n DESC, word) <= 5""")
 def a2_top_words(spark, d):
     s = table(spark, d, "sentences").where("top_id IS NOT NULL")
-    c = s.select("top_id", F.explode(F.regexp_extract_all(F.lower("sent_text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("word")).groupBy("top_id", "word").agg(F.count("*").alias("n"))
+    c = s.select("top_id", F.explode(F.regexp_extract_all(F.lower("sent_text"), F.lit("[a-zäöüß]{3,}"), F.lit(0))).alias("word")).groupBy("top_id", "word").agg(F.count("*").alias("n"))
     return frames.top_n(c, ["top_id"], [F.desc("n"), F.asc("word")], 5)
 
 
@@ -206,7 +213,7 @@ def a14_topic_share(spark, d):
 @_register(f"WITH {_WORDS} SELECT word, count(*) AS n FROM w GROUP BY word ORDER BY n DESC, word LIMIT 20")
 def a15_global_terms(spark, d):
     s = table(spark, d, "sentences").where("top_id IS NOT NULL")
-    return s.select(F.explode(F.regexp_extract_all(F.lower("sent_text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(20)
+    return s.select(F.explode(F.regexp_extract_all(F.lower("sent_text"), F.lit("[a-zäöüß]{3,}"), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(20)
 
 
 @_register("SELECT top_id, count(*) AS size, max(sent_pos) AS longest FROM sentences GROUP BY top_id")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from itertools import islice
 
 from pyspark.sql import functions as F
 
-from pressmill.functions.dates import utc_date
 from pressmill.functions.vectors import cosine, unit
 from pressmill.operators import graph
+from pressmill.plans.lineage import ensure_checkpoint_dir
 from pressmill.sources.tables import table
 
 _Q: dict = {}
@@ -37,8 +38,17 @@ def _register(sql: str | None = None):
     return add
 
 
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
 def _graph(spark, d) -> graph.Graph:
-    return graph.build_graph(*(table(spark, d, t) for t in ("articles", "sentences", "mentions", "topics", "symbol_isin")))
+    """The graph of a folder, written to the shared folder when an application first asks for it and read from there since."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _WRITTEN:
+        folder = f"{ensure_checkpoint_dir(spark)}/graph-{uuid.uuid4().hex}"
+        graph.build_graph(*(table(spark, d, t) for t in ("articles", "sentences", "mentions", "topics", "symbol_isin"))).write(folder)
+        _WRITTEN[key] = folder
+    return graph.Graph.read(spark, _WRITTEN[key])
 
 
 @_register(f"WITH {_G} SELECT DISTINCT c.comp_symbol, c.comp_name {_PATH} WHERE a.day = DATE '{DAY}'")
@@ -94,7 +104,7 @@ def gq7_by_company(spark, d):
 @_register(f"WITH {_G} SELECT a.day, b.top_id, count(*) AS sentences FROM article a JOIN part p ON p.art_id = a.art_id JOIN about b ON b.sent_id = p.sent_id GROUP BY a.day, b.top_id")
 def gq7_by_topic_and_day(spark, d):
     g = _graph(spark, d)
-    return g.is_part_of.join(g.article.select("art_id", utc_date(F.col("art_datetime")).alias("day")), "art_id").join(g.is_about, "sent_id").groupBy("day", "top_id").agg(F.count("*").alias("sentences"))
+    return g.is_part_of.join(g.article.select("art_id", "day"), "art_id").join(g.is_about, "sent_id").groupBy("day", "top_id").agg(F.count("*").alias("sentences"))
 
 
 @_register(f"WITH {_G} SELECT DISTINCT c.comp_symbol, p.sent_id {_PATH} WHERE list_contains(regexp_extract_all(c.comp_name, '[A-Z][a-z]{{5,}}'), 'Versicherung')")
@@ -223,7 +233,7 @@ def nearest_to(spark, e, asked, block: int = 2000):
     return best.where("c > -2").groupBy("vec_id").agg(F.max(F.struct("c", (-F.col("nearest")).alias("m"))).alias("b")).select("vec_id", (-F.col("b.m")).alias("nearest"))
 
 
-@_register(f"SELECT a.vec_id AS a, b.vec_id AS b, round({_COS}, 6) AS likeness FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.label = b.label WHERE a.vec_id % 20 = 0 AND {_COS} > 0.3")
+@_register(f"SELECT a.vec_id AS a, b.vec_id AS b, round({_COS}, 6) AS likeness FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 AND NOT (b.vec_id % 20 = 0 AND b.vec_id < a.vec_id) AND {_COS} > 0.3")
 def g19_cosine_pairs(spark, d):
     """Every twentieth vector against all others, of any label; blocks of them go to the executors."""
     e = table(spark, d, "embeddings").select("vec_id", (F.col("vec_id") % 20 == 0).alias("asked"), unit(F.col("embedding")).alias("u")).where("vec_id IS NOT NULL AND u IS NOT NULL")

@@ -65,9 +65,9 @@ def r18_name_and_legal(spark, d):
     return _names(spark, d).select("symbol", text.name_without_legal(F.col("name")).alias("short"), text.legal_form(F.col("name")).alias("legal"))
 
 
-@_register("SELECT symbol, array_to_string(list_filter(regexp_split_to_array(trim(regexp_replace(name, '([^A-Za-z0-9À-ÿ.\\s])', ' \\1 ', 'g')), '\\s+'), lambda x: x <> ''), '|') AS terms FROM companies WHERE regexp_full_match(name, '[ -~À-ÿ]*')")
+@_register("SELECT symbol, array_to_string(list_filter(regexp_split_to_array(trim(regexp_replace(name, '([^A-Za-z0-9À-ÿ.\\s])', ' \\1 ', 'g')), '\\s+'), lambda x: x <> ''), '|') AS terms FROM companies WHERE name IS NOT NULL")
 def r19_name_terms(spark, d):
-    return _names(spark, d).where(F.col("name").rlike("^[ -~À-ÿ]*$")).select("symbol", F.array_join(text.name_terms(F.col("name")), "|").alias("terms"))
+    return _names(spark, d).select("symbol", F.array_join(text.name_terms(F.col("name")), "|").alias("terms"))
 
 
 @_register("SELECT symbol, split_part(name, ' ', 1) AS head FROM companies WHERE regexp_matches(split_part(name, ' ', 1), '^\\s*[A-ZÄÖÜ]\\.[A-ZÄÖÜ]\\.\\s*$')")
@@ -167,26 +167,60 @@ def r6_resolve_spans(spark, d):
     return spans.resolve_spans(s)
 
 
-@_register()
-def r24_entity_patterns(spark, d):
-    """A pattern for texts and one for words of every company; the lists of words are taken from the names themselves."""
+def _entity_patterns(spark, d):
+    """(symbol, anchor, in_text, in_word) of every company.
+
+    Kinds of words come from data: words of at least a two-hundredth of the names are trades, those that sentences
+    write small are common, parts of legal forms are legal; each name brings the kinds of its own words with it.
+    """
+    named = _names(spark, d).select("symbol", text.name_terms(text.name_without_legal(F.col("name"))).alias("terms"), text.legal_form(F.col("name")).alias("legal"))
+    words = named.select("symbol", F.explode(F.array_distinct(F.transform("terms", F.lower))).alias("w"))
+    trades = words.groupBy("w").agg(F.count("*").alias("n")).crossJoin(F.broadcast(named.agg(F.count("*").alias("names")))).where(F.col("n") * 200 >= F.col("names")).select("w", F.lit(True).alias("trade"))
+    small = table(spark, d, "sentences").select(F.explode(F.regexp_extract_all("sent_text", F.lit(r"(?U)\b\p{Ll}[\p{L}\d]*"), F.lit(0))).alias("w")).distinct().withColumn("common", F.lit(True))
+    kinds = words.join(trades, "w", "left").join(small.hint("merge"), "w", "left").groupBy("symbol").agg(F.collect_list(F.when(F.col("trade"), F.col("w"))).alias("trades"), F.collect_list(F.when(F.col("common"), F.col("w"))).alias("common"))
+    return patterned(named.join(kinds, "symbol", "left"))
+
+
+def patterned(named):
+    """Patterns of names: symbol, terms, legal, trades, common."""
     import pyarrow as pa
 
     from pressmill.functions.entity_patterns import Lexicons, make_patterns
     from pressmill.plans.arrow import map_batches
 
-    named = _names(spark, d).select("symbol", text.name_terms(text.name_without_legal(F.col("name"))).alias("terms"), text.legal_form(F.col("name")).alias("legal"))
-    often = named.select("symbol", F.explode("terms").alias("t")).distinct().groupBy("t").agg(F.count("*").alias("n")).where("n >= 12").orderBy("t").limit(5000).collect()
-    lexicons = Lexicons(industry=frozenset(r["t"].lower() for r in often))
-
     def make():
+        legal = frozenset(w.strip("().") for f in text.LEGAL_FORMS for w in f.lower().split())
+
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            made = make_patterns(((s, t, g or None) for s, t, g in zip(*(batch.column(i).to_pylist() for i in range(3)))), lexicons)
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in made], pa.string()) for i in range(3)], ["symbol", "in_text", "in_word"])
+            made = []
+            for symbol, terms, form, trades, common in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if terms:
+                    made += [(s, terms[0].lower(), x, y) for s, x, y in make_patterns([(symbol, terms, form or None)], Lexicons(industry=frozenset(trades or ()), common=frozenset(common or ()) - frozenset(trades or ()), legal=legal))]
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in made], pa.string()) for i in range(4)], ["symbol", "anchor", "in_text", "in_word"])
 
         return step
 
-    return map_batches(named, make, "symbol string, in_text string, in_word string")
+    return map_batches(named.select("symbol", "terms", "legal", "trades", "common"), make, "symbol string, anchor string, in_text string, in_word string")
+
+
+@_register()
+def r24_entity_patterns(spark, d):
+    """A pattern for texts and one for words of every company."""
+    return _entity_patterns(spark, d).select("symbol", "in_text", "in_word")
+
+
+@_register()
+def r3_pattern_match(spark, d):
+    """Every company's pattern applied to every article."""
+    articles = table(spark, d, "articles").select("art_id", "art_text").distinct()
+    return spans.match_patterns(articles, _entity_patterns(spark, d), "art_id", "art_text", "symbol", "anchor", "in_text").select(F.col("id").alias("art_id"), F.col("key").alias("symbol"), "start", "end")
+
+
+@_register()
+def r4_token_match(spark, d):
+    """Every company's pattern for words applied to the hyphenated words of every article."""
+    articles = table(spark, d, "articles").select("art_id", "art_text").distinct()
+    return spans.match_patterns(articles, _entity_patterns(spark, d), "art_id", "art_text", "symbol", "anchor", "in_word", within_word=True).select(F.col("id").alias("art_id"), F.col("key").alias("symbol"), "start", "end")
 
 
 @_register()
@@ -205,13 +239,16 @@ def rx_duplicate_sentences(spark, d):
     return s.groupBy("art_id", "sent_text").agg(F.count("*").alias("n")).where("n > 1")
 
 
-@_register("""WITH h AS (SELECT DISTINCT ON (sent_id) sent_id, ent_text, comp_name FROM mentions WHERE ent_text <> '' AND comp_name IS NOT NULL ORDER BY sent_id, mention_id)
-  SELECT s.sent_id, replace(s.sent_text, h.ent_text, h.comp_name) AS resolved FROM sentences s JOIN h USING (sent_id) WHERE s.sent_text IS NOT NULL""")
+@_register("""WITH p AS (SELECT sent_id, ent_text || chr(1) || comp_name AS pair, min(mention_id) AS first FROM mentions WHERE ent_text <> '' AND comp_name IS NOT NULL AND sent_id IS NOT NULL GROUP BY ALL),
+  l AS (SELECT sent_id, list(pair ORDER BY first, pair) AS pairs FROM p GROUP BY sent_id)
+  SELECT s.sent_id, list_reduce(l.pairs, lambda t, x: replace(t, split_part(x, chr(1), 1), split_part(x, chr(1), 2)), s.sent_text) AS resolved FROM sentences s JOIN l USING (sent_id) WHERE s.sent_text IS NOT NULL""")
 def r38_resolve_by_replace(spark, d):
+    """Every mention of a sentence replaced by the name of its company, in order of first occurrence."""
     m = table(spark, d, "mentions").where("ent_text <> '' AND comp_name IS NOT NULL AND sent_id IS NOT NULL")
-    h = m.groupBy("sent_id").agg(F.min(F.struct("mention_id", "ent_text", "comp_name")).alias("h"))
-    s = table(spark, d, "sentences").where("sent_text IS NOT NULL").join(h, "sent_id")
-    return s.select("sent_id", F.replace("sent_text", F.col("h.ent_text"), F.col("h.comp_name")).alias("resolved"))
+    first = m.groupBy("sent_id", "ent_text", "comp_name").agg(F.min("mention_id").alias("first"))
+    pairs = first.groupBy("sent_id").agg(F.sort_array(F.collect_list(F.struct("first", "ent_text", "comp_name"))).alias("pairs"))
+    s = table(spark, d, "sentences").where("sent_text IS NOT NULL").join(pairs, "sent_id")
+    return s.select("sent_id", F.aggregate("pairs", F.col("sent_text"), lambda t, x: F.replace(t, x["ent_text"], x["comp_name"])).alias("resolved"))
 
 
 @_register()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pressmill.functions.vectors import dot
 from pressmill.operators import topics
 from pressmill.operators.frames import top_n
+from pressmill.plans.lineage import cut
 from pressmill.sources.tables import table
 
 _Q: dict = {}
@@ -31,7 +32,7 @@ def _register(sql: str | None = None):
 
 def _counts(spark, d):
     s = table(spark, d, "sentences").where("top_id IS NOT NULL").select("top_id", topics.topic_words(F.col("sent_text")).alias("words"))
-    return topics.term_counts(s.where("words IS NOT NULL"), "top_id", "words")
+    return cut(topics.term_counts(s.where("words IS NOT NULL"), "top_id", "words"))  # counted once, however often it is read
 
 
 @_register(f"SELECT sent_id, len(list_filter(regexp_extract_all(lower(sent_text), '[a-zäöüß]{{2,}}'), lambda w: w NOT IN {_STOP})) AS kept FROM sentences WHERE len(list_filter(regexp_extract_all(lower(sent_text), '[a-zäöüß]{{2,}}'), lambda w: w NOT IN {_STOP})) > 0")
@@ -40,11 +41,11 @@ def r32_token_filter(spark, d):
     return s.where("w IS NOT NULL").select("sent_id", F.size("w").cast("bigint").alias("kept"))
 
 
-@_register(f"WITH {_W} SELECT DISTINCT term, CAST(dense_rank() OVER (ORDER BY term) - 1 AS BIGINT) AS idx FROM c WHERE regexp_full_match(term, '[a-z]+')")
+@_register(f"WITH {_W} SELECT DISTINCT term, CAST(dense_rank() OVER (ORDER BY term) - 1 AS BIGINT) AS idx FROM c")
 def v1_vocabulary(spark, d):
     from pressmill.operators.frames import dense_ids
 
-    terms = _counts(spark, d).where(F.col("term").rlike("^[a-z]+$")).select("term").distinct()
+    terms = _counts(spark, d).select("term").distinct()
     return dense_ids(terms, "idx", ["term"]).select("term", "idx")
 
 
@@ -98,18 +99,17 @@ def v25_top_word_shares(spark, d):
     return top_n(c, ["id"], [F.desc("n"), F.asc("term")], 5).join(total, "id").select("id", "term", F.round(F.lit(100.0) * F.col("n") / F.col("total"), 6).alias("share"))
 
 
-@_register(f"""WITH {_W}, f AS (SELECT term FROM c GROUP BY term ORDER BY sum(n) DESC, term LIMIT 60), x AS (SELECT c.* FROM c JOIN f USING (term)),
-  k AS (SELECT id, term, n / sqrt(sum(CAST(n AS DOUBLE) * n) OVER (PARTITION BY term)) AS w FROM x)
+@_register(f"""WITH {_W}, k AS (SELECT id, term, n / sqrt(sum(CAST(n AS DOUBLE) * n) OVER (PARTITION BY term)) AS w FROM c)
   SELECT a.term, b.term AS other, round(sum(a.w * b.w), 6) AS likeness FROM k a JOIN k b ON a.id = b.id AND a.term > b.term GROUP BY a.term, b.term ORDER BY 3 DESC, 1, 2 LIMIT 40""")
 def j16_term_likeness(spark, d):
     k = topics.l2_weights(_counts(spark, d).select(F.col("term").alias("id"), F.col("id").alias("term"), "n"))
     return topics.likest_terms(k.select(F.col("id").alias("term"), F.col("term").alias("id"), "w"), 40)
 
 
-@_register("""WITH s AS (SELECT sent_id, list_distinct(regexp_extract_all(lower(sent_text), '[a-z]{4,}')) AS w FROM sentences WHERE sent_text IS NOT NULL), q AS (SELECT w AS qw FROM s ORDER BY sent_id LIMIT 1)
+@_register("""WITH s AS (SELECT sent_id, list_distinct(regexp_extract_all(lower(sent_text), '[a-zäöüß]{4,}')) AS w FROM sentences WHERE sent_text IS NOT NULL), q AS (SELECT w AS qw FROM s ORDER BY sent_id LIMIT 1)
   SELECT sent_id, len(list_intersect(w, qw)) AS shared FROM s, q WHERE len(list_intersect(w, qw)) > 0""")
 def v28_one_hot_dot(spark, d):
-    s = table(spark, d, "sentences").where("sent_text IS NOT NULL").select("sent_id", F.array_distinct(F.regexp_extract_all(F.lower("sent_text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("w"))
+    s = table(spark, d, "sentences").where("sent_text IS NOT NULL").select("sent_id", F.array_distinct(F.regexp_extract_all(F.lower("sent_text"), F.lit("[a-zäöüß]{4,}"), F.lit(0))).alias("w"))
     q = s.orderBy("sent_id").limit(1).select(F.col("w").alias("qw"))
     return s.join(F.broadcast(q)).select("sent_id", F.size(F.array_intersect("w", "qw")).cast("bigint").alias("shared")).where("shared > 0")
 
@@ -142,7 +142,7 @@ def v3_l2_scaled_vectors(spark, d):
     return _long(spark, d, "l2")
 
 
-@_register(f"WITH {_E} SELECT vec_id, CAST(k AS INTEGER) AS k, round(percent_rank() OVER (PARTITION BY k ORDER BY v), 6) AS v FROM e WHERE k < 4")
+@_register(f"WITH {_E} SELECT vec_id, CAST(k AS INTEGER) AS k, round(percent_rank() OVER (PARTITION BY k ORDER BY v), 6) AS v FROM e")
 def v7_percent_rank(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("k", "v")).select("vec_id", "k", F.col("v").cast("double").alias("v"))
     return e.select("vec_id", "k", F.round(F.percent_rank().over(Window.partitionBy("k").orderBy("v")), 6).alias("v"))

@@ -163,10 +163,10 @@ def test_text_functions(spark):
 
 
 def test_pattern_builders():
-    assert text.any_of(["a.b", "abc"]) == r"(?:a\.b|abc)"
-    assert text.any_of(["a", "b"], in_list=True) == "[ab]+"
-    assert text.any_of(["ab", "cd"], as_group=True, as_words=True) == r"(\b(?:ab|cd)\b)"
-    assert text.any_of(["ab", "cd"], must_contain=["c"]) == "(?:cd)"
+    assert text.Words(["a.b", "abc"]).pattern() == r"(?:a\.b|abc)"
+    assert text.Words(["a", "b"]).letters() == "[ab]+"
+    assert text.captured(text.Words(["ab", "cd"]).bounded()) == r"(\b(?:ab|cd)\b)"
+    assert text.Words(["ab", "cd"]).having("c").pattern() == "(?:cd)"
     with pytest.raises(ValueError):
         text.cut_around()
     assert "^.{0,500}?X" in text.cut_around("X")

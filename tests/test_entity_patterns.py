@@ -46,3 +46,19 @@ def test_all_names_and_empty_terms():
     assert len(make_patterns([("A", ["Saldor"], "AG"), ("B", [], None)], LEX)) == 1
     with pytest.raises(ValueError):
         make_pattern([], "AG", LEX)
+
+
+def test_patterns_applied_to_texts(spark):
+    """As if each pattern was sought in each text by itself."""
+    from pressmill.operators import spans
+
+    names = [("A", ["ABIONYX", "Pharma"], "SA"), ("B", ["ABL", "Group"], "ASA"), ("C", ["Saldor"], None), ("D", ["Real", "Estate", "Wind"], None), ("E", ["SALDOR", "Bank"], "AG")]
+    rows = [(s, t[0].lower(), x, y) for (s, t, _), (_, x, y) in zip(names, make_patterns(names, LEX))]
+    texts = [(1, "Die Abionyx pharma SA kauft ABIONYX und ABL Group ASA in Ulm. Saldor Saldor fiel, SALDOR Bank AG stieg"), (2, "Der ABL-Chef und die Saldor-Aktie; xSaldor-Y"), (3, None), (4, ""), (5, "Real Estate Wind " * 500), (5, "Real Estate Wind " * 500)]
+    df = spark.createDataFrame([(*r, "x") for r in texts], "art_id bigint, art_text string, key string")
+    patterns = spark.createDataFrame([*rows, (None, "x", "x", "x"), ("F", None, "x", "x")], "symbol string, anchor string, in_text string, in_word string")
+    got = sorted((r["id"], r["key"], r["start"], r["end"]) for r in spans.match_patterns(df, patterns, "art_id", "art_text", "symbol", "anchor", "in_text").collect())
+    assert got == sorted((i, s, m.start(), m.end()) for i, t in texts for s, _, p, _ in rows for m in re.finditer(p, t or ""))
+    words = {(r["id"], r["key"], texts[r["id"] - 1][1][r["start"] : r["end"]]) for r in spans.match_patterns(df, patterns, "art_id", "art_text", "symbol", "anchor", "in_word", within_word=True, block=60).collect()}
+    assert words == {(2, "B", "ABL-Chef"), (2, "C", "Saldor-Aktie"), (2, "E", "Saldor-Aktie")}
+    assert spans.match_patterns(df, patterns.limit(0), "art_id", "art_text", "symbol", "anchor", "in_text").count() == 0
