@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pressmill.functions import patterns, text
-from pressmill.operators import providers, spans
+from pressmill.operators import providers, references, spans
 from pressmill.sources.tables import table
 
 _Q: dict = {}
@@ -128,6 +128,31 @@ def r9_coref_heads(spark, d):
     return c.join(h, (c["art_id"] == h["art_id"]) & (F.col("h_end") <= F.col("start_char")), "left").groupBy("mention_id").agg(F.count("h").alias("heads"))
 
 
+def _reference_tables(spark, d):
+    """Texts, company spans and clusters; the mentions of a company in an article are a cluster, the first its head."""
+    texts = table(spark, d, "articles").where("art_text IS NOT NULL").select(F.col("art_id").alias("doc_id"), F.col("art_text").alias("text")).distinct()
+    m = table(spark, d, "mentions").where("comp_symbol IS NOT NULL AND start_char < end_char").select(F.col("art_id").alias("doc_id"), F.col("start_char").alias("start"), F.col("end_char").alias("end"), "ent_text", "comp_symbol", "comp_name", "set_in").distinct()
+    one = m.groupBy("doc_id", "comp_symbol").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("c"))
+    return texts, m.where("NOT contains(coalesce(set_in, ''), 'coref')"), one.groupBy("doc_id").agg(F.collect_list("c").alias("clusters"))
+
+
+@_register("""WITH a AS (SELECT DISTINCT art_id, art_text FROM articles WHERE art_text IS NOT NULL), m AS (SELECT DISTINCT art_id, start_char, end_char, comp_symbol, comp_name, coalesce(set_in, '') AS set_in FROM mentions WHERE comp_symbol IS NOT NULL AND start_char < end_char),
+  i AS (SELECT DISTINCT m.art_id, m.comp_symbol AS c, m.start_char, m.end_char, substr(a.art_text, m.start_char + 1, m.end_char - m.start_char) AS t FROM m JOIN a USING (art_id)),
+  w AS (SELECT *, list_filter(regexp_split_to_array(lower(t), '\s+'), lambda x: x <> '') AS words FROM i), h AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY art_id, c ORDER BY start_char, end_char) = 1),
+  e AS (SELECT DISTINCT h.art_id, h.c, m.comp_symbol, m.comp_name FROM h JOIN m ON m.art_id = h.art_id AND m.start_char < h.end_char AND m.end_char > h.start_char WHERE NOT contains(m.set_in, 'coref') AND len(h.words) <= 6)
+  SELECT DISTINCT w.art_id, w.start_char AS start, w.end_char AS "end", w.t AS text, e.comp_symbol, e.comp_name FROM w JOIN e ON e.art_id = w.art_id AND e.c = w.c WHERE NOT list_has_any(w.words, ['er','unserer','uns','unsere','wir','unseren','unser'])""")
+def r9_spread_references(spark, d):
+    """Clusters whose head touches a company's span are spread to all their mentions."""
+    return references.spread(*_reference_tables(spark, d)).select(F.col("doc_id").alias("art_id"), "start", "end", "text", "comp_symbol", "comp_name")
+
+
+@_register()
+def r10_model_references(spark, d):
+    """One request an article to a provider, here the stand-in; its quotations located and joined to their companies."""
+    texts, entities, _ = _reference_tables(spark, d)
+    return references.model_references(texts, entities, references.FirstWords).select(F.col("doc_id").alias("art_id"), "start", "end", "text", "label", "comp_symbol", "comp_name")
+
+
 @_register("SELECT DISTINCT m.mention_id, c.symbol FROM mentions m JOIN companies c ON m.ent_text = c.name")
 def r7_attach_by_name(spark, d):
     m = table(spark, d, "mentions").select("mention_id", F.col("ent_text").alias("name")).distinct()
