@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -18,6 +19,41 @@ class TopicProvider(Protocol):
         """Topic of each row id; ids that are missing were not understood."""
 
 
+class NameProvider(Protocol):
+    def names(self, text: str) -> list[tuple[int, int]]:
+        """(start, end) of what looks like the name of an organisation."""
+
+
+class CapitalNames:
+    """A stand-in: runs of two words or more that begin with a capital."""
+
+    _RUN = re.compile(r"[^\W\d_a-zß-ÿ][\w.&-]*(?:[ ](?:&[ ])?[^\W\d_a-zß-ÿ][\w.&-]*)+")
+
+    def names(self, text: str) -> list[tuple[int, int]]:
+        return [m.span() for m in self._RUN.finditer(text)]
+
+
+def find_names(texts: DataFrame, make: Callable[[], NameProvider]) -> DataFrame:
+    """(doc_id, start, end, name) of the spans a provider finds in texts (doc_id, text); one that fails twice finds none. One provider a task."""
+    src = texts.where(F.col("text").isNotNull()).select("doc_id", "text")
+    kind = src.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        provider = make()
+        for b in batches:
+            rows = []
+            for i, t in enumerate(b.column(1).to_pylist()):
+                for _ in (0, 1):
+                    try:
+                        rows += [(i, a, z, t[a:z]) for a, z in provider.names(t) if 0 <= a < z <= len(t)]
+                        break
+                    except Exception:  # noqa: BLE001
+                        continue
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([r[0] for r in rows], pa.int32())), *(pa.array([r[k] for r in rows], pa.int32()) for k in (1, 2)), pa.array([r[3] for r in rows], pa.string())], ["doc_id", "start", "end", "name"])
+
+    return src.mapInArrow(run, f"doc_id {kind}, start int, end int, name string")
+
+
 class KeywordTopics:
     """A stand-in: the first topic of which the sentence holds a word."""
 

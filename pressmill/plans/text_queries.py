@@ -281,6 +281,13 @@ def rx_cleaned_articles(spark, d):
     return table(spark, d, "articles").where("art_text IS NOT NULL").select("art_id", patterns.cleaned(F.col("art_text")).alias("pp_art_text")).distinct()
 
 
+@_register()
+def r1_sentences(spark, d):
+    """Sentences of every article by the rule splitter of the core."""
+    a = table(spark, d, "articles").where("art_id IS NOT NULL AND art_text IS NOT NULL").select("art_id", "art_text").distinct()
+    return a.select("art_id", F.posexplode(text.sentences(F.col("art_text"))).alias("pos", "sentence"))
+
+
 @_register("SELECT art_id, CAST(len(regexp_extract_all(art_text, '[^.!?]+[.!?]*')) AS BIGINT) AS pieces FROM (SELECT DISTINCT art_id, art_text FROM articles) WHERE length(art_text) > 0")
 def r29_plain_sentence_split(spark, d):
     """The split that knows only terminators, for comparison with ``p7_found``."""

@@ -238,12 +238,42 @@ def test_providers(spark):
     assert got == sorted([(5, "topic15"), (6, None), (5, "topic17"), (None, "topic14")], key=str)
 
 
-def test_pipeline_presets():
+def test_pipeline_presets(spark):
     assert pipeline.build_pipeline("BASIC") == ["sentences"]
     assert "clusters" in pipeline.build_pipeline("ALL", "TRADITIONAL", "PRETRAINED")
     for bad in (("NER",), ("ALL", "TRADITIONAL"), ("NER", "GENERATIVE_LLM"), ("X",), ("ALL", "TRADITIONAL", "TRADITIONAL")):
         with pytest.raises(ValueError):
             pipeline.build_pipeline(*bad)
+    with pytest.raises(ValueError, match="patterns"):
+        pipeline.run_pipeline(spark.createDataFrame([], "art_id bigint, art_text string"), pipeline.build_pipeline("NER", "TRADITIONAL"), pipeline.Inputs())
+
+
+def test_every_preset_runs(spark):
+    from pressmill.functions.entity_patterns import Lexicons, make_patterns
+    from pressmill.operators import references
+
+    body = "Saldor Werke AG wuchs um 3,5 Prozent; der Konzern stieg. Dr. Meier lobte Saldor Werke AG sehr."
+    docs = spark.createDataFrame([(1, body, "x"), (1, body, "x"), (2, None, "x"), (3, "", "x"), (None, body, "x")], "art_id bigint, art_text string, text string")
+    companies = spark.createDataFrame([("S.DE", "Saldor Werke AG")], "symbol string, name string")
+    patterns = spark.createDataFrame([(s, "saldor", x, y) for s, x, y in make_patterns([("S.DE", ["Saldor", "Werke"], "AG")], Lexicons())], "symbol string, anchor string, in_text string, in_word string")
+    at = body.index("der Konzern")
+    clusters = spark.createDataFrame([(1, [[(0, 15), (at, at + 11), (5, 20)]])], "doc_id bigint, clusters array<array<struct<start:int,end:int>>>")
+    inputs = pipeline.Inputs(patterns, companies, clusters, providers.CapitalNames, references.FirstWords)
+    got = {}
+    for task, ner, coref in (("BASIC", None, None), ("NER", "TRADITIONAL", None), ("NER", "PRETRAINED", None), ("ALL", "TRADITIONAL", "PRETRAINED"), ("COREF", "PRETRAINED", "GENERATIVE_LLM")):
+        state = pipeline.run_pipeline(docs, pipeline.build_pipeline(task, ner, coref), inputs)
+        got[task, ner, coref] = None if state.accepted is None else {(body[r["start"] : r["end"]], r["symbol"], r["label"]) for r in state.accepted.collect()}
+    assert [r["sentence"] for r in state.sentences.orderBy("pos").collect()] == [body[: body.index(" Dr.")], body[body.index("Dr.") :]]
+    both = {("Saldor Werke AG", "S.DE", "OWN-REGEX")}
+    assert got["BASIC", None, None] is None and got["NER", "TRADITIONAL", None] == both
+    assert got["NER", "PRETRAINED", None] == {("Saldor Werke AG", "S.DE", "ORG")} == got["COREF", "PRETRAINED", "GENERATIVE_LLM"]
+    assert got["ALL", "TRADITIONAL", "PRETRAINED"] == both | {("der Konzern", "S.DE", "XX-COREF")}
+
+
+def test_sentences(spark):
+    body = "Am 3. Mai kam Dr. A. Kohl, z.B. nach Ulm. „Gut!“ Er ging: Dann; So. 12 Leute\n\nEnde"
+    got = spark.createDataFrame([(body,), (None,), ("",)], "t string").select(text.sentences(F.col("t")).alias("s")).collect()
+    assert got[0]["s"] == ["Am 3. Mai kam Dr. A. Kohl, z.B. nach Ulm.", "„Gut!“", "Er ging: Dann; So.", "12 Leute", "Ende"] and got[1]["s"] is None and got[2]["s"] == []
 
 
 def test_ontology(spark):
