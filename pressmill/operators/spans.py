@@ -217,6 +217,15 @@ def indel_ratio(a: str, b: str) -> float:
     return 200.0 * int(row[-1]) / (len(a) + len(b))
 
 
+def partial_ratio(a: str, b: str) -> float:
+    """The best ratio of the shorter string with a piece of the longer one of its length, also cut off at its ends; an empty one is like another empty one only."""
+    short, long = sorted((a, b), key=len)
+    if not short:
+        return 100.0 if not long else 0.0
+    n = len(short)
+    return max(indel_ratio(short, long[max(0, i) : i + n]) for i in range(1 - n, len(long)))
+
+
 def fuzzy_best(values: DataFrame, names: DataFrame, value_col: str, key_col: str, name_col: str, least: float = 90.0) -> DataFrame:
     """(value, key, ratio): the listed name most like each distinct value, above ``least``.
 

@@ -187,16 +187,70 @@ def kernel_pca(df: DataFrame, id_col: str, column: str, k: int, landmarks: int =
     return u.select("id", F.array(*parts).alias("reduced"))
 
 
-def nmf(weights: DataFrame, topics: int, steps: int = 20, seed: int = 7) -> DataFrame:
-    """(term, topic, w): non-negative factors of the (id, term, w) matrix by alternating least squares; the matrix stays distributed."""
-    from pyspark.ml.feature import StringIndexer
-    from pyspark.ml.recommendation import ALS
-
-    index = StringIndexer(inputCol="term", outputCol="_t", stringOrderType="alphabetAsc").fit(weights)
-    rated = index.transform(weights).select(F.col("id").cast("int").alias("user"), F.col("_t").cast("int").alias("item"), F.col("w").cast("float").alias("rating"), "term")
-    model = ALS(rank=topics, maxIter=steps, regParam=0.01, nonnegative=True, implicitPrefs=False, userCol="user", itemCol="item", ratingCol="rating", seed=seed).fit(rated)
-    names = rated.select("item", "term").distinct()
-    return model.itemFactors.join(names, F.col("id") == F.col("item")).select("term", F.posexplode("features").alias("topic", "w"))
+def nmf(weights: DataFrame, topics: int, steps: int = 20, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+    """(id, factors) and (term, factors): non-negative factors of the whole (id, term, w) matrix, its zeros included.
+
+    Multiplicative updates of the squared error; only the cells above 0 are joined, what the zeros weigh is in
+    the products of the factors with themselves, of the size of the topics squared. Starts from a hash of ids and
+    terms, so that each run gives the same. Both factors are cut to the shared folder after every step.
+    """
+    from pressmill.plans.lineage import cut
+
+    names = [f"_f{j}" for j in range(topics)]
+
+    def start(key: str, salt: int) -> DataFrame:
+        value = lambda j: 0.1 + F.pmod(F.xxhash64(key, F.lit(seed + salt + j)), F.lit(1000)) / 1000.0
+        return cut(weights.select(key).distinct().select(key, *[value(j).alias(n) for j, n in enumerate(names)]))
+
+    def step(mine: DataFrame, other: DataFrame, key: str, by: str) -> DataFrame:
+        square = other.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"{a}{b}") for a in names for b in names]).first()
+        upper = weights.join(other, by).groupBy(key).agg(*[F.sum(F.col("w") * F.col(n)).alias(f"u{n}") for n in names])
+        lower = lambda n: sum((F.col(m) * float(square[f"{m}{n}"] or 0.0) for m in names), F.lit(1e-12))
+        return cut(mine.join(upper, key).select(key, *[(F.col(n) * F.col(f"u{n}") / lower(n)).alias(n) for n in names]))
+
+    left, right = start("id", 0), start("term", topics)
+    for _ in range(steps):
+        right = step(right, left, "term", "id")
+        left = step(left, right, "id", "term")
+    packed = lambda df, key: df.select(key, F.array(*names).alias("factors"))
+    return packed(left, "id"), packed(right, "term")
+
+
+def save_model(model, folder: str) -> None:
+    """A fitted model or pipeline, written over what is there."""
+    model.write().overwrite().save(folder)
+
+
+def load_model(spark, folder: str):
+    """The model that ``save_model`` wrote, of whatever class."""
+    from pyspark.ml.util import DefaultParamsReader
+
+    return DefaultParamsReader.loadParamsInstance(folder, spark)
+
+
+def apply_model(model, df: DataFrame, column: str, vector_col: str = "_v") -> DataFrame:
+    """New rows through a fitted model that reads ``vector_col``; rows with a null in ``column`` come out with nulls."""
+    made = model.transform(df.where(F.col(column).isNotNull()).withColumn(vector_col, array_to_vector(column))).drop(vector_col)
+    return made.unionByName(df.where(F.col(column).isNull()), allowMissingColumns=True)
+
+
+def lda_by_size(counts_vector: DataFrame, column: str, sizes: Iterable[int], seed: int = 7, steps: int = 20) -> list[tuple[int, float, float]]:
+    """(topics, log likelihood, log perplexity) of a model of each size, over all rows."""
+    out = []
+    for k in sizes:
+        model = lda(counts_vector, column, k, seed, steps)
+        out.append((k, model.logLikelihood(counts_vector), model.logPerplexity(counts_vector)))
+    return out
+
+
+def coherence(docs: DataFrame, words_col: str, top_words: DataFrame, id_col: str = "id") -> DataFrame:
+    """(topic, coherence) of ``top_words`` (topic, rank, word): the sum of ln((documents with both words + 1) / documents with the higher ranked one)."""
+    held = docs.select(F.col(id_col).alias("_id"), F.explode(F.array_distinct(words_col)).alias("word")).join(top_words.select("word").distinct(), "word")
+    single = held.groupBy("word").agg(F.count("*").alias("df"))
+    pairs = held.join(held.withColumnRenamed("word", "other"), "_id").where("word <> other").groupBy("word", "other").agg(F.count("*").alias("both"))
+    hi, lo = top_words.select("topic", "word", F.col("rank").alias("hi")), top_words.select("topic", F.col("word").alias("other"), F.col("rank").alias("lo"))
+    scored = hi.join(lo, "topic").where("hi < lo").join(single, "word").join(pairs, ["word", "other"], "left")
+    return scored.groupBy("topic").agg(F.sum(F.log((F.coalesce("both", F.lit(0)) + 1) / F.col("df"))).alias("coherence"))
 
 
 def lda(counts_vector: DataFrame, column: str, k: int, seed: int = 7, steps: int = 20):

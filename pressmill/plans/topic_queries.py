@@ -171,10 +171,28 @@ def v11_singular_values(spark, d):
 
 @_register()
 def v14_nmf(spark, d):
-    c = _counts(spark, d)
-    ids = c.select("id").distinct().withColumn("n_id", F.regexp_extract("id", r"\d+", 0).cast("int"))
-    w = topics.l2_weights(c).join(ids, "id").select(F.col("n_id").alias("id"), "term", "w")
-    return topics.nmf(w, 5, steps=5)
+    _, terms = topics.nmf(topics.l2_weights(_counts(spark, d)), 5, steps=5)
+    return terms.select("term", F.posexplode("factors").alias("topic", "w"))
+
+
+@_register(f"""WITH {_W}, l2 AS (SELECT id, term, n / sqrt(sum(CAST(n AS DOUBLE) * n) OVER (PARTITION BY id)) AS w FROM c), t AS (SELECT id AS topic, term AS word, row_number() OVER (PARTITION BY id ORDER BY round(w, 8) DESC, term) AS rank FROM l2 QUALIFY rank <= 5),
+  s AS (SELECT sent_id, list_distinct(list_filter(regexp_extract_all(lower(sent_text), '[a-zäöüß]{{2,}}'), lambda w: w NOT IN {_STOP})) AS ws FROM sentences WHERE sent_text IS NOT NULL),
+  h AS (SELECT DISTINCT sent_id, word FROM (SELECT sent_id, unnest(ws) AS word FROM s) WHERE word IN (SELECT word FROM t)), f AS (SELECT word, count(*) AS df FROM h GROUP BY word),
+  p AS (SELECT a.word, b.word AS other, count(*) AS n FROM h a JOIN h b ON a.sent_id = b.sent_id AND a.word <> b.word GROUP BY ALL)
+  SELECT x.topic, round(sum(ln((coalesce(p.n, 0) + 1.0) / f.df)), 6) AS coherence FROM t x JOIN t y ON x.topic = y.topic AND x.rank < y.rank JOIN f ON f.word = x.word LEFT JOIN p ON p.word = x.word AND p.other = y.word GROUP BY x.topic""")
+def v26_coherence(spark, d):
+    w = topics.l2_weights(_counts(spark, d)).select("id", "term", F.round("w", 8).alias("w"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("w"), "term"))
+    top = w.withColumn("rank", rank).where("rank <= 5").select(F.col("id").alias("topic"), "rank", F.col("term").alias("word"))
+    docs = table(spark, d, "sentences").select("sent_id", topics.topic_words(F.col("sent_text")).alias("words")).where("words IS NOT NULL")
+    return topics.coherence(docs, "words", top, "sent_id").select("topic", F.round("coherence", 6).alias("coherence"))
+
+
+@_register()
+def v26_perplexity(spark, d):
+    docs = table(spark, d, "sentences").select("sent_id", topics.topic_words(F.col("sent_text")).alias("words")).where("words IS NOT NULL")
+    counts = topics.bag_of_words(spark, topics.vocabulary(docs, "words", 20), "words", "v").transform(docs)
+    return spark.createDataFrame(topics.lda_by_size(counts, "v", (3, 5), steps=5), "topics int, log_likelihood double, log_perplexity double")
 
 
 @_register()
