@@ -138,7 +138,7 @@ def _reference_tables(spark, d):
 
 @_register("""WITH a AS (SELECT DISTINCT art_id, art_text FROM articles WHERE art_text IS NOT NULL), m AS (SELECT DISTINCT art_id, start_char, end_char, comp_symbol, comp_name, coalesce(set_in, '') AS set_in FROM mentions WHERE comp_symbol IS NOT NULL AND start_char < end_char),
   i AS (SELECT DISTINCT m.art_id, m.comp_symbol AS c, m.start_char, m.end_char, substr(a.art_text, m.start_char + 1, m.end_char - m.start_char) AS t FROM m JOIN a USING (art_id)),
-  w AS (SELECT *, list_filter(regexp_split_to_array(lower(t), '\s+'), lambda x: x <> '') AS words FROM i), h AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY art_id, c ORDER BY start_char, end_char) = 1),
+  w AS (SELECT *, list_filter(regexp_split_to_array(lower(t), '\\s+'), lambda x: x <> '') AS words FROM i), h AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY art_id, c ORDER BY start_char, end_char) = 1),
   e AS (SELECT DISTINCT h.art_id, h.c, m.comp_symbol, m.comp_name FROM h JOIN m ON m.art_id = h.art_id AND m.start_char < h.end_char AND m.end_char > h.start_char WHERE NOT contains(m.set_in, 'coref') AND len(h.words) <= 6)
   SELECT DISTINCT w.art_id, w.start_char AS start, w.end_char AS "end", w.t AS text, e.comp_symbol, e.comp_name FROM w JOIN e ON e.art_id = w.art_id AND e.c = w.c WHERE NOT list_has_any(w.words, ['er','unserer','uns','unsere','wir','unseren','unser'])""")
 def r9_spread_references(spark, d):
