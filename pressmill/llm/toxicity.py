@@ -37,7 +37,7 @@ from pressmill.plans.lineage import cut
 CATEGORIES = ("abuse", "hate", "sexual")
 LABELS = ("none", *CATEGORIES)
 #: Rows of the fit, at most: reviewed ones and background passages, and the characters of a passage.
-SAMPLE, OTHERS, PASSAGE = 20_000, 8_000, 400
+SAMPLE, OTHERS, PASSAGE = 20_000, 6_000, 400
 LEAST = 0.5
 
 #: Public words and phrases with their category, labelled like reviewed rows; ``|`` parts phrases. A parameter of ``fit_reviewed``.
@@ -295,7 +295,7 @@ def forward_backward(emit: np.ndarray, lens: np.ndarray, moves: np.ndarray, scal
 
 
 #: Gradient steps, their rate, the weight of the data against the penalty, passages in a chain.
-_STEPS, _RATE, _DATA, _PENALTY, _STRING = 300, 0.3, 20.0, 5e-7, 2
+_STEPS, _RATE, _DATA, _PENALTY, _STRING = 260, 0.3, 20.0, 5e-7, 2
 
 
 def fit_field(rows: list[tuple[str, str]], lexis: Lexis) -> Field:
