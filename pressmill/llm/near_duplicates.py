@@ -12,13 +12,14 @@ retained and verified on all their pieces. The minimum is guaranteed, no pair is
 The order is rare first. How many texts have which bytes is counted over all texts in
 SLOTS counters, whatever the size of the corpus; any order is right, this one keeps
 posting lists short. The index lies in buckets of about BUCKET postings; positional
-bytes that many texts have are split over several of them. Copies of a text are one class:
+bytes that many texts have are split over several of them. Postings travel in blocks of
+FLUSH, so that a row holds many of them however many buckets there are, and a bucket is
+tallied text by text, at most _MET meetings at a time. Copies of a text are one class:
 index and verification see one text of each class.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -42,8 +43,9 @@ _CHUNK = 400_000
 _BITS = np.uint64(48)  # of a piece's hash; the rest numbers the texts of a chunk
 _TIERS = 64  # of a posting's place in the order, told apart; roles beside it
 _ONLY_SMALLER, _ONLY_LARGER = 64, 128
-_POSTING = np.dtype([("low", "<u4"), ("high", "<u2"), ("tier", "u1")])
-_MET = 3_000_000  # meetings of texts held before they are added up
+_MET = 1_000_000  # meetings of texts held before they are added up
+FLUSH = 1_000_000  # postings that a task gathers before it writes them by bucket
+_MEMO = 4_000_000  # pieces of texts kept while pairs are verified
 
 
 def letters_only(text_col) -> F.Column:
@@ -87,7 +89,8 @@ def _census(reps: DataFrame) -> np.ndarray:
         total = np.zeros(SLOTS, np.int64)
         for b in batches:
             texts = b.column(0).to_pylist()
-            total += np.bincount(np.concatenate([_slot(distinct_pieces(texts[a:z])[1]) for a, z in chunks(texts)]), minlength=SLOTS)
+            for a, z in chunks(texts):
+                total += np.bincount(_slot(distinct_pieces(texts[a:z])[1]), minlength=SLOTS)
         n = SLOTS // _SLICE
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(n), pa.int32()), pa.ListArray.from_arrays(pa.array(np.arange(0, SLOTS + 1, _SLICE), pa.int32()), pa.array(total))], ["slice", "counts"])
 
@@ -121,131 +124,166 @@ def posted(n: np.ndarray, least: float) -> np.ndarray:
     return np.minimum(n - (-(-n * t.numerator // t.denominator)) + tally_least(n), n)
 
 
-def _postings(reps: DataFrame, least: float, counts: np.ndarray, hot: int, buckets: int) -> DataFrame:
-    """(bucket, rep, n, posts): the rarest positional bytes of each text with their tier in its order, by bucket."""
-    kind = reps.schema["rep"].dataType.simpleString()
+def _planes(x: np.ndarray) -> bytes:
+    """First bytes of all numbers, then the second ones and so on; high ones are mostly zero and cost nothing when compressed."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def _numbers(raw: memoryview, kind: str, count: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(-1, count).T).reshape(-1).view(kind)
+
+
+def _pack(no: np.ndarray, n: np.ndarray, posts: np.ndarray, key: np.ndarray, tier: np.ndarray) -> bytes:
+    """A block of postings: of its texts the number, pieces and postings, then the postings text by text."""
+    head = np.array([len(no), len(key)], "<u4").tobytes()
+    return b"".join([head, _planes(np.diff(no, prepend=0).astype("<i8")), _planes(n.astype("<u4")), _planes(posts.astype("<u4")), key.astype("<u4").tobytes(), tier.tobytes()])
+
+
+def _unpack(raw: memoryview) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    m, p = np.frombuffer(raw[:8], "<u4").tolist()
+    ends = np.cumsum([8, 8 * m, 4 * m, 4 * m, 4 * p, p]).tolist()
+    no, n, posts = (_numbers(raw[a:z], kind, m).astype(np.int64) for a, z, kind in zip(ends, ends[1:4], ("<i8", "<u4", "<u4")))
+    return np.cumsum(no), n, posts, np.frombuffer(raw[ends[3] : ends[4]], "<u4"), np.frombuffer(raw[ends[4] : ends[5]], np.uint8)
+
+
+def _postings(reps: DataFrame, least: float, counts: np.ndarray, hot: int, buckets: int, flush: int = FLUSH) -> DataFrame:
+    """(bucket, block): the rarest positional bytes of each text with their tier in its order, by bucket; a row holds those of many texts."""
     spread = np.minimum(1 + np.maximum(0, counts - 2 * int(np.median(counts))) // hot, buckets)
     rank = np.minimum(255, np.log2(1 + counts) * 6).astype(np.uint8)
     shared = reps.sparkSession.sparkContext.broadcast((rank, spread.astype(np.int32) if (spread > 1).any() else None))
 
-    def make():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, spread = shared.value
 
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = batch.column(1).to_pylist()
-            owner, size, bucket, packed = [], [], [], []
+        def post(texts: list[str]) -> tuple[np.ndarray, ...]:
+            """(n) of the texts and (text, bucket, key, tier) of their postings."""
+            doc, piece = distinct_pieces(texts)
+            n = np.bincount(doc, minlength=len(texts))
+            # rare first, a number below the piece's slot, then the piece
+            order = np.lexsort((rank[_slot(piece)].astype(np.uint64) << _BITS | piece, doc)) if len(piece) else np.empty(0, np.int64)
+            at = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
+            keep = at < np.repeat(posted(n, least), n)
+            take, of = order[keep], doc[keep]
+            key, tier = piece[take], (at[keep] * _TIERS // n[of]).astype(np.uint8)
+            home = (mix(key) >> np.uint64(33)) % np.uint64(buckets)
+            if spread is not None and (many := spread[_slot(key)]).max(initial=1) > 1:
+                # a frequent one: as that of the larger text in one bucket of several, as that of the smaller in each of them
+                own = (key + of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+                split = many > 1
+                again = np.repeat(np.flatnonzero(split), many[split])
+                turn = np.arange(len(again)) - np.repeat(np.cumsum(many[split]) - many[split], many[split])
+                place = np.where(split, (home + own % many.astype(np.uint64)) % np.uint64(buckets), home)
+                tier = np.where(split, tier | _ONLY_LARGER, tier)
+                home = np.concatenate([place, (home[again] + turn.astype(np.uint64)) % np.uint64(buckets)])
+                tier = np.concatenate([tier, tier[again] & (_TIERS - 1) | _ONLY_SMALLER]).astype(np.uint8)
+                key, of = np.concatenate([key, key[again]]), np.concatenate([of, of[again]])
+            # what tells bytes apart in a bucket: equal bytes have equal keys, others nearly never, and a pair is verified on all its pieces
+            return n, of, home.astype(np.int32), (key & np.uint64(0xFFFFFFFF)).astype(np.uint32), tier
+
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def blocks() -> pa.RecordBatch:
+            begin = np.cumsum([0, *(len(x[0]) for x in held)])
+            no, n, of = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), np.concatenate([x[2] + b for x, b in zip(held, begin)])
+            home, key, tier = (np.concatenate([x[k] for x in held]) for k in (3, 4, 5))
+            s = np.argsort(home.astype(np.int64) * len(n) + of)
+            home, of, key, tier = home[s], of[s], key[s], tier[s]
+            first = np.flatnonzero(np.r_[True, home[1:] != home[:-1]])
+            rows = []
+            for a, z in zip(first.tolist(), [*first[1:].tolist(), len(home)]):
+                at = np.flatnonzero(np.r_[True, of[a + 1 : z] != of[a : z - 1]])
+                text = of[a:z][at]
+                rows.append(_pack(no[text], n[text], np.diff(np.r_[at, z - a]), key[a:z], tier[a:z]))
+            return pa.RecordBatch.from_arrays([pa.array(home[first], pa.int32()), pa.array(rows, pa.binary())], ["bucket", "block"])
+
+        for batch in batches:
+            nos, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             for a, z in chunks(texts):
-                doc, piece = distinct_pieces(texts[a:z])
-                n = np.bincount(doc, minlength=z - a)
-                # rare first, a number below the piece's slot, then the piece
-                order = np.lexsort((rank[_slot(piece)].astype(np.uint64) << _BITS | piece, doc)) if len(piece) else np.empty(0, np.int64)
-                at = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
-                keep = at < np.repeat(posted(n, least), n)
-                take, of = order[keep], doc[keep]
-                key, tier = piece[take], (at[keep] * _TIERS // n[of]).astype(np.uint8)
-                home = (key >> np.uint64(20)) % np.uint64(buckets)
-                if spread is not None and (many := spread[_slot(key)]).max(initial=1) > 1:
-                    # a frequent one: as that of the larger text in one bucket of several, as that of the smaller in each of them
-                    own = (key + of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-                    split = many > 1
-                    again = np.repeat(np.flatnonzero(split), many[split])
-                    turn = np.arange(len(again)) - np.repeat(np.cumsum(many[split]) - many[split], many[split])
-                    place = np.where(split, (home + own % many.astype(np.uint64)) % np.uint64(buckets), home)
-                    tier = np.where(split, tier | _ONLY_LARGER, tier)
-                    home = np.concatenate([place, (home[again] + turn.astype(np.uint64)) % np.uint64(buckets)])
-                    tier = np.concatenate([tier, tier[again] & (_TIERS - 1) | _ONLY_SMALLER]).astype(np.uint8)
-                    key, of = np.concatenate([key, key[again]]), np.concatenate([of, of[again]])
-                order = np.argsort(of * buckets + home.astype(np.int64), kind="stable")
-                cell = (of * buckets + home.astype(np.int64))[order]
-                first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.empty(0, np.int64)
-                posts = np.empty(len(order), _POSTING)
-                posts["low"], posts["high"], posts["tier"] = key[order] & np.uint64(0xFFFFFFFF), key[order] >> np.uint64(32), tier[order]
-                raw, ends = posts.tobytes(), np.r_[first[1:], len(cell)] if len(cell) else first
-                packed += [raw[x * _POSTING.itemsize : y * _POSTING.itemsize] for x, y in zip(first.tolist(), ends.tolist())]
-                owner.append(a + cell[first] // buckets)
-                bucket.append(cell[first] % buckets)
-                size.append(n[cell[first] // buckets])
-            join = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(join(bucket), pa.int32()), batch.column(0).take(pa.array(join(owner), pa.int64())), pa.array(join(size), pa.int32()), pa.array(packed, pa.binary())], ["bucket", "rep", "n", "posts"])
+                held.append((nos[a:z], *post(texts[a:z])))
+                size += len(held[-1][2])
+                if size >= flush:
+                    yield blocks()
+                    held, size = [], 0
+        if size:
+            yield blocks()
 
-        return step
+    return reps.select("no", "t").mapInArrow(run, "bucket int, block binary")
 
-    return map_batches(reps.select("rep", "t"), make, f"bucket int, rep {kind}, n int, posts binary")
 
+def meetings(key: np.ndarray, tier: np.ndarray, text: np.ndarray, n: np.ndarray, order: np.ndarray, least: float, most: int = _MET) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(smaller, larger text) for each posting that two texts share and may count by its place in both; ``order`` ranks texts by n.
 
-def meetings(key: np.ndarray, tier: np.ndarray, text: np.ndarray, n: np.ndarray, order: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(smaller, larger text) for each posting that two texts share and may count by its place in both; ``order`` ranks texts by n."""
-    s = np.lexsort((order[text], key))
-    key, tier, text = key[s], tier[s], text[s]
-    many, place, share = n[text], (tier & (_TIERS - 1)) / _TIERS, least / (1 + least)
-    i, d = np.arange(len(key) - 1), 1
-    while len(i):
-        i = i[i + d < len(key)]
-        j = i + d
-        near = (key[i] == key[j]) & (many[i] >= least * many[j])
-        i, j = i[near], j[near]
-        bound = tally_least(many[i]) - share * (many[i] + many[j]) + 1
-        ok = (place[i] * many[i] < many[i] + bound) & (place[j] * many[j] < many[j] + bound) & (tier[i] & _ONLY_LARGER == 0) & (tier[j] & _ONLY_SMALLER == 0) & (text[i] != text[j])
-        yield text[i[ok]], text[j[ok]]
-        d += 1
+    They come smaller text by smaller text, about ``most`` at a time: those of one text may go on in the next part.
+    """
+    size, share, low = len(n), least / (1 + least), np.uint64(32)
+    code = key.astype(np.uint64) << low | order[text].astype(np.uint64)
+    s = np.argsort(code)
+    code, tier, text = code[s], tier[s], text[s]
+    larger, smaller = np.flatnonzero(tier & _ONLY_SMALLER == 0), np.flatnonzero(tier & _ONLY_LARGER == 0)
+    reach = np.searchsorted(least * n[np.argsort(order)], n, "right")  # texts up to there in the order are not too large for a smaller one
+    begin = np.searchsorted(code[larger], code[smaller], "right")
+    found = np.searchsorted(code[larger], code[smaller] >> low << low | reach[text[smaller]].astype(np.uint64), "left") - begin
+    some = np.flatnonzero(found > 0)
+    some = some[np.argsort(text[smaller[some]], kind="stable")]
+    smaller, begin, found = smaller[some], begin[some], found[some]
+    ends = np.cumsum(found)
+    a = 0
+    while a < len(smaller):
+        z = max(a + 1, int(np.searchsorted(ends, ends[a] - found[a] + most, "right")))
+        c = found[a:z]
+        i = np.repeat(smaller[a:z], c)
+        j = larger[np.repeat(begin[a:z] - (np.cumsum(c) - c), c) + np.arange(len(i))]
+        x, y = text[i], text[j]
+        bound = tally_least(n[x]) - share * (n[x] + n[y]) + 1
+        ok = ((tier[i] & (_TIERS - 1)) / _TIERS * n[x] < n[x] + bound) & ((tier[j] & (_TIERS - 1)) / _TIERS * n[y] < n[y] + bound)
+        yield x[ok], y[ok]
+        a = z
+
+
+def tallied(met: Iterator[tuple[np.ndarray, np.ndarray]], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(smaller, larger text, shared postings) of all pairs that meet; only one text's pairs are held over from part to part."""
+    kept, shared = np.empty(0, np.int64), np.empty(0, np.int64)
+    for a, b in met:
+        if not len(a):
+            continue
+        pairs, counts = np.unique(a * size + b, return_counts=True)
+        if len(kept) and kept[0] // size == pairs[0] // size:
+            pairs, at = np.unique(np.concatenate([kept, pairs]), return_inverse=True)
+            counts = np.bincount(at, np.concatenate([shared, counts])).astype(np.int64)
+        elif len(kept):
+            yield kept // size, kept % size, shared
+        z = int(np.searchsorted(pairs, pairs[-1] // size * size))
+        kept, shared = pairs[z:], counts[z:]
+        if z:
+            yield pairs[:z] // size, pairs[:z] % size, counts[:z]
+    if len(kept):
+        yield kept // size, kept % size, shared
 
 
 def _tally(postings: DataFrame, least: float, buckets: int) -> DataFrame:
-    """(a, b): pairs that share the guaranteed number of postings; a is the text with fewer pieces."""
-    kind = postings.schema["rep"].dataType.simpleString()
+    """(a, b): numbers of the pairs that share the guaranteed number of postings; a is the text with fewer pieces."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [b for b in batches if b.num_rows]
-        if not rows:
+        parts = [_unpack(memoryview(raw.as_buffer())) for b in batches for raw in b.column(0)]
+        if not parts:
             return
-        table = pa.Table.from_batches(rows)
-        rep = table.column("rep").combine_chunks().dictionary_encode()
-        text = rep.indices.to_numpy().astype(np.int64)
-        n = np.zeros(len(rep.dictionary), np.int64)
-        n[text] = table.column("n").to_numpy()
-        which = np.argsort(np.array(rep.dictionary.to_pylist()), kind="stable")
-        least_rep = np.empty(len(n), np.int64)
-        least_rep[which] = np.arange(len(n))
+        no, text = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
+        n = np.zeros(len(no), np.int64)
+        n[text] = np.concatenate([x[1] for x in parts])
+        text = np.repeat(text, np.concatenate([x[2] for x in parts]))
+        key, tier = np.concatenate([x[3] for x in parts]), np.concatenate([x[4] for x in parts])
+        del parts
         order = np.empty(len(n), np.int64)
-        order[np.lexsort((least_rep, n))] = np.arange(len(n))
-        packed = table.column("posts").to_pylist()
-        posts = np.frombuffer(b"".join(packed), _POSTING)
-        text = np.repeat(text, [len(x) // _POSTING.itemsize for x in packed])
-        del packed, table
-        key, tier = posts["low"].astype(np.uint64) | posts["high"].astype(np.uint64) << np.uint64(32), posts["tier"].copy()
-        del posts
-        # most bytes stand in one text only and meet nothing
-        by_key = np.argsort(key)
-        starts = np.flatnonzero(np.r_[True, key[by_key][1:] != key[by_key][:-1]]) if len(key) else np.empty(0, np.int64)
-        runs = np.diff(np.r_[starts, len(key)])
-        several = np.sort(by_key[np.repeat(runs > 1, runs)])
-        key, tier, text = key[several], tier[several], text[several]
-        most = int((runs * (runs - 1) // 2).sum())
-        del by_key, starts, runs, several
-        meet_all = lambda: (a * len(n) + b for a, b in meetings(key, tier, text, n, order, least))
-        # pairs are added up in as many turns as keep those held at once bounded
-        turns = 1 if most <= 8 * _MET else 1 + sum(map(len, meet_all())) // (8 * _MET)
-        for turn in range(turns):
-            held, size, known, shared = [], 0, np.empty(0, np.int64), np.empty(0, np.int64)
-            for more in itertools.chain(meet_all(), [None]):
-                if more is not None:
-                    held.append(more if turns == 1 else more[mix(more.astype(np.uint64)) % np.uint64(turns) == turn])
-                    size += len(held[-1])
-                if size > _MET or more is None:
-                    pairs, counts = np.concatenate([known, *held]), np.concatenate([shared, np.ones(size, np.int64)])
-                    s = np.argsort(pairs, kind="stable")
-                    pairs = pairs[s]
-                    first = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]]) if len(pairs) else np.empty(0, np.int64)
-                    known, shared = pairs[first], np.add.reduceat(counts[s], first) if len(first) else counts
-                    held, size = [], 0
-            a, b = known // len(n), known % len(n)
+        order[np.lexsort((no, n))] = np.arange(len(n))
+        for a, b, shared in tallied(meetings(key, tier, text, n, order, least), len(n)):
             enough = shared >= bucket_least(n[a], buckets)
             a, b, shared = a[enough], b[enough], shared[enough]
             for x in range(0, len(a), 100_000):
                 y = slice(x, x + 100_000)
-                yield pa.RecordBatch.from_arrays([rep.dictionary.take(pa.array(a[y])), rep.dictionary.take(pa.array(b[y])), pa.array(n[a[y]], pa.int32()), pa.array(shared[y], pa.int32())], ["a", "b", "n", "shared"])
+                yield pa.RecordBatch.from_arrays([pa.array(no[a[y]]), pa.array(no[b[y]]), pa.array(n[a[y]], pa.int32()), pa.array(shared[y], pa.int32())], ["a", "b", "n", "shared"])
 
-    met = postings.repartitionById(buckets, "bucket").select("rep", "n", "posts").mapInArrow(meet, f"a {kind}, b {kind}, n int, shared int")
+    met = postings.repartitionById(buckets, "bucket").select("block").mapInArrow(meet, "a bigint, b bigint, n int, shared int")
     tally = met.groupBy("a", "b", "n").agg(F.sum("shared").alias("shared"), F.count("*").alias("seen"))
     # a bucket that kept silent about a pair holds less than its least
     unseen = F.ceil((1 + F.floor(F.col("n") / STEP)) / buckets) - 1
@@ -255,12 +293,16 @@ def _tally(postings: DataFrame, least: float, buckets: int) -> DataFrame:
 def _verify(pairs: DataFrame, kind: str, least: float) -> DataFrame:
     def make():
         memo: dict[str, np.ndarray] = {}
+        held = 0
 
         def pieces(t: str) -> np.ndarray:
+            nonlocal held
             if t not in memo:
-                if len(memo) > 2000:
+                if held > _MEMO:
                     memo.clear()
+                    held = 0
                 memo[t] = sorted_distinct(windows(codes(t), PIECE))
+                held += len(memo[t])
             return memo[t]
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -293,13 +335,14 @@ def near_duplicates(df: DataFrame, id_col: str = "art_id", text_col: str = "art_
     classes = one.groupBy("print").agg(F.min("id").alias("rep"))
     member = one.join(classes, "print").select("id", "rep")
     # map-side, copies of a text leave a task once
-    reps = cut_table(rows.groupBy("print").agg(F.min("t").alias("t")).join(classes.hint("merge"), "print").select("rep", "t"))
+    reps = cut_table(rows.groupBy("print").agg(F.min("t").alias("t")).join(classes.hint("merge"), "print").select("rep", "t").withColumn("no", F.monotonically_increasing_id()))
     counts = _census(reps)
     buckets = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(counts.sum() * (1 - least)) // BUCKET))
     tally = cut(_tally(_postings(reps, least, counts, hot, buckets), least, buckets))
-    wanted = tally.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    texts = reps.join(wanted.hint("merge"), "rep", "left_semi")
-    pairs = tally.join(texts.select(F.col("rep").alias("a"), F.col("t").alias("ta")).hint("merge"), "a").join(texts.select(F.col("rep").alias("b"), F.col("t").alias("tb")).hint("merge"), "b").select("a", "b", "ta", "tb")
+    wanted = tally.select(F.explode(F.array("a", "b")).alias("no")).distinct()
+    texts = reps.join(wanted.hint("merge"), "no", "left_semi")
+    ends = [texts.select(F.col("no").alias(x), F.col("rep").alias(f"r{x}"), F.col("t").alias(f"t{x}")) for x in ("a", "b")]
+    pairs = tally.join(ends[0].hint("merge"), "a").join(ends[1].hint("merge"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"), "ta", "tb")
     links = _verify(pairs, kind, least).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "likeness")
     return cut(links), member
 

@@ -96,3 +96,34 @@ def test_a_class_of_many_copies(spark):
 def test_empty_table(spark):
     links, member = nd.near_duplicates(spark.createDataFrame([], "art_id bigint, art_text string"))
     assert nd.expand(links, member).count() == 0
+
+
+def test_a_bucket_is_tallied_in_bounded_parts():
+    """However often texts meet, a part holds a bounded number of meetings, and each pair comes out once with all of them."""
+    rnd = np.random.default_rng(2)
+    n = rnd.integers(80, 130, 60)
+    text, key = (x.ravel() for x in np.meshgrid(np.arange(60), np.arange(25)))
+    some = rnd.random(len(text)) < 0.6
+    text, key, tier = text[some], key[some], np.zeros(some.sum(), np.uint8)
+    order = np.empty(60, np.int64)
+    order[np.argsort(n, kind="stable")] = np.arange(60)
+    parts = list(nd.meetings(key, tier, text, n, order, 0.7, most=40))
+    assert len(parts) > 100 and max(len(a) for a, _ in parts) <= 60
+    got = [(a, b, c) for part in nd.tallied(parts, 60) for a, b, c in zip(*(x.tolist() for x in part))]
+    has = {t: set(key[text == t].tolist()) for t in range(60)}
+    true = [(a, b, len(has[a] & has[b])) for a in has for b in has if order[a] < order[b] and n[a] >= 0.7 * n[b] and has[a] & has[b]]
+    assert sorted(got) == sorted(true)
+
+
+def test_a_row_holds_the_postings_of_many_texts(spark):
+    """With many buckets a task writes a row for each of them, not one for each text and bucket."""
+    texts = [("".join(random.Random(i).choices("abcdefghij", k=300)),) for i in range(200)]
+    reps = spark.createDataFrame([(i, t) for i, (t,) in enumerate(texts)], "no bigint, t string").coalesce(1)
+    rows = nd._postings(reps, 0.7, nd._census(reps), nd.HOT, 300).collect()
+    assert len(rows) <= 300
+    n, posts = 0, 0
+    for r in rows:
+        no, size, per, key, tier = nd._unpack(memoryview(r["block"]))
+        assert len(set(no.tolist())) == len(no) and per.sum() == len(key) == len(tier) and all(size == 292)
+        n, posts = max(n, no.max()), posts + len(key)
+    assert n == 199 and posts == 200 * int(nd.posted(np.array([292]), 0.7)[0])
