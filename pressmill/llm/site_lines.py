@@ -8,9 +8,9 @@ Their lines are deleted from each document.
 
 The array is built in parts that no task holds as a whole: a part holds the suffixes of
 a source that begin with the same line and, where there are many documents, have the same
-salt of the document. A document lies in one salt, so the counts of the parts add up. A
-part of a repeated block is repeated itself, so the lines to be deleted are those at
-which an interval begins, and its suffixes need to be told apart by few lines only.
+salt of the document. A document lies in one salt, so the counts of the parts add up.
+Suffixes are told apart by DEPTH lines: a longer block is covered by the repeated blocks
+of that length that begin at each of its lines.
 
 ``repeated_blocks`` gives the longest blocks, of any length. It doubles the prefix by which
 suffixes are ranked: names of runs of 1, 2, 4, ... lines are made of two names of half
@@ -48,10 +48,7 @@ def _lines(df: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFr
 
 
 def _suffixes(df: DataFrame, id_col: str, source_col: str, text_col: str, salts: int) -> DataFrame:
-    """(source, salt, id, line_nos, suffix): one row for each distinct line of a document row, with the lines behind it.
-
-    A line that a document holds again adds its number to the row of the first.
-    """
+    """(source, salt, id, nos, suffix): one row for each line of a document row, with DEPTH lines from there and their numbers."""
     rows = F.transform(F.split(text_col, "\n"), lambda x: F.regexp_replace(F.lower(x), r"\P{L}+", ""))
     runs = df.where(F.col(id_col).isNotNull() & F.col(source_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(source_col).alias("source"), F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int").alias("salt"), F.col(id_col).alias("id"), F.transform(rows, lambda k: F.when(F.length(k) >= LETTERS, F.xxhash64(k, F.length(k)))).alias("run")
@@ -62,53 +59,64 @@ def _suffixes(df: DataFrame, id_col: str, source_col: str, text_col: str, salts:
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             row, nos, suffixes = [], [], []
             for k, run in enumerate(batch.column(3).to_pylist()):
-                lines = [(n, x) for n, x in enumerate(run, 1) if x is not None]
-                ids = [x for _, x in lines]
-                known: dict[int, int] = {}
-                for i, (n, x) in enumerate(lines):
-                    at = known.setdefault(x, len(nos))
-                    if at < len(nos):
-                        nos[at].append(n)
-                    else:
-                        row.append(k)
-                        nos.append([n])
-                        suffixes.append(ids[i : i + DEPTH])
+                at = [n for n, x in enumerate(run, 1) if x is not None]
+                ids = [run[n - 1] for n in at]
+                row += [k] * len(at)
+                nos += [at[i : i + DEPTH] for i in range(len(at))]
+                suffixes += [ids[i : i + DEPTH] for i in range(len(at))]
             take = pa.array(row, pa.int32())
-            return pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in range(3)), pa.array(nos, pa.list_(pa.int32())), pa.array(suffixes, pa.list_(pa.int64()))], ["source", "salt", "id", "line_nos", "suffix"])
+            return pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in range(3)), pa.array(nos, pa.list_(pa.int32())), pa.array(suffixes, pa.list_(pa.int64()))], ["source", "salt", "id", "nos", "suffix"])
 
         return step
 
-    return map_batches(runs, make, f"source string, salt int, id {kind}, line_nos array<int>, suffix array<bigint>")
-
-
-def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Streams the sorted suffixes (source, salt, first line, id) of a part; gives each interval of suffixes with the same first line and its documents."""
-    where, docs, last = None, 0, None
-    out: tuple[list, list, list] = ([], [], [])
-
-    def close() -> None:
-        if where is not None:
-            for column, x in zip(out, (where[0], where[2], docs)):
-                column.append(x)
-
-    def flush() -> pa.RecordBatch:
-        rows = pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], ["source", "line", "docs"])
-        for x in out:
-            x.clear()
-        return rows
-
-    for b in batches:
-        for source, salt, line, doc in zip(*(b.column(i).to_pylist() for i in range(4))):
-            if where != (source, salt, line):  # the common prefix with the suffix before is empty
-                close()
-                where, docs, last = (source, salt, line), 0, None
-            if doc != last:
-                docs, last = docs + 1, doc
-        if out[0]:
+    return map_batches(runs, make, f"source string, salt int, id {kind}, nos array<int>, suffix array<bigint>")
+
+
+def _prefixes() -> F.Column:
+    """Names of the first 1, 2, ... lines of a suffix."""
+    return F.transform("suffix", lambda _, i: F.xxhash64(F.slice("suffix", F.lit(1), i + 1)))
+
+
+def _intervals(suffixes: DataFrame, least: int) -> DataFrame:
+    """(source, size, block, docs): the intervals of the sorted suffixes of each part with ``size`` lines in common that at least ``least`` documents hold."""
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, out = None, [], []
+        opened: list[tuple[int, set]] = []  # of 1, 2, ... lines: the block and its documents
+
+        def close(common: int) -> None:
+            for size in range(len(opened), common, -1):
+                block, docs = opened.pop()
+                if len(docs) >= least:
+                    out.append((part[0], size, block, len(docs)))
+
+        def flush() -> pa.RecordBatch:
+            columns = [pa.array(x, kind) for x, kind in zip(zip(*out), (pa.string(), pa.int32(), pa.int64(), pa.int64()))]
+            out.clear()
+            return pa.RecordBatch.from_arrays(columns, ["source", "size", "block", "docs"])
+
+        for b in batches:
+            for source, salt, suffix, prefixes, doc in zip(*(b.column(i).to_pylist() for i in range(5))):
+                common = 0
+                if part == (source, salt):
+                    for x, y in zip(suffix, last):
+                        if x != y:
+                            break
+                        common += 1
+                close(common)
+                part, last = (source, salt), suffix
+                opened += [(x, set()) for x in prefixes[len(opened) :]]
+                for _, docs in opened:
+                    docs.add(doc)
+            if out:
+                yield flush()
+        close(0)
+        if out:
             yield flush()
-    close()
-    if out[0]:
-        yield flush()
+
+    first = F.col("suffix")[0]
+    array = suffixes.repartition("source", first, "salt").sortWithinPartitions("source", "salt", "suffix", "id")
+    return array.select("source", "salt", "suffix", _prefixes(), "id").mapInArrow(stream, "source string, size int, block bigint, docs bigint")
 
 
 def repeated_lines(df: DataFrame, id_col: str = "art_id", source_col: str = "art_source", text_col: str = "art_text", documents: int = DOCUMENTS) -> DataFrame:
@@ -120,15 +128,15 @@ def repeated_lines(df: DataFrame, id_col: str = "art_id", source_col: str = "art
     often it or its row holds it.
     """
     salts = 1 + df.count() // SALTED
-    suffixes = cut(_suffixes(df, id_col, source_col, text_col, salts).withColumn("first", F.col("suffix")[0]))
-    array = suffixes.select("source", "salt", "first", "id", "suffix").repartition("source", "first", "salt").sortWithinPartitions("source", "salt", "first", "id", "suffix")
-    intervals = array.drop("suffix").mapInArrow(_intervals, "source string, line bigint, docs bigint")
-    blocks = intervals.groupBy("source", "line").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= documents)
+    suffixes = cut(_suffixes(df, id_col, source_col, text_col, salts))
+    # a part with all documents of a source decides by itself, others add up
+    blocks = _intervals(suffixes, documents if salts == 1 else 1).groupBy("source", "size", "block").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= documents)
     if salts > 1:
         blocks = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    on = ["source", "line", *(["salt"] if salts > 1 else [])]
-    covered = suffixes.withColumnRenamed("first", "line").join(blocks.select(*on).hint("merge"), on)
-    return covered.select("id", F.explode("line_nos").alias("line_no")).distinct()
+    on = ["source", "size", "block", *(["salt"] if salts > 1 else [])]
+    # the beginnings of a repeated block are repeated, so each answers for its last line
+    lines = suffixes.select("source", "salt", "id", "nos", F.posexplode(_prefixes()).alias("at", "block")).select("source", "salt", "id", (F.col("at") + 1).alias("size"), "block", F.col("nos")[F.col("at")].alias("line_no"))
+    return lines.join(blocks.select(*on).hint("merge"), on).select("id", "line_no").distinct()
 
 
 def repeated_blocks(df: DataFrame, id_col: str = "art_id", source_col: str = "art_source", text_col: str = "art_text", documents: int = DOCUMENTS) -> DataFrame:

@@ -78,3 +78,31 @@ def test_text_without_the_lines(spark):
 
 def test_empty_table(spark):
     assert site_lines.repeated_lines(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_intervals_of_the_suffixes_hold_blocks_of_several_lines(spark):
+    """The common prefix of neighbouring suffixes tells how many lines they share, not the first line only; salts add up to the same."""
+    rows = corpus() + [(600 + i, "a", "\n".join(["Follow us on all channels", "Imprint and contact", "Terms of this service", f"own end {chr(97 + i)}"]), 1) for i in range(6)]
+    truth = defaultdict(set)
+    for i, s, t, _ in rows:
+        if i is not None and s is not None and t is not None:
+            keys = [k for k in ("".join(c for c in line.lower() if c.isalpha()) for line in t.split("\n")) if len(k) >= 8]
+            for a in range(len(keys)):
+                for size in range(1, min(site_lines.DEPTH, len(keys) - a) + 1):
+                    truth[s, tuple(keys[a : a + size])].add(i)
+    true = sorted((s, len(k), len(docs)) for (s, k), docs in truth.items() if len(docs) >= 5)
+    assert {size for _, size, _ in true} >= {1, 2, 3}
+    df = spark.createDataFrame(rows, SCHEMA)
+    whole = site_lines._intervals(site_lines._suffixes(df, "art_id", "art_source", "art_text", 1), 5).collect()
+    assert sorted((r["source"], r["size"], r["docs"]) for r in whole) == true
+    salted = defaultdict(int)
+    for r in site_lines._intervals(site_lines._suffixes(df, "art_id", "art_source", "art_text", 3), 1).collect():
+        salted[r["source"], r["size"], r["block"]] += r["docs"]
+    assert sorted((s, size, n) for (s, size, _), n in salted.items() if n >= 5) == true
+
+
+def test_the_same_lines_with_salts(spark, monkeypatch):
+    monkeypatch.setattr(site_lines, "SALTED", 30)
+    rows = corpus()
+    got = [(r["id"], r["line_no"]) for r in site_lines.repeated_lines(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows)
