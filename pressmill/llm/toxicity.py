@@ -261,8 +261,11 @@ _BLOCK = 4096
 
 def forward_backward(emit: np.ndarray, lens: np.ndarray, moves: np.ndarray, scale: float | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Marginals of all tokens of chains, longest first, that stand one behind the other in ``emit``; with ``scale`` the expected transitions times it."""
-    e = np.exp(emit - emit.max(axis=1, keepdims=True))
-    m = np.exp(moves)
+    top = emit[:, 0]
+    for j in range(1, emit.shape[1]):
+        top = np.maximum(top, emit[:, j])
+    e = np.exp(emit - top[:, None])
+    m, ones = np.exp(moves), np.ones((len(moves), 1))  # sums of rows by products: short rows add up slowly
     out, pair, starts = np.empty_like(e), None if scale is None else np.zeros_like(moves), np.cumsum(lens) - lens
     for a in range(0, len(lens), _BLOCK):
         part, begin = lens[a : a + _BLOCK], starts[a : a + _BLOCK]
@@ -273,7 +276,7 @@ def forward_backward(emit: np.ndarray, lens: np.ndarray, moves: np.ndarray, scal
             at = begin[: live[i]] + i
             here = e[at]
             step = here if i == 0 else (step[: live[i]] @ m) * here
-            step = step / step.sum(axis=1, keepdims=True)
+            step = step / (step @ ones)
             alpha.append(step)
             rows.append((at, here))
         beta = np.ones((live[longest - 1], e.shape[1]))
@@ -282,15 +285,15 @@ def forward_backward(emit: np.ndarray, lens: np.ndarray, moves: np.ndarray, scal
             if i < longest - 1:
                 n = live[i + 1]
                 ahead = rows[i + 1][1] * beta
+                x = ahead @ m.T
                 if pair is not None:
-                    both = alpha[i][:n, :, None] * m * ahead[:, None, :]
-                    pair += (both * (scale / both.sum(axis=(1, 2)))[:, None, None]).sum(axis=0)
+                    before = alpha[i][:n]
+                    pair += m * (before.T @ (ahead * (scale / ((before * x) @ ones))))
                 new = np.ones_like(here)
-                x = ahead @ m.T
-                new[:n] = x / x.sum(axis=1, keepdims=True)
+                new[:n] = x / (x @ ones)
                 beta = new
             p = alpha[i] * beta
-            out[at] = p / p.sum(axis=1, keepdims=True)
+            out[at] = p / (p @ ones)
     return out, pair
 
 
@@ -307,20 +310,21 @@ def fit_field(rows: list[tuple[str, str]], lexis: Lexis) -> Field:
     order = np.random.default_rng(7).permutation(len(made))
     chains = [[made[j] for j in order[i : i + _STRING]] for i in range(0, len(order), _STRING)]
     chains.sort(key=lambda c: -sum(len(part) for part, _ in c))
-    feats, truth, memo = [], [], {}
+    # a token has the same features wherever it stands: weights meet the distinct tokens only
+    kinds: dict[str, int] = {}
+    seq, truth = [], []
     for chain in chains:
         for part, y in chain:
             for token, _, _ in part:
-                if token not in memo:
-                    memo[token] = lexis.features(token)
-                feats.append(memo[token])
+                seq.append(kinds.setdefault(token, len(kinds)))
                 truth.append(y)
+    feats = [lexis.features(token) for token in kinds]
     if not any(feats):
         return Field(lexis)
-    truth, lens, k, n = np.array(truth), np.array([sum(len(part) for part, _ in c) for c in chains]), len(LABELS), len(feats)
+    seq, truth, lens, k, n = np.array(seq), np.array(truth), np.array([sum(len(part) for part, _ in c) for c in chains]), len(LABELS), len(truth)
     index = {f: i for i, f in enumerate(dict.fromkeys(f for fs in feats for f in fs))}
     flat, value = np.array([index[f] for fs in feats for f in fs]), np.array([v for fs in feats for v in fs.values()])
-    owner = np.repeat(np.arange(n), [len(fs) for fs in feats])
+    owner = np.repeat(np.arange(len(feats)), [len(fs) for fs in feats])
     scale = _DATA / n
     inner = np.ones(n, bool)
     inner[np.cumsum(lens) - 1] = False
@@ -330,11 +334,12 @@ def fit_field(rows: list[tuple[str, str]], lexis: Lexis) -> Field:
     w, moves, bias = np.zeros((len(index), k)), np.zeros((k, k)), np.zeros(k)
     sums = [np.full_like(x, 1e-8) for x in (w, moves, bias)]
     for _ in range(_STEPS):
-        emit = np.stack([np.bincount(owner, value * w[flat, j], n) for j in range(k)], axis=1) + bias
+        emit = np.stack([np.bincount(owner, value * w[flat, j], len(feats)) for j in range(k)], axis=1)[seq] + bias
         p, pair = forward_backward(emit, lens, moves, scale)
         p[np.arange(n), truth] -= 1
         p *= scale
-        steps = (np.stack([np.bincount(flat, value * p[owner, j], len(index)) for j in range(k)], axis=1) + _PENALTY * w, pair - seen + 1e-4 * moves, p.sum(axis=0))
+        each = np.stack([np.bincount(seq, p[:, j], len(feats)) for j in range(k)], axis=1)
+        steps = (np.stack([np.bincount(flat, value * each[owner, j], len(index)) for j in range(k)], axis=1) + _PENALTY * w, pair - seen + 1e-4 * moves, p.sum(axis=0))
         for x, g, d in zip((w, moves, bias), sums, steps):
             g += d**2
             x -= _RATE * d / np.sqrt(g)

@@ -79,6 +79,18 @@ def test_marginals_are_those_of_all_paths(field):
     assert np.allclose(field.marginals([tokens])[0], truth)
 
 
+def test_expected_transitions_are_those_of_all_paths():
+    rnd = np.random.default_rng(4)
+    emit, moves, lens = rnd.normal(size=(9, 4)), rnd.normal(size=(4, 4)), np.array([4, 3, 2])
+    truth = np.zeros((4, 4))
+    for a, n in zip(np.cumsum(lens) - lens, lens):
+        paths = np.stack(np.meshgrid(*[np.arange(4)] * n, indexing="ij"), axis=-1).reshape(-1, n)
+        score = np.exp(emit[a : a + n][np.arange(n), paths].sum(axis=1) + moves[paths[:, :-1], paths[:, 1:]].sum(axis=1))
+        for i in range(n - 1):
+            np.add.at(truth, (paths[:, i], paths[:, i + 1]), score / score.sum())
+    assert np.allclose(tox.forward_backward(emit, lens, moves, 0.5)[1], truth / 2)
+
+
 def test_disguises():
     assert [t for t, *_ in tox.split_tokens("A s s h o l e s like t.o.p.l.e.s.s")] == ["\ue000Assholes", "like", "\ue000topless"]
     assert tox.plain_forms("h1rnl0$3r")[0][0] == "hirnloser" and "daamn" in tox.plain_forms("daaamn")[0]
