@@ -6,7 +6,8 @@ corpus as background. They are strung together, so that the chain learns where o
 passage ends and the next begins. A token's features are generic: the word, runs of its
 letters, and whether it was disguised (digits and signs for letters, spaced or repeated
 letters, stars). What a word or a run of letters counts comes from how much oftener
-labelled passages have it than all documents do; the weights are learned.
+labelled passages have it than all documents do, the fewer words a passage has the more
+for each; the weights are learned.
 
 Nothing is left out beforehand: each sentence of each document is a chain. Forward and
 backward passes give the marginals of every token; runs of tokens above LEAST are the
@@ -14,8 +15,9 @@ offending offsets, the best token of a document is its score. A sentence counts
 its leading category.
 
 The fit is bounded: at most SAMPLE reviewed rows and OTHERS background passages of up to
-PASSAGE characters, one of each of the documents with the least hash. Counts of the
-labelled parts cover all documents.
+PASSAGE characters, one of each of the documents with the least hash. Background that a
+fit to the rest of it takes for offensive teaches nothing. Counts of the labelled parts
+cover all documents.
 """
 
 from __future__ import annotations
@@ -39,8 +41,10 @@ LABELS = ("none", *CATEGORIES)
 #: Rows of the fit, at most: reviewed ones and background passages, and the characters of a passage.
 SAMPLE, OTHERS, PASSAGE = 20_000, 8_000, 400
 LEAST = 0.5
+#: Background passages with a marginal of so much in a category are left out of the fit.
+SUSPECT = 0.3
 
-#: Public words and phrases with their category, labelled like reviewed rows; ``|`` parts phrases. A parameter of ``fit_reviewed``.
+#: Public words and phrases with their category, labelled like reviewed rows; ``|`` parts phrases. Function words are harmless by themselves. A parameter of ``fit_reviewed``.
 GLOSSARY = {
     "abuse": """idiot idiots moron imbecile cretin asshole assholes bastard bitch scumbag jackass dumbass blockhead dimwit dickhead wanker wankers loser crybaby scoundrel brainless braindead clueless
         shithead goddamn vollidiot arschloch arschlöcher hurensohn missgeburt trottel esel schwachkopf mistkerl dreckskerl drecksau drecksack drecksäcke mistsau kanaille wichser fresse klappe verpiss hirnlos
@@ -51,6 +55,16 @@ GLOSSARY = {
         racaille plaga escoria|they are rats|they are born thieves|put them in camps|sie sind ratten|alle ins lager gesteckt""",
     "sexual": """sex porn porno pornos xxx horny kinky slutty tits boobs asses nude topless hookups hardcore fuck fucking bang shag geile geil titten möpse ärsche ficken bumsen vögeln poppen erotik nackte nacktbilder tabus
         nues coquines érotique desnudas calientes tetas|naked pics|naked women|screw her all night|wanted to bang her|sex tonight""",
+    "none": """a an the this that these those he she it they we i you him her his its their them us me my your our who whom which what when where why how
+        is are was were be been being am do does did have has had will would shall should can could may might must to of in on at by for with from without into out up down over under about after before
+        and or but if because as than so not no nor only also just all any every each some such like one very too more most now then here there
+        ein eine einen einem einer eines der die das den dem des dieser diese dieses diesen jener solche solcher er sie es wir ihr ich du dich dir mich mir ihn ihm ihnen uns euch sich sein seine ihre ihren unser mein dein
+        wer was wann wo warum wie ist sind war waren wäre wären bin bist wird werden wurde wurden hat haben hatte hätte kann können konnte könnte muss müssen musste soll sollen sollte will wollen wollte wollten darf dürfen
+        und oder aber wenn weil dass als so nicht kein keine nur auch doch mal nun noch schon ja alle alles jeder jeden man sehr mehr für mit von vom zu zum zur aus auf an am in im bei nach vor über unter ohne um durch gegen
+        un une le la les des du de ce cet cette ces il elle ils elles on nous vous je tu te se me lui leur son sa ses mon ma ton ta votre qui que quoi quand où comment est sont était être a ont avait avoir faut peut doit veut
+        et ou mais si car comme ne pas plus tout tous toute très pour par avec sans dans sur sous chez en y avant après entre
+        el los las unos unas lo este esta estos estas ese esa esos esas él ella ellos ellas yo nosotros usted su sus mi quien cuando donde como es son era ser fue está han ha hay puede debe quiere
+        o pero porque no ni más muy todo todos toda para con sin sobre bajo desde hasta del al solo""",
 }
 
 _HIDDEN = "\xad\u200b-\u200f\u2060\ufeff"
@@ -140,15 +154,16 @@ class Lexis:
 
     def __init__(self, labelled: list[str], part_docs: dict[str, int], docs: int):
         """``part_docs``: documents with each part of the labelled passages, of ``docs`` in all."""
-        counts: dict[str, int] = {}
+        counts: dict[str, float] = {}
         self.words: dict[int, list[str]] = {}
-        for text in labelled:
-            words = sorted({plain_forms(t)[0][0] for t, *_ in split_tokens(text)})
+        said = [sorted({plain_forms(t)[0][0] for t, *_ in split_tokens(text)}) for text in labelled]
+        mean = sum(map(len, said)) / max(1, len(said))
+        for words in said:
             for w in words:
                 if w not in self.words.setdefault(len(w), []):
                     self.words[len(w)].append(w)
             for p in {p for w in words for p in parts_of(w)}:
-                counts[p] = counts.get(p, 0) + 1
+                counts[p] = counts.get(p, 0.0) + mean / len(words)  # of many words fewer are to blame
         odds = {p: np.log(n / max(1, len(labelled)) / ((part_docs.get(p, 0) + 1) / (docs + 1))) / np.log(100) for p, n in counts.items()}
         self.value = {p: float(min(v, 1.5)) for p, v in odds.items() if v > 0.15}
 
@@ -299,9 +314,11 @@ def forward_backward(emit: np.ndarray, lens: np.ndarray, moves: np.ndarray, scal
 
 #: Gradient steps, their rate, the weight of the data against the penalty, passages in a chain.
 _STEPS, _RATE, _DATA, _PENALTY, _STRING = 300, 0.3, 20.0, 5e-7, 2
+#: Steps of the fits that only judge background.
+_FEW_STEPS = 100
 
 
-def fit_field(rows: list[tuple[str, str]], lexis: Lexis) -> Field:
+def fit_field(rows: list[tuple[str, str]], lexis: Lexis, steps: int = _STEPS) -> Field:
     """Fits to (text, category) pairs by adaptive gradient steps, always in the same order; the field flags nothing without rows."""
     made = [(split_tokens(t), LABELS.index(c)) for t, c in sorted(set(rows)) if t and c in LABELS]
     made = [x for x in made if x[0]]
@@ -333,19 +350,28 @@ def fit_field(rows: list[tuple[str, str]], lexis: Lexis) -> Field:
     np.add.at(seen, (truth[inner], truth[inner + 1]), scale)
     w, moves, bias = np.zeros((len(index), k)), np.zeros((k, k)), np.zeros(k)
     sums = [np.full_like(x, 1e-8) for x in (w, moves, bias)]
-    for _ in range(_STEPS):
+    for _ in range(steps):
         emit = np.stack([np.bincount(owner, value * w[flat, j], len(feats)) for j in range(k)], axis=1)[seq] + bias
         p, pair = forward_backward(emit, lens, moves, scale)
         p[np.arange(n), truth] -= 1
         p *= scale
         each = np.stack([np.bincount(seq, p[:, j], len(feats)) for j in range(k)], axis=1)
-        steps = (np.stack([np.bincount(flat, value * each[owner, j], len(index)) for j in range(k)], axis=1) + _PENALTY * w, pair - seen + 1e-4 * moves, p.sum(axis=0))
-        for x, g, d in zip((w, moves, bias), sums, steps):
+        slopes = (np.stack([np.bincount(flat, value * each[owner, j], len(index)) for j in range(k)], axis=1) + _PENALTY * w, pair - seen + 1e-4 * moves, p.sum(axis=0))
+        for x, g, d in zip((w, moves, bias), sums, slopes):
             g += d**2
             x -= _RATE * d / np.sqrt(g)
     return Field(lexis, index, w, moves, bias)
 
 
+def harmless(reviewed: list[tuple[str, str]], others: list[str], lexis: Lexis) -> list[str]:
+    """The background passages that a fit to the reviewed rows and the other half of the background does not take for offensive: a fit to a true case as harmless would learn it."""
+    out, others = [], list(dict.fromkeys(others))  # none in both halves
+    for here, there in ((others[::2], others[1::2]), (others[1::2], others[::2])):
+        best = fit_field(reviewed + [(t, "none") for t in there], lexis, _FEW_STEPS).best([tokens_and_breaks(t) for t in here])
+        out += [t for t, p in zip(here, best) if p.max() < SUSPECT]
+    return out
+
+
 def passages(text: str) -> list[str]:
     """Sentences of at most PASSAGE characters, longer ones in pieces."""
     out, at = [], 0
@@ -403,7 +429,7 @@ def _least_hash(rows: dict[str, int], most: int) -> dict[str, int]:
 
 
 def fit_reviewed(df: DataFrame, samples: DataFrame, text_col: str = "text", category_col: str = "category", corpus_text_col: str = "text", sample: int = SAMPLE, glossary: dict[str, str] | None = GLOSSARY) -> Field:
-    """Fits to the reviewed snippets, the glossary (None for none) and passages of the corpus ``df``, which are taken as harmless.
+    """Fits to the reviewed snippets, the glossary (None for none) and passages of the corpus ``df``, which are taken as harmless but for those that look offensive.
 
     Of more than ``sample`` reviewed rows those with the least hash are taken. Without a labelled row nothing is flagged.
     """
@@ -415,7 +441,7 @@ def fit_reviewed(df: DataFrame, samples: DataFrame, text_col: str = "text", cate
     counts = {(r["kind"], r["at"]): r["n"] for r in stats.where("kind < 3").groupBy("kind", "at").agg(F.sum("n").alias("n")).collect()}
     lexis = Lexis(labelled, {p: counts.get((1, i), 0) for i, p in enumerate(parts)}, counts.get((2, 0), 0))
     others = [r["text"] for r in stats.where("kind = 3").select("at", "text").distinct().orderBy("at", "text").limit(OTHERS).collect()]
-    return fit_field(reviewed + [(t, "none") for t in others], lexis)
+    return fit_field(reviewed + [(t, "none") for t in harmless(reviewed, others, lexis)], lexis)
 
 
 def find_spans(text: str, field: Field, least: float = LEAST) -> list[tuple[int, int, str]]:

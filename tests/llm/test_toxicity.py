@@ -70,6 +70,25 @@ def test_held_out_snippets(field):
         assert tox.LABELS[1 + p[:, 1:].max(axis=0).argmax()] == category and p[:, 1:].max() >= tox.LEAST, text
 
 
+def test_true_cases_in_the_background_teach_nothing(field):
+    """Taken as harmless they would speak against their like."""
+    cases = [f"Listen, {n} is the biggest dumbass, you moron!" for n in NAMES]
+    news = [s for i, text, *_ in corpus() for s in tox.passages(text)]
+    assert set(tox.harmless(samples(), sorted([*news, *cases, *cases]), field.lexis)) == set(news)
+
+
+def test_function_words_are_harmless(field):
+    """Words of labelled passages that no background has, in sentences without any offence."""
+    said = ["Tom Ferran would accept", "Would Lenzbau be shut", "this would do"]
+    assert (field.best([tox.tokens_and_breaks(t) for t in said]) < tox.LEAST).all()
+
+
+def test_words_of_short_passages_count_more():
+    """A word that stands alone in a labelled row is to blame, one of eight only in part."""
+    lexis = tox.Lexis(["moron", "what a lying piece of filth this Quentin is"], {}, 1000)
+    assert lexis.value["w:moron"] > lexis.value["w:quentin"]
+
+
 def test_marginals_are_those_of_all_paths(field):
     tokens = ["you", "moron", "shut", "up"]
     emit, k = field.chains([tokens])[2], len(tox.LABELS)
