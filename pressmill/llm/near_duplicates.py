@@ -10,17 +10,18 @@ first m - t / (1 + t) * (n + m) + T of the other have T in common: only the firs
 retained and verified on all their pieces. The minimum is guaranteed, no pair is missed.
 
 The order is rare first. How many texts have which bytes is counted over all texts in
-SLOTS counters, whatever the size of the corpus; any order is right, this one keeps
-posting lists short. The index lies in buckets of about BUCKET postings; positional
-bytes that many texts have are split over several of them. Postings travel in blocks of
-FLUSH, so that a row holds many of them however many buckets there are, and a bucket is
-tallied text by text, at most _MET meetings at a time. Copies of a text are one class:
-index and verification see one text of each class.
+2^18 to 2^22 counters, more for more texts; any order is right, this one keeps posting
+lists short. The index lies in buckets of about BUCKET postings; positional bytes that
+many texts have are split over several of them. Postings travel in blocks of FLUSH, so
+that a row holds many of them however many buckets there are, and a bucket is tallied
+text by text, at most _MET meetings at a time. What a bucket tallied travels in packed
+blocks too, each for the texts of one part, and is added up part by part. Copies of a
+text are one class: index and verification see one text of each class.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -34,7 +35,8 @@ from pressmill.plans.lineage import cut, cut_table
 
 PIECE = 9
 LIKENESS = 0.70
-SLOTS, _SLICE = 1 << 18, 1 << 10
+#: Least and most counters of the order, counters for a text, parts they travel in.
+SLOTS, MOST_SLOTS, _A_TEXT, _SLICES = 1 << 18, 1 << 22, 32, 256
 #: Postings of a bucket; texts with the same positional bytes from which their postings are split.
 BUCKET, HOT = 2_000_000, 50_000
 #: Pieces of the smaller text for each further posting that a pair must share.
@@ -44,7 +46,8 @@ _BITS = np.uint64(48)  # of a piece's hash; the rest numbers the texts of a chun
 _TIERS = 64  # of a posting's place in the order, told apart; roles beside it
 _ONLY_SMALLER, _ONLY_LARGER = 64, 128
 _MET = 1_000_000  # meetings of texts held before they are added up
-FLUSH = 1_000_000  # postings that a task gathers before it writes them by bucket
+FLUSH = 1_000_000  # postings, or pairs that met, that a task gathers before it writes them by bucket or part
+_PART = 250_000  # texts for each further part that a task adds the pairs of up in, 16 at most
 _MEMO = 4_000_000  # pieces of texts kept while pairs are verified
 
 
@@ -78,33 +81,46 @@ def distinct_pieces(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (both >> _BITS).astype(np.int64), both & ((np.uint64(1) << _BITS) - np.uint64(1))
 
 
-def _slot(pieces: np.ndarray) -> np.ndarray:
-    return (pieces & np.uint64(SLOTS - 1)).astype(np.int64)
+def slots_for(texts: int) -> int:
+    return min(MOST_SLOTS, max(SLOTS, 1 << (_A_TEXT * texts).bit_length()))
 
 
-def _census(reps: DataFrame) -> np.ndarray:
-    """How many texts have bytes of each slot; slices of counters are added up in Spark, SLOTS numbers reach the driver."""
+def _slot(pieces: np.ndarray, slots: int) -> np.ndarray:
+    return (pieces & np.uint64(slots - 1)).astype(np.int64)
+
+
+def _census(reps: DataFrame, slots: int = SLOTS) -> np.ndarray:
+    """How many texts have bytes of each slot; packed slices of counters are added up in Spark, ``slots`` numbers reach the driver."""
+    size = slots // _SLICES
+
+    def packed(slices: list[int], counts: Iterable[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(slices, pa.int32()), pa.array([_squeeze(_planes(c.astype("<i8"))) for c in counts], pa.binary())], ["slice", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.int64)
+        total, held, met = np.zeros(slots, np.int64), [], 0
         for b in batches:
             texts = b.column(0).to_pylist()
             for a, z in chunks(texts):
-                total += np.bincount(_slot(distinct_pieces(texts[a:z])[1]), minlength=SLOTS)
-        n = SLOTS // _SLICE
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n), pa.int32()), pa.ListArray.from_arrays(pa.array(np.arange(0, SLOTS + 1, _SLICE), pa.int32()), pa.array(total))], ["slice", "counts"])
+                held.append(_slot(distinct_pieces(texts[a:z])[1], slots))
+                met += len(held[-1])
+                if met >= slots:
+                    total += np.bincount(np.concatenate(held), minlength=slots)
+                    held, met = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=slots)
+        yield packed(list(range(_SLICES)), total.reshape(_SLICES, size))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for k, c in zip(b.column(0).to_pylist(), b.column(1)):
-                sums[k] = sums.get(k, 0) + c.values.to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tolist() for s in sums.values()], pa.list_(pa.int64()))], ["slice", "counts"])
+                sums[k] = sums.get(k, 0) + _numbers(_loosen(c.as_buffer()), "<i8", size)
+        yield packed(list(sums), sums.values())
 
-    kind = "slice int, counts array<bigint>"
-    total = np.zeros(SLOTS, np.int64)
+    kind = "slice int, counts binary"
+    total = np.zeros(slots, np.int64)
     for r in reps.select("t").mapInArrow(count, kind).repartition("slice").mapInArrow(add, kind).collect():
-        total[r["slice"] * _SLICE : (r["slice"] + 1) * _SLICE] = r["counts"]
+        total[r["slice"] * size : (r["slice"] + 1) * size] = _numbers(_loosen(r["counts"]), "<i8", size)
     return total
 
 
@@ -133,19 +149,41 @@ def _numbers(raw: memoryview, kind: str, count: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(-1, count).T).reshape(-1).view(kind)
 
 
+def _squeeze(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _loosen(raw) -> memoryview:
+    raw = memoryview(raw)
+    return memoryview(pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd"))
+
+
 def _pack(no: np.ndarray, n: np.ndarray, posts: np.ndarray, key: np.ndarray, tier: np.ndarray) -> bytes:
     """A block of postings: of its texts the number, pieces and postings, then the postings text by text."""
     head = np.array([len(no), len(key)], "<u4").tobytes()
-    return b"".join([head, _planes(np.diff(no, prepend=0).astype("<i8")), _planes(n.astype("<u4")), _planes(posts.astype("<u4")), key.astype("<u4").tobytes(), tier.tobytes()])
+    return _squeeze(b"".join([head, _planes(np.diff(no, prepend=0).astype("<i8")), _planes(n.astype("<u4")), _planes(posts.astype("<u4")), key.astype("<u4").tobytes(), tier.tobytes()]))
 
 
 def _unpack(raw: memoryview) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    raw = _loosen(raw)
     m, p = np.frombuffer(raw[:8], "<u4").tolist()
     ends = np.cumsum([8, 8 * m, 4 * m, 4 * m, 4 * p, p]).tolist()
     no, n, posts = (_numbers(raw[a:z], kind, m).astype(np.int64) for a, z, kind in zip(ends, ends[1:4], ("<i8", "<u4", "<u4")))
     return np.cumsum(no), n, posts, np.frombuffer(raw[ends[3] : ends[4]], "<u4"), np.frombuffer(raw[ends[4] : ends[5]], np.uint8)
 
 
+def _pack_pairs(a: np.ndarray, b: np.ndarray, need: np.ndarray, shared: np.ndarray) -> bytes:
+    """A block of pairs that met: numbers of the smaller texts in their order and of the larger ones, postings needed and shared."""
+    return _squeeze(b"".join([_planes(np.diff(a, prepend=0).astype("<i8")), _planes(b.astype("<i8")), _planes(need.astype("<u4")), _planes(shared.astype("<u4"))]))
+
+
+def _unpack_pairs(raw: memoryview) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    raw = _loosen(raw)
+    p = len(raw) // 24
+    a, b, need, shared = (_numbers(raw[x * p : z * p], kind, p).astype(np.int64) for x, z, kind in ((0, 8, "<i8"), (8, 16, "<i8"), (16, 20, "<u4"), (20, 24, "<u4")))
+    return np.cumsum(a), b, need, shared
+
+
 def _postings(reps: DataFrame, least: float, counts: np.ndarray, hot: int, buckets: int, flush: int = FLUSH) -> DataFrame:
     """(bucket, block): the rarest positional bytes of each text with their tier in its order, by bucket; a row holds those of many texts."""
     spread = np.minimum(1 + np.maximum(0, counts - 2 * int(np.median(counts))) // hot, buckets)
@@ -160,13 +198,13 @@ def _postings(reps: DataFrame, least: float, counts: np.ndarray, hot: int, bucke
             doc, piece = distinct_pieces(texts)
             n = np.bincount(doc, minlength=len(texts))
             # rare first, a number below the piece's slot, then the piece
-            order = np.lexsort((rank[_slot(piece)].astype(np.uint64) << _BITS | piece, doc)) if len(piece) else np.empty(0, np.int64)
+            order = np.lexsort((rank[_slot(piece, len(rank))].astype(np.uint64) << _BITS | piece, doc)) if len(piece) else np.empty(0, np.int64)
             at = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
             keep = at < np.repeat(posted(n, least), n)
             take, of = order[keep], doc[keep]
             key, tier = piece[take], (at[keep] * _TIERS // n[of]).astype(np.uint8)
             home = (mix(key) >> np.uint64(33)) % np.uint64(buckets)
-            if spread is not None and (many := spread[_slot(key)]).max(initial=1) > 1:
+            if spread is not None and (many := spread[_slot(key, len(rank))]).max(initial=1) > 1:
                 # a frequent one: as that of the larger text in one bucket of several, as that of the smaller in each of them
                 own = (key + of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
                 split = many > 1
@@ -261,33 +299,74 @@ def tallied(met: Iterator[tuple[np.ndarray, np.ndarray]], size: int) -> Iterator
         yield kept // size, kept % size, shared
 
 
-def _tally(postings: DataFrame, least: float, buckets: int) -> DataFrame:
-    """(a, b): numbers of the pairs that share the guaranteed number of postings; a is the text with fewer pieces."""
+def _met(postings: DataFrame, least: float, buckets: int, parts: int, flush: int = FLUSH) -> DataFrame:
+    """(part, block): the pairs that met in a bucket as often as they have to, by the part of the smaller text; a row holds many."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [_unpack(memoryview(raw.as_buffer())) for b in batches for raw in b.column(0)]
-        if not parts:
+        blocks = [_unpack(memoryview(raw.as_buffer())) for b in batches for raw in b.column(0)]
+        if not blocks:
             return
-        no, text = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
+        no, text = np.unique(np.concatenate([x[0] for x in blocks]), return_inverse=True)
         n = np.zeros(len(no), np.int64)
-        n[text] = np.concatenate([x[1] for x in parts])
-        text = np.repeat(text, np.concatenate([x[2] for x in parts]))
-        key, tier = np.concatenate([x[3] for x in parts]), np.concatenate([x[4] for x in parts])
-        del parts
+        n[text] = np.concatenate([x[1] for x in blocks])
+        text = np.repeat(text, np.concatenate([x[2] for x in blocks]))
+        key, tier = np.concatenate([x[3] for x in blocks]), np.concatenate([x[4] for x in blocks])
+        del blocks
         order = np.empty(len(n), np.int64)
         order[np.lexsort((no, n))] = np.arange(len(n))
+        home = (mix(no.astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def packed() -> pa.RecordBatch:
+            a, b, shared = (np.concatenate([x[k] for x in held]) for k in range(3))
+            s = np.argsort(home[a], kind="stable")
+            a, b, shared = a[s], b[s], shared[s]
+            part = home[a]
+            first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            rows = [_pack_pairs(no[a[x:z]], no[b[x:z]], tally_least(n[a[x:z]]), shared[x:z]) for x, z in zip(first.tolist(), [*first[1:].tolist(), len(a)])]
+            return pa.RecordBatch.from_arrays([pa.array(part[first], pa.int32()), pa.array(rows, pa.binary())], ["part", "block"])
+
         for a, b, shared in tallied(meetings(key, tier, text, n, order, least), len(n)):
             enough = shared >= bucket_least(n[a], buckets)
-            a, b, shared = a[enough], b[enough], shared[enough]
-            for x in range(0, len(a), 100_000):
-                y = slice(x, x + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(no[a[y]]), pa.array(no[b[y]]), pa.array(n[a[y]], pa.int32()), pa.array(shared[y], pa.int32())], ["a", "b", "n", "shared"])
+            held.append((a[enough].astype(np.int32), b[enough].astype(np.int32), shared[enough].astype(np.int32)))
+            size += len(held[-1][0])
+            if size >= flush:
+                yield packed()
+                held, size = [], 0
+        if size:
+            yield packed()
+
+    return postings.repartitionById(buckets, "bucket").select("block").mapInArrow(meet, "part int, block binary")
+
+
+def _tally(postings: DataFrame, least: float, buckets: int, texts: int) -> DataFrame:
+    """(a, b): numbers of the pairs that share the guaranteed number of postings; a is the text with fewer pieces."""
+    tasks = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def reached(blocks: list[pa.Scalar]) -> pa.RecordBatch:
+        a, b, need, shared = (np.concatenate(x) for x in zip(*(_unpack_pairs(memoryview(raw.as_buffer())) for raw in blocks)))
+        s = np.lexsort((b, a))
+        a, b = a[s], b[s]
+        first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        seen, shared, need = np.diff(np.r_[first, len(a)]), np.add.reduceat(shared[s], first), need[s][first]
+        # a bucket that kept silent about a pair holds less than its least
+        enough = shared + (buckets - seen) * (-(-need // buckets) - 1) >= need
+        return pa.RecordBatch.from_arrays([pa.array(a[first][enough]), pa.array(b[first][enough])], ["a", "b"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            for part, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if part != at and held:
+                    yield reached(held)
+                    held = []
+                at = part
+                held.append(raw)
+        if held:
+            yield reached(held)
 
-    met = postings.repartitionById(buckets, "bucket").select("block").mapInArrow(meet, "a bigint, b bigint, n int, shared int")
-    tally = met.groupBy("a", "b", "n").agg(F.sum("shared").alias("shared"), F.count("*").alias("seen"))
-    # a bucket that kept silent about a pair holds less than its least
-    unseen = F.ceil((1 + F.floor(F.col("n") / STEP)) / buckets) - 1
-    return tally.where(F.col("shared") + (buckets - F.col("seen")) * unseen >= 1 + F.floor(F.col("n") / STEP)).select("a", "b")
+    return _met(postings, least, buckets, tasks * min(16, 1 + texts // _PART)).repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(add, "a bigint, b bigint")
 
 
 def _verify(pairs: DataFrame, kind: str, least: float) -> DataFrame:
@@ -336,12 +415,13 @@ def near_duplicates(df: DataFrame, id_col: str = "art_id", text_col: str = "art_
     member = one.join(classes, "print").select("id", "rep")
     # map-side, copies of a text leave a task once
     reps = cut_table(rows.groupBy("print").agg(F.min("t").alias("t")).join(classes.hint("merge"), "print").select("rep", "t").withColumn("no", F.monotonically_increasing_id()))
-    counts = _census(reps)
+    texts = reps.count()
+    counts = _census(reps, slots_for(texts))
     buckets = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(counts.sum() * (1 - least)) // BUCKET))
-    tally = cut(_tally(_postings(reps, least, counts, hot, buckets), least, buckets))
+    tally = cut(_tally(_postings(reps, least, counts, hot, buckets), least, buckets, texts))
     wanted = tally.select(F.explode(F.array("a", "b")).alias("no")).distinct()
-    texts = reps.join(wanted.hint("merge"), "no", "left_semi")
-    ends = [texts.select(F.col("no").alias(x), F.col("rep").alias(f"r{x}"), F.col("t").alias(f"t{x}")) for x in ("a", "b")]
+    needed = reps.join(wanted.hint("merge"), "no", "left_semi")
+    ends = [needed.select(F.col("no").alias(x), F.col("rep").alias(f"r{x}"), F.col("t").alias(f"t{x}")) for x in ("a", "b")]
     pairs = tally.join(ends[0].hint("merge"), "a").join(ends[1].hint("merge"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"), "ta", "tb")
     links = _verify(pairs, kind, least).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "likeness")
     return cut(links), member

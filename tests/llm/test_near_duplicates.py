@@ -127,3 +127,17 @@ def test_a_row_holds_the_postings_of_many_texts(spark):
         assert len(set(no.tolist())) == len(no) and per.sum() == len(key) == len(tier) and all(size == 292)
         n, posts = max(n, no.max()), posts + len(key)
     assert n == 199 and posts == 200 * int(nd.posted(np.array([292]), 0.7)[0])
+
+
+def test_pairs_that_met_travel_in_blocks(spark):
+    """A bucket writes a row for each part of the texts, not one for each pair that met, and no pair is lost in it."""
+    texts = [("".join(random.Random(i % 4).choices("abcdefghij", k=200)) + "".join(random.Random(i).choices("abcdefghij", k=150)),) for i in range(60)]
+    reps = spark.createDataFrame([(i, t) for i, (t,) in enumerate(texts)], "no bigint, t string")
+    counts = nd._census(reps, 4 * nd.SLOTS)
+    size = [len(pieces(t)) for (t,) in texts]
+    assert len(counts) == 4 * nd.SLOTS and counts.sum() == sum(size)
+    rows = nd._met(nd._postings(reps, 0.3, counts, nd.HOT, 8), 0.3, 8, 3).collect()
+    pairs = [tuple(x.tolist()) for r in rows for x in [np.stack(nd._unpack_pairs(memoryview(r["block"])), 1)] for x in x]
+    met = {(min(a, b), max(a, b)) for a, b, _, _ in pairs}
+    assert len(rows) <= 8 * 3 < len(pairs) and met >= {(a, b) for a in range(60) for b in range(a + 1, 60) if a % 4 == b % 4}
+    assert all(need == nd.tally_least(min(size[a], size[b])) and shared >= 1 for a, b, need, shared in pairs)
