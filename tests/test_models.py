@@ -38,6 +38,24 @@ def test_sizes_of_topic_models(spark):
     assert [k for k, _, _ in sizes] == [2, 3] and all(np.isfinite(x) and y > 0 for _, x, y in sizes)
 
 
+def test_rows_are_read_once_for_all_sizes(spark):
+    """One table of vectors serves all models, spread over the tasks; perplexity is the bound by the words."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    docs = spark.createDataFrame([(["a", "b", "b"] if i % 2 else ["c", "d"],) for i in range(20)], "words array<string>").coalesce(1).mapInArrow(seen, "words array<string>")
+    counts = topics.bag_of_words(spark, list("abcd"), "words", "v").transform(docs)
+    sizes = topics.lda_by_size(counts, "v", (2, 3), steps=3)
+    assert read.value == 20
+    assert all(np.isclose(y, -x / 50) for _, x, y in sizes)
+    model = topics.lda(counts, "v", 2, steps=3)
+    assert np.isclose(model.logPerplexity(counts), -model.logLikelihood(counts) / 50)
+
+
 def test_partial_ratio():
     assert spans.partial_ratio("saldor", "die saldor ag") == 100.0 == spans.partial_ratio("", "")
     assert spans.partial_ratio("", "a") == 0.0 and spans.partial_ratio("abcd", "xxabxx") == max(spans.indel_ratio("abcd", p) for p in ("x", "xx", "xxa", "xxab", "xabx", "abxx", "bxx"))
